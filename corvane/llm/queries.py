@@ -11,6 +11,8 @@ from corvane.llm.common import read_table
 from corvane.llm.decontam import contaminated
 from corvane.llm.exact_dedup import exact_duplicates
 from corvane.llm.mixing import mix_sources
+from corvane.llm.phrase_dedup import remove_repeats
+from corvane.llm.simhash import near_duplicates
 from corvane.llm.token_count import count_tokens
 from corvane.llm.url_filter import judge_urls
 
@@ -19,10 +21,18 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,15 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_entropy_mix, op4_url_vocabulary, op8_token_counts, op9_decontamination, op10_chunk_recipes)
+    for f in (
+        op2_entropy_mix,
+        op3_simhash_bktree,
+        op4_url_vocabulary,
+        op6_phrase_automata,
+        op8_token_counts,
+        op9_decontamination,
+        op10_chunk_recipes,
+    )
 }
 
 ORACLES: dict[str, str] = sql.ORACLES
