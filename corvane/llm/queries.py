@@ -10,10 +10,12 @@ from corvane.llm import sql
 from corvane.llm.common import read_table
 from corvane.llm.decontam import contaminated
 from corvane.llm.exact_dedup import exact_duplicates
+from corvane.llm.language_id import detect_languages
 from corvane.llm.mixing import mix_sources
 from corvane.llm.phrase_dedup import remove_repeats
 from corvane.llm.simhash import near_duplicates
 from corvane.llm.token_count import count_tokens
+from corvane.llm.toxicity import score_toxicity
 from corvane.llm.url_filter import judge_urls
 
 
@@ -29,10 +31,18 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op5_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -51,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_entropy_mix,
         op3_simhash_bktree,
         op4_url_vocabulary,
+        op5_byte_gru,
         op6_phrase_automata,
+        op7_toxic_crf,
         op8_token_counts,
         op9_decontamination,
         op10_chunk_recipes,
