@@ -1,9 +1,9 @@
 """Toxic span tagging by a linear-chain conditional random field.
 
 Token labels come from document labels: on a bounded sample (PER_CLASS documents of each label, chosen by a hash of
-the id), toxic words are a greedy cover, the words that together explain the most toxic documents while clean ones
+the id), toxic words are a greedy cover, the words and stems (beginnings of words) that together explain the most toxic documents while clean ones
 lack them; their tokens in toxic documents are labelled toxic, all others clean. The field has two states, features
-of the word, its ending and both neighbours (hashed weights), and transition weights, trained by gradient steps on
+of the word, its stem and both neighbours (hashed weights), and transition weights, trained by gradient steps on
 the exact likelihood. At scoring, forward-backward over each whole text gives every token's marginal; a document's
 score is the noisy-or of its marginals above FLOOR, and tokens at half or more are its offending spans.
 
@@ -26,7 +26,7 @@ from corvane.llm.common import WORD, fold
 from corvane.llm.token_count import ascii_words, slices
 
 PER_CLASS, MAX_TRAIN_CHARS, SEGMENT = 1500, 200_000, 64
-WORD_BITS, END_BITS, EPOCHS, RATE, DECAY, FLOOR = 18, 14, 6, 0.3, 1e-6, 0.1
+WORD_BITS, STEM_BITS, EPOCHS, RATE, DECAY, FLOOR = 18, 14, 6, 0.3, 1e-6, 0.1
 SLICE_BYTES = 6 << 20
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -39,6 +39,11 @@ def _slot(text: str, bits: int) -> int:
     return zlib.crc32(text.encode()) & ((1 << bits) - 1)
 
 
+def traits(form: str) -> set[str]:
+    """What can mark a word as toxic: the word itself or its first four or five letters."""
+    return {form, *(form[:n] + "*" for n in (4, 5) if len(form) > n)} if form else set()
+
+
 def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     """Greedy cover of the toxic documents by words that clean documents lack."""
     against = Counter(w for d in clean for w in d)
@@ -58,23 +63,23 @@ def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
 
 
 class ToxicField:
-    """Weights: word, ending, previous and next word (state toxic against clean), bias and transitions."""
+    """Weights: word, stem, previous and next word (state toxic against clean), bias and transitions."""
 
     def __init__(self) -> None:
         self.word = np.zeros(1 << WORD_BITS)
         self.prev = np.zeros(1 << WORD_BITS)
         self.next = np.zeros(1 << WORD_BITS)
-        self.end = np.zeros(1 << END_BITS)
+        self.stem = np.zeros(1 << STEM_BITS)
         self.bias = np.array([-3.0])
         self.trans = np.zeros((2, 2))
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of each word and of its ending."""
+        """Slots of each word and of its stem."""
         forms = [normal(w) for w in words]
         n = len(words)
         return (
             np.fromiter((_slot(f, WORD_BITS) for f in forms), np.int64, n),
-            np.fromiter((_slot(f[-3:], END_BITS) for f in forms), np.int64, n),
+            np.fromiter((_slot(f[:4], STEM_BITS) for f in forms), np.int64, n),
         )
 
     def marginals(self, emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +110,7 @@ class ToxicField:
         return joint / (1 + joint), forward, backward
 
     def emissions(self, word: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        e = self.word[word] + self.end[end] + self.bias[0]
+        e = self.word[word] + self.stem[end] + self.bias[0]
         if len(e):
             ends = np.cumsum(sizes[sizes > 0])
             inner = np.ones(len(e), bool)
@@ -118,7 +123,7 @@ class ToxicField:
         """AdaGrad on the exact log-likelihood, batches of segments."""
         rng = np.random.default_rng(seed)
         made = [(*self.features(w), np.array(y, float)) for w, y in segments]
-        tables = {"word": self.word, "end": self.end, "prev": self.prev, "next": self.next, "bias": self.bias}
+        tables = {"word": self.word, "stem": self.stem, "prev": self.prev, "next": self.next, "bias": self.bias}
         squares = {k: np.full(v.shape, 1e-6) for k, v in tables.items()}
         trans_square = np.full((2, 2), 1e-6)
         for _ in range(epochs):
@@ -131,7 +136,7 @@ class ToxicField:
                 inner = np.ones(len(g), bool)
                 inner[np.cumsum(sizes) - 1] = False
                 left = np.flatnonzero(inner[:-1]) if len(g) > 1 else np.zeros(0, np.int64)
-                steps = {"word": (word, g), "end": (end, g), "prev": (word[left], g[left + 1]),
+                steps = {"word": (word, g), "stem": (end, g), "prev": (word[left], g[left + 1]),
                          "next": (word[left + 1], g[left]), "bias": (np.zeros(len(g), np.int64), g)}
                 for k, (slot, grad) in steps.items():
                     used, where = np.unique(slot, return_inverse=True)
@@ -169,14 +174,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class:
 
 def fit(rows: list[tuple[str, int]], seed: int = 5) -> ToxicField | None:
     texts = [(re.findall(WORD, t), y) for t, y in rows]
-    sets = [({f for w in words if (f := normal(w))}, y) for words, y in texts]
+    sets = [(set().union(*(traits(f) for f in {normal(w) for w in words})), y) for words, y in texts]
     bad = toxic_words([s for s, y in sets if y], [s for s, y in sets if not y])
     if not bad or all(y for _, y in rows):
         return None
     rng = np.random.default_rng(seed)
     with_hits, without = [], []
     for words, y in texts:
-        tags = [bool(y) and normal(w) in bad for w in words]
+        tags = [bool(y) and not bad.isdisjoint(traits(normal(w))) for w in words]
         for at in range(0, len(words), SEGMENT):
             part = (words[at : at + SEGMENT], tags[at : at + SEGMENT])
             (with_hits if any(part[1]) else without).append(part)
