@@ -11,6 +11,7 @@ from corvane.llm.common import read_table
 from corvane.llm.decontam import contaminated
 from corvane.llm.exact_dedup import exact_duplicates
 from corvane.llm.language_id import detect_languages
+from corvane.llm.lm_score import score_texts
 from corvane.llm.mixing import mix_sources
 from corvane.llm.phrase_dedup import remove_repeats
 from corvane.llm.simhash import near_duplicates
@@ -19,6 +20,10 @@ from corvane.llm.toxicity import score_toxicity
 from corvane.llm.url_filter import judge_urls
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_context_mixing,
         op2_entropy_mix,
         op3_simhash_bktree,
         op4_url_vocabulary,
