@@ -1,4 +1,422 @@
-"""Registered queries of the core engine."""
+"""Registered queries of the core engine, each with its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import text as tx
+from corvane.operators import relational as rel
+from corvane.operators import statistics as st
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(oracle: str | None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+@query("""SELECT o_orderpriority, count(DISTINCT o_orderkey) AS n FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
+def facet_browse(t):
+    tagged = rel.having_tags(t.orders.withColumnRenamed("o_orderkey", "k"), t.lineitem.withColumnRenamed("l_orderkey", "k"), "k",
+                             [F.col("l_returnflag") == "R"])
+    return rel.facet_counts(tagged, "o_orderpriority", "k").orderBy(F.desc("n"), "o_orderpriority")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_final, count(DISTINCT o_custkey) AS customers,
+min(o_orderdate)::date::varchar AS first_day, max(o_orderdate)::date::varchar AS last_day FROM orders""")
+def overview_totals(t):
+    return t.orders.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"),
+                        F.countDistinct("o_custkey").alias("customers"), F.to_date(F.min("o_orderdate")).cast("string").alias("first_day"),
+                        F.to_date(F.max("o_orderdate")).cast("string").alias("last_day"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY m) AS number, * FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m,
+count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o,
+count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)""")
+def release_media_pivot(t):
+    months = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).pivot("o_orderstatus", ["F", "O", "P"]).count()
+    months = months.select("m", *[F.coalesce(k, F.lit(0)).alias(k.lower()) for k in "FOP"])
+    return months.withColumn("number", F.row_number().over(Window.orderBy("m")))
+
+
+@query("""SELECT kind, coalesce(n, 0) AS n FROM (VALUES ('click'), ('view'), ('purchase'), ('never')) d(kind)
+LEFT JOIN (SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1) USING (kind)""")
+def enum_zero_fill(t):
+    kinds = t.spark.createDataFrame([(k,) for k in ("click", "view", "purchase", "never")], "kind string")
+    counts = t.events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_mktsegment <> 'BUILDING' GROUP BY 1 ORDER BY n DESC, n_name LIMIT 10""")
+def top_locations(t):
+    rows = t.customer.filter("c_mktsegment <> 'BUILDING'").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "n_name").limit(10)
+
+
+_RANK = """CASE WHEN contains(lower(p_name), '1') THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_type), 'e') THEN 4 ELSE 0 END
++ CASE WHEN contains(lower(p_brand), '1') THEN 1 ELSE 0 END"""
+
+
+def _search(t):
+    rank = rel.relevance([(F.col("p_name"), 10)], ["1"]) + rel.relevance([(F.col("p_type"), 4)], ["e"])
+    return t.part.withColumn("rank", rank + rel.relevance([(F.col("p_brand"), 1)], ["1"])).filter("rank > 0")
+
+
+@query(f"""SELECT * FROM (SELECT p_partkey, {_RANK} AS rank FROM part) WHERE rank > 0""")
+def search_ranked(t):
+    return _search(t).select("p_partkey", "rank")
+
+
+@query(f"""SELECT * FROM (SELECT p_partkey, {_RANK} AS rank FROM part) WHERE rank > 0 ORDER BY rank DESC, p_partkey
+LIMIT 30 OFFSET 60""")
+def search_paged(t):
+    return rel.page(_search(t).select("p_partkey", "rank"), [F.desc("rank"), F.col("p_partkey")], 3, 30)
+
+
+@query("""SELECT doc_id, substr(text, greatest(instr(lower(text), 'license') - 30, 1), 80) AS snippet FROM documents
+WHERE instr(lower(text), 'license') > 0""")
+def snippet_first_hit(t):
+    return t.documents.select("doc_id", tx.snippet(F.col("text"), "license").alias("snippet")).filter("snippet is not null")
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderstatus = 'P' DESC, o_totalprice DESC, o_orderkey LIMIT 12""")
+def highlight_topk(t):
+    order = [F.desc(F.col("o_orderstatus") == "P"), F.desc("o_totalprice"), F.col("o_orderkey")]
+    return t.orders.orderBy(*order).limit(12).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem
+WHERE l_quantity >= 45 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderdate >= '1998-01-01'""")
+def evidence_intersect(t):
+    units = t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey")
+    units = units.intersect(t.lineitem.filter("l_quantity >= 45").select("l_orderkey"))
+    return units.intersect(t.orders.filter("o_orderdate >= timestamp_ntz'1998-01-01'").select("o_orderkey"))
+
+
+@query("""SELECT l_shipdate::date::varchar AS d FROM lineitem UNION SELECT o_orderdate::date::varchar FROM orders""")
+def all_units_union(t):
+    return t.lineitem.select(F.to_date("l_shipdate").cast("string").alias("d")).union(t.orders.select(F.to_date("o_orderdate").cast("string"))).distinct()
+
+
+@query("""SELECT l_shipdate::date::varchar AS d FROM lineitem EXCEPT SELECT o_orderdate::date::varchar FROM orders""")
+def new_dates_except(t):
+    return t.lineitem.select(F.to_date("l_shipdate").cast("string").alias("d")).subtract(t.orders.select(F.to_date("o_orderdate").cast("string").alias("d")))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, concat_ws('|', o_orderstatus, o_orderpriority) AS h, o_orderpriority AS f FROM orders
+WHERE o_orderkey % 7 <> 0),
+s AS (SELECT o_orderkey AS k, concat_ws('|', CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderpriority END) AS h,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderpriority END AS f,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'classified' ELSE 'failed' END AS status FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT k, action, CASE WHEN action = 'insert' THEN 'new' WHEN action = 'update' AND nf <> sf THEN 'new'
+  WHEN action = 'update' AND status = 'classified' THEN 'extracted' ELSE status END AS next_status
+FROM (SELECT coalesce(n.k, s.k) AS k, n.f AS nf, s.f AS sf, status, CASE WHEN s.k IS NULL THEN 'insert'
+  WHEN n.k IS NULL THEN 'keep' WHEN n.h = s.h THEN 'unchanged' ELSE 'update' END AS action FROM n FULL JOIN s ON n.k = s.k)""")
+def listing_upsert_diff(t):
+    key = F.col("o_orderkey")
+    listing = t.orders.filter(key % 7 != 0).select(
+        key.alias("k"), F.concat_ws("|", "o_orderstatus", "o_orderpriority").alias("row_hash"), F.col("o_orderpriority").alias("file_hash"))
+    file = F.when(key % 11 == 0, "X").otherwise(F.col("o_orderpriority"))
+    stored = t.orders.filter(key % 3 != 0).select(
+        key.alias("k"), F.concat_ws("|", F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus")), file).alias("row_hash"),
+        file.alias("file_hash"), F.when(key % 2 == 0, "classified").otherwise("failed").alias("status"))
+    return rel.upsert_diff(listing, stored, "k")
+
+
+@query("""SELECT p_partkey, CASE WHEN nth = 1 THEN k ELSE k || '#' || nth END AS id FROM (SELECT p_partkey,
+upper(p_brand) AS k, row_number() OVER (PARTITION BY upper(p_brand) ORDER BY p_partkey) AS nth FROM part)""")
+def duplicate_id_numbering(t):
+    return rel.number_repeats(t.part, F.upper("p_brand"), [F.col("p_partkey")], "id").select("p_partkey", "id")
+
+
+@query("""SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) >= 4 AS shared FROM documents""")
+def shared_description(t):
+    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n >= 4")
+    return rows.join(often, "h", "left").select("doc_id", F.col("n").isNotNull().alias("shared"))
+
+
+@query("""SELECT o_orderkey, make_date(y, m, 1 + o_orderkey % 28)::varchar AS d FROM (SELECT o_orderkey, 1 + o_orderkey % 12 AS m,
+CASE WHEN o_orderkey % 100 <= 26 THEN 2000 ELSE 1900 END + o_orderkey % 100 AS y FROM orders)""")
+def us_date_pivot(t):
+    k = F.col("o_orderkey")
+    value = F.concat_ws("/", k % 12 + 1, k % 28 + 1, F.lpad((k % 100).cast("string"), 2, "0"))
+    return t.orders.select("o_orderkey", tx.us_date(value, 2026).cast("string").alias("d"))
+
+
+@query("""SELECT doc_id, try_cast(nullif(regexp_extract(text, '(?:^|[^0-9])((?:18|19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS int) AS y
+FROM documents""")
+def year_parse(t):
+    return t.documents.select("doc_id", tx.first_year(F.col("text")).alias("y"))
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00\r]', '', 'g'),
+'[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM documents""")
+def text_clean(t):
+    return t.documents.select("doc_id", F.sha2(tx.clean_text(F.col("text")), 256).alias("h"))
+
+
+@query(r"""SELECT doc_id, round_even(coalesce(len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x,
+'^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), '[A-Za-z]{2,}'))) / nullif(len(w), 0), 0), 6) AS quality
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents)""")
+def text_quality(t):
+    return t.documents.select("doc_id", F.bround(tx.text_quality(F.col("text")), 6).alias("quality"))
+
+
+@query("""SELECT conv_id, sha256(string_agg('[Page ' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS h,
+count(*) AS pages FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
+def page_concat(t):
+    pages = t.conversations.filter(F.trim("text") != "").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: F.concat(F.lit("[Page "), x["turn"].cast("string"), F.lit("]\n"), x["text"])), "\n\n")
+    return pages.select("conv_id", F.sha2(joined, 256).alias("h"), F.size("p").cast("long").alias("pages"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(lower(text), 'license|copyright|email|token')) AS hits FROM documents
+WHERE len(regexp_extract_all(lower(text), 'license|copyright|email|token')) >= 2""")
+def vocab_hits_filter(t):
+    hits = F.regexp_count(F.lower("text"), F.lit("license|copyright|email|token")).cast("long")
+    return t.documents.select("doc_id", hits.alias("hits")).filter("hits >= 2")
+
+
+_KINDS = [("STEEL", "metal"), ("BRASS|COPPER", "alloy"), ("PROMO", "offer")]
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL') THEN 'metal' WHEN regexp_matches(p_type, 'BRASS|COPPER')
+THEN 'alloy' WHEN regexp_matches(p_type, 'PROMO') THEN 'offer' ELSE 'other' END AS kind FROM part""")
+def ordered_rule_kind(t):
+    return t.part.select("p_partkey", rel.ordered_rules(_KINDS, F.col("p_type"), "other").alias("kind"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(source, '1') OR a >= bar THEN 'a' END,
+CASE WHEN regexp_matches(source, '2') OR b >= bar THEN 'b' END) AS labels FROM (SELECT doc_id, source,
+len(regexp_extract_all(text, '1')) AS a, len(regexp_extract_all(text, '2')) AS b,
+greatest(3, length(text) // 20000) AS bar FROM documents)""")
+def multi_label_rules(t):
+    labels = rel.multi_label([("1", "a"), ("2", "b")], F.col("source"), F.col("text"))
+    return t.documents.select("doc_id", F.array_join(labels, ",").alias("labels"))
+
+
+@query("""SELECT DISTINCT page_id, replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '&amp;', '&') AS link FROM pages""")
+def link_discovery(t):
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return t.pages.select("page_id", F.explode(links).alias("link")).withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&"))).distinct()
+
+
+@query("""SELECT event_type, count(DISTINCT (user_id, hour(ts))) AS units, count(DISTINCT user_id) AS users,
+min(ts)::date::varchar AS first_day, max(ts)::date::varchar AS last_day FROM events GROUP BY 1""")
+def detail_summary(t):
+    return t.events.groupBy("event_type").agg(
+        F.countDistinct("user_id", F.hour("ts")).alias("units"), F.countDistinct("user_id").alias("users"),
+        F.to_date(F.min("ts")).cast("string").alias("first_day"), F.to_date(F.max("ts")).cast("string").alias("last_day"))
+
+
+@query("""WITH r AS (SELECT DISTINCT user_id, event_type, day(ts)::int AS d FROM events),
+tot AS (SELECT d, count(DISTINCT user_id) AS total FROM r GROUP BY 1), c AS (SELECT event_type, d, count(*) AS c FROM r GROUP BY 1, 2),
+k AS (SELECT event_type FROM r GROUP BY 1 HAVING count(*) >= 5)
+SELECT event_type, d, coalesce(c, 0) AS n, round_even(coalesce(c, 0) / total, 6) AS share FROM k CROSS JOIN tot LEFT JOIN c USING (event_type, d)""")
+def detail_by_period(t):
+    return st.item_by_period(t.events.withColumn("d", F.dayofmonth("ts")), "user_id", "event_type", "d")
+
+
+@query("""WITH p AS (SELECT DISTINCT (user_id * 100 + day(ts)) AS u, event_type AS i FROM events), s AS (SELECT i, count(*) AS c FROM p GROUP BY 1),
+n AS (SELECT count(DISTINCT u) AS n FROM p), b AS (SELECT x.i AS a, y.i AS b, count(*) AS n_both FROM p x JOIN p y ON x.u = y.u AND x.i < y.i
+GROUP BY 1, 2 HAVING count(*) >= 4) SELECT a, b, n_both, round_even(n_both * n / (sa.c * sb.c), 6) AS lift
+FROM b JOIN s sa ON sa.i = a JOIN s sb ON sb.i = b CROSS JOIN n""")
+def cooccurrence_lift(t):
+    return st.cooccurrence(t.events.withColumn("u", F.col("user_id") * 100 + F.dayofmonth("ts")), "u", "event_type")
+
+
+@query("""SELECT d, n FROM (SELECT unnest(range(min(d), max(d) + 1)) AS d FROM (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date)
+AS d FROM lineitem)) LEFT JOIN (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date) AS d, count(*) AS n FROM lineitem GROUP BY 1)
+USING (d) WHERE n IS NOT NULL""")
+def dense_timeline(t):
+    days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long").alias("d")
+    return st.dense_calendar(t.lineitem.groupBy(days).agg(F.count("*").alias("n")), "d").filter("n > 0")
+
+
+@query("""WITH c AS (SELECT date_diff('month', DATE '1990-01-01', o_orderdate::date) AS s, count(*) FILTER (o_orderkey % 50 < 10
+OR month(o_orderdate) = 7) AS n FROM orders GROUP BY 1), b AS (SELECT a.s, a.n, median(z.n) AS base FROM c a JOIN c z
+ON abs(a.s - z.s) <= 10 AND abs(a.s - z.s) > 1 GROUP BY 1, 2), h AS (SELECT *, s - row_number() OVER (ORDER BY s) AS island FROM b
+WHERE n >= 10 AND n >= 2.5 * base + 3) SELECT min(s) AS first, max(s) AS last, sum(n)::bigint AS total,
+arg_min(s, (-n, s)) AS peak, max(base) AS baseline FROM h GROUP BY island""")
+def wave_islands(t):
+    months = F.months_between(F.date_trunc("month", F.col("o_orderdate").cast("timestamp")), F.lit("1990-01-01").cast("timestamp")).cast("long")
+    strong = (F.col("o_orderkey") % 50 < 10) | (F.month("o_orderdate") == 7)
+    counts = t.orders.groupBy(months.alias("s")).agg(F.count_if(strong).alias("n"))
+    return st.waves(st.dense_calendar(counts, "s"), "s")
+
+
+@query("""SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey
+LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY 1, 2""")
+def place_grid(t):
+    places = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = t.customer.filter("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return places.join(counts, "n_nationkey", "left").select("r_name", "n_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i, o_orderpriority = '1-URGENT' AS g FROM lineitem JOIN part ON p_partkey = l_partkey
+JOIN orders ON o_orderkey = l_orderkey WHERE p_size <= 3), s AS (SELECT count(DISTINCT k) FILTER (g) AS ni, count(DISTINCT k) FILTER (NOT g) AS no FROM r),
+c AS (SELECT i, count(*) FILTER (g) AS c_in, count(*) FILTER (NOT g) AS c_out FROM r GROUP BY 1)
+SELECT i AS p_brand, c_in, c_out, round_even((c_in * no) / (greatest(c_out, 1) * ni), 6) AS lift FROM c, s
+WHERE ni >= 8 AND no >= 8 AND c_in >= 3 AND (c_in * no) / (greatest(c_out, 1) * ni) >= 1.3 ORDER BY lift DESC, c_in DESC, i LIMIT 8""")
+def lift_rows(t):
+    rows = t.lineitem.join(t.part.filter("p_size <= 3"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = rows.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("g", F.col("o_orderpriority") == "1-URGENT")
+    return st.lift_rows(rows, "l_orderkey", "p_brand", "g")
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o,
+count(*) AS total FROM orders GROUP BY 1""")
+def split_by(t):
+    rows = t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return rows.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), (F.col("F") + F.col("O") + F.col("P")).alias("total"))
+
+
+@query("""SELECT p_type, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1
+ORDER BY n DESC, p_type LIMIT 6""")
+def top_rows(t):
+    counts = t.part.groupBy("p_type").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("s"))
+    return counts.join(F.broadcast(total)).select("p_type", "n", F.bround(F.col("n") / F.col("s"), 6).alias("share")).orderBy(F.desc("n"), "p_type").limit(6)
+
+
+_TAGS = """tags AS (SELECT DISTINCT s_suppkey AS r, s_nationkey AS g, tag FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
+JOIN part ON p_partkey = l_partkey, (VALUES (1)) v, LATERAL (SELECT p_brand || '/' || p_size AS tag) WHERE p_size <= 2),
+w AS (SELECT tag, count(*) AS df, ln(greatest((SELECT count(DISTINCT r) FROM tags), 2) / count(*)) AS w FROM tags GROUP BY 1),
+norm AS (SELECT r, sqrt(sum(pow(w, 4))) AS norm FROM tags JOIN w USING (tag) GROUP BY 1),
+pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS n_shared, sum(w) AS e, sum(w * w) AS d FROM tags x JOIN tags y ON x.tag = y.tag AND x.r < y.r
+AND x.g <> y.g JOIN w ON w.tag = x.tag GROUP BY 1, 2 HAVING count(*) >= 2),
+scored AS (SELECT a, b, n_shared, e * d / (na.norm * nb.norm) AS score FROM pairs JOIN norm na ON na.r = a JOIN norm nb ON nb.r = b)"""
+
+
+def _tags(t):
+    rows = t.lineitem.join(t.part.filter("p_size <= 2"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = rows.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    return rows.select(F.col("s_suppkey").alias("r"), F.col("s_nationkey").alias("g"), F.concat_ws("/", "p_brand", "p_size").alias("tag")).distinct()
+
+
+@query(f"""WITH {_TAGS} SELECT tag, df, round_even(w, 4) AS w FROM w""")
+def tag_weights(t):
+    return st.tag_weights(_tags(t), "r", "tag").withColumn("w", F.bround("w", 4))
+
+
+@query(f"""WITH {_TAGS} SELECT a, b, n_shared, round_even(score, 5) AS score FROM scored""")
+def pair_scores(t):
+    return st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5))
+
+
+@query(f"""WITH {_TAGS}, s AS (SELECT a, b, round_even(score, 5) AS score FROM scored), u AS (SELECT a, b, score FROM s UNION ALL SELECT b, a, score FROM s)
+SELECT a, b, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM u) WHERE rank <= 6""")
+def top6_similar(t):
+    return st.top_partners(st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5)))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 20 AS g, p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT count(DISTINCT k) AS n FROM r), p AS (SELECT i, count(DISTINCT k) AS p FROM r GROUP BY 1),
+s AS (SELECT a.k, a.g, a.i AS t1, b.i AS t2, NULL AS t3 FROM r a JOIN r b ON a.k = b.k AND a.g = b.g AND a.i < b.i UNION ALL
+SELECT a.k, a.g, a.i, b.i, c.i FROM r a JOIN r b ON a.k = b.k AND a.g = b.g AND a.i < b.i JOIN r c ON c.k = a.k AND c.g = a.g AND b.i < c.i),
+m AS (SELECT t1, t2, t3, count(DISTINCT k) AS m, count(DISTINCT g) AS r FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT k) >= 2 AND count(DISTINCT g) >= 2)
+SELECT t1, t2, t3, m, m.r, round_even(CASE WHEN t3 IS NULL THEN m / (p1.p * p2.p / n) ELSE m / ((p1.p * p2.p / n) * p3.p / n) END, 6) AS lift
+FROM m CROSS JOIN n JOIN p p1 ON p1.i = t1 JOIN p p2 ON p2.i = t2 LEFT JOIN p p3 ON p3.i = t3
+WHERE CASE WHEN t3 IS NULL THEN m / (p1.p * p2.p / n) ELSE m / ((p1.p * p2.p / n) * p3.p / n) END >= 0.02""")
+def combos_lift(t):
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).withColumn("g", F.col("l_suppkey") % 20)
+    return st.combinations(rows, "l_orderkey", "g", "p_brand", 2, 2, 0.02)
+
+
+@query("""SELECT user_id, CASE WHEN y > n THEN 'explained' WHEN n > y THEN 'unresolved' END AS verdict, last_kind FROM (SELECT user_id,
+count(*) FILTER (event_type IN ('click', 'view')) AS y, count(*) FILTER (event_type NOT IN ('click', 'view')) AS n,
+arg_max(event_type, (ts, event_id)) AS last_kind FROM events GROUP BY 1)""")
+def verdict_majority(t):
+    mild = F.col("event_type").isin("click", "view")
+    rows = t.events.groupBy("user_id").agg(F.count_if(mild).alias("y"), F.count_if(~mild).alias("n"),
+                                           F.max_by("event_type", F.struct("ts", "event_id")).alias("last_kind"))
+    verdict = F.when(F.col("y") > F.col("n"), "explained").when(F.col("n") > F.col("y"), "unresolved")
+    return rows.select("user_id", verdict.alias("verdict"), "last_kind")
+
+
+@query("""SELECT tier, o_orderpriority, count(*) AS n FROM (SELECT o_orderpriority, CASE WHEN m / c >= 0.5 THEN 'heavy' WHEN m > 0 THEN 'marked'
+WHEN o_orderstatus = 'P' THEN 'flag only' ELSE 'none' END AS tier FROM orders JOIN (SELECT l_orderkey, count(*) AS c,
+count(*) FILTER (l_returnflag = 'R') AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
+def tier_split(t):
+    marks = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("c"), F.count_if(F.col("l_returnflag") == "R").alias("m"))
+    rows = t.orders.join(marks, F.col("o_orderkey") == F.col("l_orderkey"))
+    tier = (F.when(F.col("m") / F.col("c") >= 0.5, "heavy").when(F.col("m") > 0, "marked")
+            .when(F.col("o_orderstatus") == "P", "flag only").otherwise("none"))
+    return rows.groupBy(tier.alias("tier"), "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(r_name, 'total') AS r_name, n_name, count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer
+JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def hierarchy_rollup(t):
+    rows = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = rows.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
+    tree = rows.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.countDistinct("c_mktsegment").alias("segments"))
+    return tree.withColumn("r_name", F.coalesce("r_name", F.lit("total")))
+
+
+@query("""WITH rules(pos, key, want, banned) AS (VALUES (1, 'steel-small', 'STEEL', 'PROMO'), (2, 'promo', 'PROMO', 'NONE'), (3, 'steel', 'STEEL', 'NONE'))
+SELECT p_partkey, arg_min(key, pos) AS sub FROM part JOIN rules ON contains(p_type, want) AND NOT contains(p_type, banned) GROUP BY 1""")
+def subcategory_first_match(t):
+    rules = t.spark.createDataFrame([(1, "steel-small", "STEEL", "PROMO"), (2, "promo", "PROMO", "NONE"), (3, "steel", "STEEL", "NONE")],
+                                    "pos int, key string, want string, banned string")
+    hit = F.contains("p_type", "want") & ~F.contains("p_type", "banned")
+    return t.part.join(F.broadcast(rules), hit).groupBy("p_partkey").agg(F.min_by("key", "pos").alias("sub"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC,
+o_orderkey) AS a FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1))
+ORDER BY (a <> 1)::int, o_totalprice DESC, o_orderkey LIMIT 12""")
+def diverse_examples(t):
+    order = [F.desc("o_totalprice"), F.col("o_orderkey")]
+    return rel.diverse_picks(t.orders, "o_custkey", "o_orderpriority", order, 12).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("""SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS low, median(l_quantity) AS middle FROM lineitem GROUP BY 1""")
+def medians(t):
+    return t.lineitem.groupBy("l_returnflag").agg(
+        F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("low"), F.median("l_quantity").alias("middle"))
+
+
+@query("""SELECT doc_id, substr(sha256('v1|' || text), 1, 16) AS key FROM documents WHERE substr(sha256('v1|' || text), 1, 16) NOT IN
+(SELECT substr(sha256('v1|' || text), 1, 16) FROM documents WHERE doc_id % 2 = 0)""")
+def cache_misses(t):
+    keyed = t.documents.select("doc_id", F.left(F.sha2(F.concat(F.lit("v1|"), "text"), 256), F.lit(16)).alias("key"))
+    return keyed.join(keyed.filter("doc_id % 2 = 0").select("key"), "key", "left_anti")
+
+
+@query("""SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM
+(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, k""")
+def stale_sessions(t):
+    rows = t.events.withColumn("at", F.col("ts").cast("timestamp"))
+    found = rows.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+    return found.drop("w")
+
+
+@query("""SELECT event_id, n FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING
+AND CURRENT ROW) AS n FROM events) WHERE n >= 6""")
+def rate_limit_window(t):
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86399999999, 0)
+    return t.events.select("event_id", F.count("*").over(w).alias("n")).filter("n >= 6")
