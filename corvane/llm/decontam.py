@@ -11,8 +11,8 @@ the broadcast has a fixed bound however large the benchmark is. Nothing is emitt
 rarest word.
 
 Defined results: null or word-less texts have no words and no hits; null item ids are ignored; repeated items
-count once; repeated documents are judged alike (a doc_id that stands on several rows gets the hits of each row
-only when row_id tells them apart, which this function adds itself).
+count once; equal texts are judged alike. Hits are kept by doc_id: rows that share a doc_id but not a text all get the
+union of their hits, and a row with a null doc_id gets none.
 """
 
 from __future__ import annotations
