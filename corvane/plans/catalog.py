@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import segments as sg
+from corvane.functions import spans as sp
 from corvane.functions import text as tx
+from corvane.operators import episodes as ep
 from corvane.operators import relational as rel
+from corvane.operators import selection as sel
 from corvane.operators import statistics as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that SQL cannot express; tests check their operators.
+WITHOUT_SQL = {"passage_segments", "degree_limited_links"}
 
 
 class Tables:
@@ -420,3 +426,149 @@ AND CURRENT ROW) AS n FROM events) WHERE n >= 6""")
 def rate_limit_window(t):
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86399999999, 0)
     return t.events.select("event_id", F.count("*").over(w).alias("n")).filter("n >= 6")
+
+
+_SPAN_RULES = [sp.Rule("license", "licen[sc]e", "legal"), sp.Rule("contact", "[a-z0-9.]+@[a-z0-9.]+", "person"), sp.Rule("number", "[0-9]{3,}", "figure")]
+
+
+@query("""SELECT doc_id, key, length(before) AS start, length(before) + length(hit) AS stop, hit AS match FROM (SELECT doc_id, key,
+regexp_extract(text, '^(.*?)' || p, 1, 'is') AS before, regexp_extract(text, p, 0, 'i') AS hit FROM documents,
+(VALUES ('license', 'licen[sc]e'), ('contact', '[a-z0-9.]+@[a-z0-9.]+'), ('number', '[0-9]{3,}')) r(key, p)) WHERE hit <> ''""")
+def first_spans(t):
+    found = sp.find_spans(t.documents.select("doc_id", "text"), "text", sp.Engine(_SPAN_RULES))
+    rows = found.select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", "s.key", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), "s.match")
+
+
+@query(None)
+def passage_segments(t):
+    """Sentence packing restarts its sum where a passage is full; tests compare with the text's words."""
+    rows = sg.segment(t.documents.select("doc_id", "text"), "text")
+    return rows.select("doc_id", "seq", F.length("passage").cast("long").alias("n_chars"), F.sha2("passage", 256).alias("h"))
+
+
+@query("""SELECT doc_id, round_even(CASE WHEN len(w) > 0 THEN greatest(len(list_filter(w, lambda x: regexp_matches(x,
+'^[("''“‘]?([A-Za-z]+([''’-][A-Za-z]+)*|[0-9]{1,4}([.,:/-][0-9]{1,4})*)[)"''”’.,;:!?%]{0,3}$'))) / len(w)
+- 4 * length(regexp_replace(text, '[A-Za-z0-9\\s.,;:!?''"()\\-–/%$&]', '', 'g')) / length(text), 0) ELSE 0 END, 3) AS readability
+FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)""")
+def readability(t):
+    return t.documents.select("doc_id", sg.readability(F.col("text")).alias("readability"))
+
+
+@query("""SELECT doc_id, sha256(CASE WHEN length(text) > 1000 THEN substr(text, 1, 800) || chr(10) || chr(10) || '[... ' ||
+format('{:,}', length(text) - 1000) || ' characters omitted ...]' || chr(10) || chr(10) || right(text, 200) ELSE text END) AS h FROM documents""")
+def head_and_tail(t):
+    return t.documents.select("doc_id", F.sha2(sg.head_and_tail(F.col("text"), 1000), 256).alias("h"))
+
+
+@query("""SELECT user_id, CASE WHEN list_has_any(tags, ['refund']) THEN 'space' WHEN list_has_any(tags, ['purchase', 'signup']) THEN 'traces'
+ELSE 'sighting' END AS class FROM (SELECT user_id, list(DISTINCT event_type) AS tags FROM events GROUP BY 1)""")
+def episode_classes(t):
+    tags = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
+    table = [("space", ["refund"]), ("traces", ["purchase", "signup"])]
+    return tags.select("user_id", ep.episode_class(F.col("tags"), F.lit("pdf"), F.lit(1), table).alias("class"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT k, doc_id, n AS held, 1 AS batch FROM d WHERE k = 1 UNION ALL SELECT d.k, d.doc_id,
+CASE WHEN r.held > 0 AND r.held + d.n > 140000 THEN d.n ELSE r.held + d.n END,
+r.batch + CASE WHEN r.held > 0 AND r.held + d.n > 140000 THEN 1 ELSE 0 END FROM r JOIN d ON d.k = r.k + 1)
+SELECT doc_id, batch FROM r""")
+def reading_batches(t):
+    return sel.batches(t.documents.select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 140_000).select("doc_id", "batch")
+
+
+def _scored(t):
+    return st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5)).select("a", "b", "score")
+
+
+@query(f"""WITH RECURSIVE {_TAGS}, s AS (SELECT a, b, row_number() OVER (ORDER BY round_even(score, 5) DESC, a, b) AS k FROM scored),
+g AS (SELECT 0::bigint AS k, []::bigint[] AS ua, []::bigint[] AS ub, NULL::bigint AS a, NULL::bigint AS b UNION ALL
+SELECT m.k, list_append(g.ua, s.a), list_append(g.ub, s.b), s.a, s.b FROM g, LATERAL (SELECT min(k) AS k FROM s WHERE s.k > g.k
+AND NOT list_contains(g.ua, s.a) AND NOT list_contains(g.ub, s.b)) m JOIN s ON s.k = m.k WHERE len(g.ua) < 8)
+SELECT a, b FROM g WHERE a IS NOT NULL""")
+def greedy_matches(t):
+    return sel.matched_pairs(_scored(t)).select("a", "b")
+
+
+@query(None)
+def degree_limited_links(t):
+    """Which link stays depends on all stronger ones; tests check small cases."""
+    return sel.degree_limited(_scored(t))
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS nth FROM (SELECT event_id, user_id,
+row_number() OVER (ORDER BY event_id) - 1 AS k, greatest(1, count(*) OVER () // 10) AS step FROM events) WHERE k % step = 0)
+WHERE nth = 1 ORDER BY k LIMIT 10""")
+def spread_picks(t):
+    return sel.spread(t.events.select("event_id", "user_id"), "user_id", [F.col("event_id")], 10)
+
+
+@query("""SELECT m, round_even(sum(w), 6) AS reports FROM (SELECT m, 1.0 / count(*) OVER (PARTITION BY l_orderkey) AS w FROM
+(SELECT DISTINCT l_orderkey, strftime(l_shipdate, '%Y-%m') AS m FROM lineitem)) GROUP BY 1""")
+def weighted_timeline(t):
+    months = t.lineitem.select("l_orderkey", F.date_format("l_shipdate", "yyyy-MM").alias("m")).distinct()
+    per = months.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy("l_orderkey")))
+    return per.groupBy("m").agg(F.bround(F.sum("w"), 6).alias("reports"))
+
+
+@query("""SELECT coalesce(l.k, o.k) AS k, coalesce(l.n, 0) AS lines, coalesce(o.y, 0) AS y FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem
+WHERE l_quantity > 45 GROUP BY 1) l FULL JOIN (SELECT o_orderkey AS k, year(o_orderdate) AS y FROM orders WHERE o_orderstatus = 'F') o ON l.k = o.k""")
+def unit_attributes(t):
+    lines = t.lineitem.filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("lines"))
+    years = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.year("o_orderdate").cast("long").alias("y"))
+    return lines.join(years, "k", "full_outer").select("k", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("y", F.lit(0)).alias("y"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_quantity > 40 THEN l_returnflag END, page) AS verdict FROM lineitem LEFT JOIN
+(SELECT l_orderkey AS k, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS page FROM lineitem
+WHERE l_quantity > 30 GROUP BY 1) ON k = l_orderkey""")
+def own_or_agreed_verdict(t):
+    stated = t.lineitem.filter("l_quantity > 30").groupBy("l_orderkey")
+    agreed = stated.agg(F.min("l_returnflag").alias("lo"), F.max("l_returnflag").alias("hi"))
+    agreed = agreed.select("l_orderkey", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("page"))
+    own = F.when(F.col("l_quantity") > 40, F.col("l_returnflag"))
+    return t.lineitem.join(agreed, "l_orderkey", "left").select("l_orderkey", "l_linenumber", F.coalesce(own, "page").alias("verdict"))
+
+
+@query("""SELECT m, CASE WHEN n_name IN (SELECT n_name FROM (SELECT n_name, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey
+JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY c DESC, n_name LIMIT 4)) THEN n_name ELSE 'Other' END AS agency, count(*) AS n
+FROM (SELECT strftime(o_orderdate, '%Y') AS m, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+GROUP BY 1, 2""")
+def release_shares(t):
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    rows = rows.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    counts = rows.groupBy(F.date_format("o_orderdate", "yyyy").alias("m"), "n_name").agg(F.count("*").alias("c"))
+    top = counts.groupBy("n_name").agg(F.sum("c").alias("s")).orderBy(F.desc("s"), "n_name").limit(4).select("n_name", F.lit(True).alias("top"))
+    named = counts.join(F.broadcast(top), "n_name", "left")
+    return named.groupBy("m", F.when(F.col("top"), F.col("n_name")).otherwise("Other").alias("agency")).agg(F.sum("c").alias("n"))
+
+
+@query(f"""WITH {_TAGS} SELECT ga, gb, count(*) AS n, max(round_even(score, 5)) AS best, arg_min(a || '/' || b, (-round_even(score, 5), a, b)) AS pair
+FROM (SELECT least(x.s_nationkey, y.s_nationkey) AS ga, greatest(x.s_nationkey, y.s_nationkey) AS gb, a, b, score FROM scored
+JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b) GROUP BY 1, 2""")
+def best_pair_per_group(t):
+    of = t.supplier.select("s_suppkey", "s_nationkey")
+    rows = _scored(t).join(of.toDF("a", "na"), "a").join(of.toDF("b", "nb"), "b")
+    return rows.groupBy(F.least("na", "nb").alias("ga"), F.greatest("na", "nb").alias("gb")).agg(
+        F.count("*").alias("n"), F.max("score").alias("best"),
+        F.min_by(F.concat_ws("/", "a", "b"), F.struct(-F.col("score"), F.col("a"), F.col("b"))).alias("pair"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'new' AS flag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+def replaced_children(t):
+    children = t.lineitem.select("l_orderkey", "l_linenumber")
+    fresh = children.join(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return ep.merged_latest(children.withColumn("flag", F.lit("old")), fresh.withColumn("flag", F.lit("new")), "l_orderkey")
+
+
+@query("""SELECT DISTINCT doc_id, n_tags, shared FROM (SELECT a.s_suppkey AS doc_id, len(a.tags) AS n_tags, len(list_intersect(a.tags, b.tags)) AS shared
+FROM (SELECT l_suppkey AS s_suppkey, list(DISTINCT l_linenumber) AS tags FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
+JOIN (SELECT l_suppkey AS s_suppkey, list(DISTINCT l_linenumber) AS tags FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b USING (s_suppkey))""")
+def item_set_algebra(t):
+    sets = t.lineitem.groupBy(F.col("l_suppkey").alias("doc_id")).agg(
+        F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("r"),
+        F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber"))).alias("a"))
+    both = sets.filter((F.size("r") > 0) & (F.size("a") > 0))
+    return both.select("doc_id", F.size("r").cast("long").alias("n_tags"), F.size(F.array_intersect("r", "a")).cast("long").alias("shared"))

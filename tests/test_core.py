@@ -15,7 +15,7 @@ def rows(df):
 def test_every_core_query_has_an_oracle():
     from corvane.plans import catalog
 
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) - catalog.WITHOUT_SQL == set(catalog.ORACLES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
