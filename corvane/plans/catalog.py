@@ -461,12 +461,12 @@ def head_and_tail(t):
     return t.documents.select("doc_id", F.sha2(sg.head_and_tail(F.col("text"), 1000), 256).alias("h"))
 
 
-@query("""SELECT user_id, CASE WHEN list_has_any(tags, ['refund']) THEN 'space' WHEN list_has_any(tags, ['purchase', 'signup']) THEN 'traces'
-ELSE 'sighting' END AS class FROM (SELECT user_id, list(DISTINCT event_type) AS tags FROM events GROUP BY 1)""")
+@query("""SELECT user_id, d, CASE WHEN list_has_any(tags, ['error']) THEN 'space' WHEN list_has_any(tags, ['purchase', 'signup']) THEN 'traces'
+ELSE 'sighting' END AS class FROM (SELECT user_id, day(ts) AS d, list(DISTINCT event_type) AS tags FROM events GROUP BY 1, 2)""")
 def episode_classes(t):
-    tags = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    table = [("space", ["refund"]), ("traces", ["purchase", "signup"])]
-    return tags.select("user_id", ep.episode_class(F.col("tags"), F.lit("pdf"), F.lit(1), table).alias("class"))
+    tags = t.events.groupBy("user_id", F.dayofmonth("ts").cast("long").alias("d")).agg(F.collect_set("event_type").alias("tags"))
+    table = [("space", ["error"]), ("traces", ["purchase", "signup"])]
+    return tags.select("user_id", "d", ep.episode_class(F.col("tags"), F.lit("pdf"), F.lit(1), table).alias("class"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
