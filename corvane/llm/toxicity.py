@@ -1,9 +1,9 @@
 """Toxic span tagging by a linear-chain conditional random field.
 
 Token labels come from document labels: on a bounded sample (PER_CLASS documents of each label, chosen by a hash of
-the id), toxic words are a greedy cover, the words and stems (beginnings of words) that together explain the most toxic documents while clean ones
-lack them; their tokens in toxic documents are labelled toxic, all others clean. The field has two states, features
-of the word, its stem and both neighbours (hashed weights), and transition weights, trained by gradient steps on
+the id), toxic words are the words and stems (beginnings of words) that are far more frequent in toxic than in clean
+documents of the same language (`lang`, where docs has it); their tokens in toxic documents of that language are
+labelled toxic, all others clean. The field has two states, features of the word, its stem and both neighbours (hashed weights), and transition weights, trained by gradient steps on
 the exact likelihood. At scoring, forward-backward over each whole text gives every token's marginal; a document's
 score is the noisy-or of its marginals above FLOOR, and tokens at half or more are its offending spans.
 
@@ -12,6 +12,7 @@ Defined results: null and empty texts score 0, as does everything when no labell
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,6 +28,7 @@ from corvane.llm.token_count import ascii_words, slices
 
 PER_CLASS, MAX_TRAIN_CHARS, SEGMENT = 1500, 200_000, 64
 WORD_BITS, STEM_BITS, EPOCHS, RATE, DECAY, FLOOR = 18, 14, 6, 0.3, 1e-6, 0.1
+LEAST, LIFT, CHANCE = 3, 20, 1e-3
 SLICE_BYTES = 6 << 20
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -44,22 +46,29 @@ def traits(form: str) -> set[str]:
     return {form, *(form[:n] + "*" for n in (4, 5) if len(form) > n)} if form else set()
 
 
+def unlikely(n: int, of: int, share: float) -> float:
+    """Chance of n or more toxic documents among `of` documents when each is toxic with this share."""
+    logs = [
+        math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(share) + (of - k) * math.log1p(-share)
+        for k in range(n, of + 1)
+    ]
+    return math.fsum(map(math.exp, logs))
+
+
 def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Greedy cover of the toxic documents by words that clean documents lack."""
+    """Words of one vocabulary whose own document counts tie them to the toxic label.
+
+    A word needs LEAST toxic documents, LIFT times the clean documents' rate, and a count that chance explains with at
+    most CHANCE; none of these depends on other words or rises with the sample.
+    """
+    if not toxic or not clean:
+        return set()
     against = Counter(w for d in clean for w in d)
-    left, chosen = list(toxic), set()
-    least = max(2, len(toxic) // 50)
-    while left:
-        gain = Counter(w for d in left for w in d)
-        best = max(gain, key=lambda w: (gain[w] - 5 * against[w], w), default=None)
-        if best is None or gain[best] - 5 * against[best] < least:
-            break
-        chosen.add(best)
-        left = [d for d in left if best not in d]
-    # The cover's companions: as typical as its weakest word, for words that mostly come together with others.
-    whole = Counter(w for d in toxic for w in d)
-    bar = max([least, *(whole[w] // 2 for w in chosen)])
-    return chosen | {w for w, n in whole.items() if chosen and n >= bar and against[w] * 20 <= n}
+    share = len(toxic) / (len(toxic) + len(clean))
+    return {
+        w for w, n in Counter(w for d in toxic for w in d).items()
+        if n >= LEAST and n * len(clean) >= LIFT * against[w] * len(toxic) and unlikely(n, n + against[w], share) <= CHANCE
+    }
 
 
 class ToxicField:
@@ -157,7 +166,7 @@ class ToxicField:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS) -> list:
-    """(text, toxic) of at most per_class documents of each label outside fold 0."""
+    """(text, toxic, lang) of at most per_class documents of each label outside fold 0."""
     marked = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -167,21 +176,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class:
         part = marked.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class ids, whatever the input.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    found = docs.select("doc_id", "text", lang.cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
     found = found.filter(F.length("text").between(1, MAX_TRAIN_CHARS)).collect()
-    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    return [(r["text"], r["toxic"], r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 5) -> ToxicField | None:
-    texts = [(re.findall(WORD, t), y) for t, y in rows]
-    sets = [(set().union(*(traits(f) for f in {normal(w) for w in words})), y) for words, y in texts]
-    bad = toxic_words([s for s, y in sets if y], [s for s, y in sets if not y])
-    if not bad or all(y for _, y in rows):
+def fit(rows: list[tuple[str, int, str | None]], seed: int = 5) -> ToxicField | None:
+    texts = [(re.findall(WORD, t), y, lang) for t, y, lang in rows]
+    groups: dict[str | None, tuple[list, list]] = {}
+    for words, y, lang in texts:
+        found = set().union(*(traits(f) for f in {normal(w) for w in words}))
+        groups.setdefault(lang, ([], []))[0 if y else 1].append(found)
+    bad = {lang: toxic_words(toxic, clean) for lang, (toxic, clean) in groups.items()}
+    if not any(bad.values()):
         return None
     rng = np.random.default_rng(seed)
     with_hits, without = [], []
-    for words, y in texts:
-        tags = [bool(y) and not bad.isdisjoint(traits(normal(w))) for w in words]
+    for words, y, lang in texts:
+        tags = [bool(y) and not bad[lang].isdisjoint(traits(normal(w))) for w in words]
         for at in range(0, len(words), SEGMENT):
             part = (words[at : at + SEGMENT], tags[at : at + SEGMENT])
             (with_hits if any(part[1]) else without).append(part)

@@ -268,3 +268,26 @@ def test_pipeline(spark, docs, tmp_path):
     assert not got & {i for i, t in enumerate(TEXTS) if not words(t)}
     texts = [TEXTS[i] for i in got]
     assert len(texts) == len(set(texts)) and len(got) > 20
+
+
+def test_rare_toxic_words_of_a_small_language_are_labelled():
+    import numpy as np
+
+    from corvane.llm.toxicity import fit
+
+    rng = random.Random(8)
+    calm = {"en": ["tree", "house", "river", "walk"], "de": ["baum", "haus", "fluss", "weg"]}
+    rows = []
+    for lang, marks, n in (("en", ["idiot", "scum"], 400), ("de", ["blödian", "schuft"], 12)):
+        for i in range(4 * n):
+            toxic = i % 4 == 0
+            words = rng.choices(calm[lang], k=12)
+            if toxic:
+                words.insert(6, marks[i // 4 % 2])
+            rows.append((" ".join(words), int(toxic), lang))
+    field = fit(rows)
+    for mark in ("idiot", "scum", "blödian", "schuft"):
+        word, end = field.features(["weg", mark, "weg"])
+        size = np.array([3])
+        p, _, _ = field.marginals(field.emissions(word, end, size), size)
+        assert p[1] >= 0.5 and p[0] < 0.5
