@@ -5,12 +5,19 @@ the Huffman tree of the byte before it. Every choice is predicted by several has
 bytes, and the word begun so far), whose tables hold how the training texts chose there. The predictions meet in the
 logistic domain: weights selected by a gate (depth in the tree, which contexts have evidence), plus a refinement that
 each document starts at zero and updates online after every BLOCK choices, so a choice is only ever predicted from
-what comes before it. The sum of log probabilities is the score; divided by the bytes it gives bits per byte.
+what comes before it.
+
+The hashed tables have a fixed size, so one more predictor holds what grows with the corpus: the exact counts of all
+training words. Each word's probability is (1 - share) times that of its bytes plus share times its part of all
+training words (a place between two separators without a word costs 1 - share), and the document's probability is the
+even mixture over SHARES, so each document finds its own share as it goes. Its logarithm is the score; divided by
+the bytes it gives bits per byte.
 
 Passes: one gathers word counts and byte pairs, one fills the tables (tasks send compressed counts, summed in two
-streaming rounds that hold a fixed amount of memory), a bounded sample of training windows fits the gated weights
-with each window's own counts taken out, one scores. The tables and the frequent words (at most HEAD of them, by
-their share of all tokens) are broadcast; the other words meet their counts in a join.
+streaming rounds that hold a fixed amount of memory), one fits the gated weights on all training texts with each
+choice's own count taken out (every partition starts from weights of a bounded sample; their means by gate are
+used), one scores. The tables and the frequent words (at most HEAD of them, by their share of all tokens) are
+broadcast; the other words meet their counts in a join.
 
 Defined results: null text is empty, so its only token is the end; rows with a null id belong to the training part;
 with no training rows all tables are empty and counts are 0.
@@ -38,6 +45,7 @@ N_CONTEXTS = len(ORDERS) + 1
 BLOCK, GATES, REFINE = 4096, 16, 2e-4
 HEAD, FLUSH_WORDS = 100_000, 250_000
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
+SHARES = (0.0, 0.02, 0.1, 0.3)
 SLICE_BYTES, PAD, END = 160 << 10, 8, 0xFF
 _SCALE = 16.0
 _WORD_STEP = 0x9E3779B1
@@ -95,10 +103,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
+_BREAK = np.zeros(256, bool)
+_BREAK[[9, 10, 11, 12, 13, 32, END]] = True
 
 
 class Choices:
-    """All binary choices of some texts: table slots of each context, bits, depths, and each text's number."""
+    """All binary choices of some texts: table slots of each context, bits, depths, the ends of texts and of words."""
 
     def __init__(self, texts: list[bytes], paths: Paths):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -143,7 +153,12 @@ class Choices:
             s >>= shift
             self.slots.append(s.view(np.int32))
         ends = np.cumsum(sizes)
-        self.text_ends = np.concatenate((first, [n]))[ends]
+        starts = np.concatenate((first, [n]))
+        self.text_ends = starts[ends]
+        stop = _BREAK[data[at]]
+        fresh = np.concatenate(([True], stop[:-1]))[: len(stop)]
+        self.word_starts, self.word_ends = starts[np.flatnonzero(~stop & fresh)], starts[np.flatnonzero(stop & ~fresh)]
+        self.breaks = np.diff(np.concatenate(([0], np.cumsum(stop)[ends - 1])))
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -277,35 +292,70 @@ def _stacked(inputs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit_gates(samples: list[bytes], paths: Paths, counts: np.ndarray) -> np.ndarray:
-    """Weights (gate, context) by online gradient steps; the counts leave out the choice at hand itself."""
-    weights = np.full((GATES, N_CONTEXTS), 0.4, np.float32)
-    if not samples:
-        return weights
-    made = Choices(samples, paths)
-    inputs = []
-    for c, slot in enumerate(made.slots):
-        seen = counts[c][slot].astype(np.float64)
-        own = np.arange(len(slot)), made.bits
-        seen[own] = np.maximum(seen[own] - 1, 0)
-        inputs.append(evidence(seen[:, 0], seen[:, 1]))
-    gate, x = gates_of(made.depth, inputs), _stacked(inputs)
-    y = made.bits.astype(np.float32)
-    square = np.full_like(weights, 1e-3)
-    for _ in range(EPOCHS):
-        for a in range(0, len(y), BLOCK):
-            part, g = x[:, a : a + BLOCK], gate[a : a + BLOCK]
-            error = 1 / (1 + np.exp(-(weights[g].T * part).sum(axis=0))) - y[a : a + BLOCK]
-            grad = np.stack([np.bincount(g, error * part[k], GATES) for k in range(N_CONTEXTS)], axis=1)
-            square += grad**2
-            weights -= (0.05 * grad / np.sqrt(square)).astype(np.float32)
-    return weights
-
-
-def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Natural log probability of each text, with its own online refinement of the weights."""
-    out = np.zeros(len(texts))
-    done = 0
+def without_own(counts: np.ndarray) -> np.ndarray:
+    """Evidence (context, 2 * slot + bit) as it is without one choice of that bit."""
+    out = np.empty((len(counts), counts.shape[1], 2), np.int8)
+    for c, t in enumerate(counts):
+        zeros, ones = t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)
+        out[c, :, 0] = evidence(np.maximum(zeros - 1, 0), ones)
+        out[c, :, 1] = evidence(zeros, np.maximum(ones - 1, 0))
+    return out.reshape(len(counts), -1)
+
+
+class Gates:
+    """Weights (gate, context) under online gradient steps, and the number of choices each gate has seen."""
+
+    def __init__(self, weights: np.ndarray | None = None, square: np.ndarray | None = None):
+        self.weights = np.full((GATES, N_CONTEXTS), 0.4, np.float32) if weights is None else weights.copy()
+        self.square = np.full_like(self.weights, 1e-3) if square is None else square.copy()
+        self.seen = np.zeros(GATES)
+
+    def learn(self, texts: list[bytes], paths: Paths, others: np.ndarray, epochs: int) -> None:
+        made = Choices(texts, paths)
+        inputs = [others[c].take(slot * np.int32(2) + made.bits) for c, slot in enumerate(made.slots)]
+        gate, x = gates_of(made.depth, inputs), _stacked(inputs)
+        y = made.bits.astype(np.float32)
+        self.seen += np.bincount(gate, minlength=GATES)
+        for _ in range(epochs):
+            for a in range(0, len(y), BLOCK):
+                part, g = x[:, a : a + BLOCK], gate[a : a + BLOCK]
+                error = 1 / (1 + np.exp(-(self.weights[g].T * part).sum(axis=0))) - y[a : a + BLOCK]
+                grad = np.stack([np.bincount(g, error * part[k], GATES) for k in range(N_CONTEXTS)], axis=1)
+                self.square += grad**2
+                self.weights -= (0.05 * grad / np.sqrt(self.square)).astype(np.float32)
+
+
+def fit_gates(texts: DataFrame, samples: list[bytes], paths, others: np.ndarray) -> np.ndarray:
+    """Weights from all training texts: partitions go on from the sample's weights, then the mean by gate counts."""
+    first = Gates()
+    if samples:
+        first.learn(samples, paths.value, others, EPOCHS)
+    shared = texts.sparkSession.sparkContext.broadcast((zlib.compress(others.tobytes(), 1), first.weights, first.square))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, weights, square = shared.value
+        table = np.frombuffer(zlib.decompress(packed), np.int8).reshape(N_CONTEXTS, -1)
+        own = Gates(weights, square)
+        for batch in batches:
+            for part in slices(batch, column=0):
+                for group in _long_parts([(t or "").encode() for t in part.column(0).to_pylist()]):
+                    own.learn(group, paths.value, table, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.seen.tobytes()], pa.binary())], names=["weights", "seen"]
+        )
+
+    total, seen = np.zeros((GATES, N_CONTEXTS)), np.zeros((GATES, 1))
+    for weights, n in texts.mapInArrow(learn, "weights binary, seen binary").collect():  # one small row a partition
+        n = np.frombuffer(bytes(n)).reshape(-1, 1)
+        total += n * np.frombuffer(bytes(weights), np.float32).reshape(GATES, N_CONTEXTS)
+        seen += n
+    return np.where(seen > 0, total / np.maximum(seen, 1), first.weights).astype(np.float32)
+
+
+def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Natural log probability of each text, with its own online refinement of the weights, and its number of
+    separators; log probability of each word, text after text."""
+    out, breaks, words = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for group in _long_parts(texts):
         made = Choices(group, paths)
         inputs = [tables[c].take(s) for c, s in enumerate(made.slots)]
@@ -314,21 +364,24 @@ def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np
         for k in range(N_CONTEXTS):
             base += weights[:, k].take(gate) * x[k]
         sign = np.float32(1) - np.float32(2) * made.bits
+        loss = np.empty(len(gate), np.float32)
         start = 0
         for end in made.text_ends.tolist():
-            refine, total = np.zeros(N_CONTEXTS, np.float32), 0.0
+            refine = np.zeros(N_CONTEXTS, np.float32)
             for a in range(start, end, BLOCK):
                 b = min(a + BLOCK, end)
                 z = base[a:b] if a == start else base[a:b] + refine @ x[:, a:b]
                 # exp(-log p - ...): the loss of a choice is log(1 + exp(z)) for a zero, log(1 + exp(-z)) for a one.
                 miss = np.exp(np.clip(z * sign[a:b], -30, 30))
-                total -= float(np.log1p(miss).sum(dtype=np.float64))
+                np.log1p(miss, out=loss[a:b])
                 if b < end:
                     refine -= np.float32(REFINE) * (x[:, a:b] @ (sign[a:b] * miss / (1 + miss)))
-            out[done] = total
-            done += 1
             start = end
-    return out
+        so_far = np.concatenate(([0.0], np.cumsum(loss, dtype=np.float64)))
+        out.append(-np.diff(so_far[made.text_ends], prepend=0.0))
+        words.append(so_far[made.word_starts] - so_far[made.word_ends])
+        breaks.append(made.breaks)
+    return np.concatenate(out), np.concatenate(breaks), np.concatenate(words)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +439,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
         .select(F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), spot, F.lit(SAMPLE_CHARS)).alias("w"))
         .orderBy("h", "w").limit(SAMPLE_DOCS).collect()
     )
-    weights = fit_gates([r["w"].encode() for r in sample], paths.value, counted)
+    weights = fit_gates(train.select("text"), [r["w"].encode() for r in sample], paths, without_own(counted))
     tables = np.stack([evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in counted])
     del counted
     shared = spark.sparkContext.broadcast((zlib.compress(tables.tobytes(), 1), weights, head, n_ends))
@@ -398,7 +451,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
             for part in slices(batch, column=1):
                 n = part.num_rows
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                score = log_scores(texts, paths.value, table, gates) / np.log(10)
+                score, breaks, in_bytes = log_scores(texts, paths.value, table, gates)
                 found, sizes = ascii_words(part.column(1))
                 coded = found.dictionary_encode()
                 names = coded.dictionary.to_pylist()
@@ -408,43 +461,61 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
                 each = c[codes] if len(names) else np.zeros(0, np.int64)
                 logs = np.bincount(owner, np.where(each > 0, np.log10(each + 0.1), 0), n) + np.log10(ends + 0.1)
                 seen = np.bincount(owner, each > 0, n).astype(np.int64) + (ends > 0)
-                # The other words of each text, with their numbers.
+                # The other words of each text, with the log probability of their bytes.
                 rest = each == 0
-                pair, times = np.unique(owner[rest].astype(np.int64) << 32 | codes[rest], return_counts=True)
-                rare = pa.array([names[k] for k in (pair & 0xFFFFFFFF).tolist()], pa.string())
-                offsets = pa.array(np.searchsorted(pair >> 32, np.arange(n + 1)).astype(np.int32))
+                rare = coded.dictionary.take(pa.array(codes[rest])).cast(pa.string())
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[rest], minlength=n)))).astype(np.int32))
+                lone = score - np.bincount(owner[~rest], in_bytes[~rest], n) - np.bincount(owner[rest], in_bytes[rest], n)
+                parts = np.empty((n, len(SHARES)))
+                for k, share in enumerate(SHARES):
+                    if share == 0:
+                        parts[:, k] = score
+                        continue
+                    mixed = np.logaddexp(np.log1p(-share) + in_bytes[~rest], np.log(share / n_words) + np.log(each[~rest]))
+                    parts[:, k] = lone + (breaks - sizes) * np.log1p(-share) + np.bincount(owner[~rest], mixed, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(2), pa.array(uuid4().int % (1 << 50) * 4096 + np.arange(n)),
-                        pa.array(sizes + 1, pa.int64()), pa.array(seen), pa.array(logs), pa.array(score),
+                        pa.array(sizes + 1, pa.int64()), pa.array(seen), pa.array(logs), pa.array(list(parts), pa.list_(pa.float64())),
                         pa.array([len(t) for t in texts], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(in_bytes[rest].astype(np.float32))),
                     ],
-                    names=["doc_id", "held_out", "row", "n_tokens", "seen", "logs", "score", "n_bytes", "rare", "times"],
+                    names=["doc_id", "held_out", "row", "n_tokens", "seen", "logs", "parts", "n_bytes", "rare", "in_bytes"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(
         read.select("doc_id", "text", "held_out").mapInArrow(
             run,
-            f"doc_id {kind}, held_out boolean, row long, n_tokens long, seen long, logs double, score double, "
-            "n_bytes long, rare array<string>, times array<int>",
+            f"doc_id {kind}, held_out boolean, row long, n_tokens long, seen long, logs double, parts array<double>, "
+            "n_bytes long, rare array<string>, in_bytes array<float>",
         ),
         "scored",
     )
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "in_bytes")).alias("r"))
+    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.in_bytes").cast("double").alias("in_bytes"))
     c = F.coalesce(F.col("c"), F.lit(0))
+    mixed = []
+    for k, share in enumerate(SHARES):
+        if share:
+            x, y = F.col("in_bytes") + float(np.log1p(-share)), F.log("c") + float(np.log(share / max(n_words, 1)))
+            both = F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
+            mixed.append(F.sum(F.when(c > 0, both).otherwise(x)).alias(f"more_{k}"))
     per_row = (
         rare.join(words, "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.col("times") * F.log10(c + 0.1)).alias("more"),
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_seen"),
+            F.sum(F.log10(c + 0.1)).alias("more"),
+            F.sum(F.when(c > 0, 1).otherwise(0)).alias("more_seen"),
+            *mixed,
         )
     )
+    logs = [F.col("parts")[k] + (F.coalesce(f"more_{k}", F.lit(0.0)) if share else 0.0) for k, share in enumerate(SHARES)]
+    top = F.greatest(*logs)
+    score = (top + F.log(sum(F.exp(x - top) for x in logs)) - float(np.log(len(SHARES)))) / float(np.log(10))
     divisor = float(np.log10(n_train + 0.1 * (distinct + 1)))
-    return rows.drop("rare", "times").join(per_row, "row", "left").select(
+    found = rows.drop("rare", "in_bytes").join(per_row, "row", "left").withColumn("score", score)
+    return found.select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -291,3 +291,32 @@ def test_rare_toxic_words_of_a_small_language_are_labelled():
         size = np.array([3])
         p, _, _ = field.marginals(field.emissions(word, end, size), size)
         assert p[1] >= 0.5 and p[0] < 0.5
+
+
+def test_scores_use_the_counts_of_all_words(spark, monkeypatch):
+    from corvane.llm import lm_score
+
+    # Tables that say nothing stand for tables whose contexts have all run together.
+    monkeypatch.setattr(lm_score, "evidence", lambda zeros, ones: (0 * zeros).astype("int8"))
+    rng = random.Random(9)
+    known, unknown = ("".join(rng.choices("abcdefgh", k=400)) for _ in range(2))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, unknown if i == held[1] else known) for i in range(60) if i not in held] + [(held[0], known), (held[1], unknown)]
+    got = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > -20 and got[held[1]] < -100
+
+
+def test_gates_are_fit_on_all_training_texts(spark, docs):
+    from corvane.llm import lm_score
+    from corvane.llm.lm_score import Gates, Paths, fit_gates, table_counts, without_own
+
+    import numpy as np
+
+    paths = spark.sparkContext.broadcast(Paths(np.ones((256, 256), np.int64)))
+    texts = docs.select("text")
+    others = without_own(table_counts(texts, paths))
+    sample = [TEXTS[0].encode()]
+    first = Gates()
+    first.learn(sample, paths.value, others, lm_score.EPOCHS)
+    assert not np.allclose(fit_gates(texts, sample, paths, others), first.weights)
+    assert np.allclose(fit_gates(texts.limit(0), sample, paths, others), first.weights)
