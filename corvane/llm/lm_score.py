@@ -4,7 +4,8 @@ A lower-cased text plus an end symbol is a sequence of bytes, each coded by a fe
 the Huffman tree of the byte before it. Every choice is predicted by several hashed contexts (the last 2, 3 and 5
 bytes, and the word begun so far), whose tables hold how the training texts chose there. The predictions meet in the
 logistic domain: weights selected by a gate (depth in the tree, which contexts have evidence), plus a refinement that
-each document starts at zero and updates online after every BLOCK choices, so a choice is only ever predicted from
+each document starts at zero and updates online after FIRST_BLOCK choices and at every doubling until the blocks have
+BLOCK choices, so a choice is only ever predicted from
 what comes before it.
 
 The hashed tables have a fixed size, so one more predictor holds what grows with the corpus: the exact counts of all
@@ -42,7 +43,7 @@ from corvane.llm.token_count import ascii_words, slices
 
 ORDERS, TABLE_BITS, CHUNK_BITS = (2, 3, 5), 21, 16
 N_CONTEXTS = len(ORDERS) + 1
-BLOCK, GATES, REFINE = 4096, 16, 2e-4
+BLOCK, FIRST_BLOCK, GATES, REFINE = 4096, 64, 16, 2e-4
 HEAD, FLUSH_WORDS = 100_000, 250_000
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
 SHARES = (0.0, 0.02, 0.1, 0.3)
@@ -368,8 +369,9 @@ def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np
         start = 0
         for end in made.text_ends.tolist():
             refine = np.zeros(N_CONTEXTS, np.float32)
-            for a in range(start, end, BLOCK):
-                b = min(a + BLOCK, end)
+            b = start
+            while b < end:
+                a, b = b, min(b + min(max(FIRST_BLOCK, b - start), BLOCK), end)
                 z = base[a:b] if a == start else base[a:b] + refine @ x[:, a:b]
                 # exp(-log p - ...): the loss of a choice is log(1 + exp(z)) for a zero, log(1 + exp(-z)) for a one.
                 miss = np.exp(np.clip(z * sign[a:b], -30, 30))

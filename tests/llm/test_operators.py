@@ -320,3 +320,18 @@ def test_gates_are_fit_on_all_training_texts(spark, docs):
     first.learn(sample, paths.value, others, lm_score.EPOCHS)
     assert not np.allclose(fit_gates(texts, sample, paths, others), first.weights)
     assert np.allclose(fit_gates(texts.limit(0), sample, paths, others), first.weights)
+
+
+def test_short_texts_are_scored_with_refined_weights(spark, docs, monkeypatch):
+    from corvane.llm import lm_score
+    from corvane.llm.lm_score import Gates, Paths, evidence, log_scores, table_counts
+
+    import numpy as np
+
+    paths = spark.sparkContext.broadcast(Paths(np.ones((256, 256), np.int64)))
+    counted = table_counts(docs.select("text"), paths)
+    tables = np.stack([evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in counted])
+    text = [TEXTS[0][:100].encode()]
+    refined = log_scores(text, paths.value, tables, Gates().weights)[0]
+    monkeypatch.setattr(lm_score, "REFINE", 0.0)
+    assert refined != log_scores(text, paths.value, tables, Gates().weights)[0]
