@@ -32,9 +32,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests)
+    makes one of its own; on a cluster that would be a folder no executor shares, so it raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = getattr(shared_dir, "own", None)
         if not at:
             at = shared_dir.own = tempfile.mkdtemp(prefix="corvane-")
@@ -49,6 +52,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `written` returned, once nothing reads it any more."""
+    spark = table.sparkSession
+    inside = f"{shared_dir(spark)}/corvane/"
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        if inside.removeprefix("file:") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+ROW = "_row"
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a key of its own for each row, the same whenever the row is read again.
+
+    A plain read of files takes the row's place in its file; anything else is written once with numbers.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation"):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select("*", place.alias(ROW))
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return written(docs.withColumn(ROW, number), "rows")
+
+
 def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of many rows with one row per group, safe when one group holds a large share of the rows.
 
@@ -87,9 +118,9 @@ def ranked(df: DataFrame, by: str, out: str) -> DataFrame:
     )
 
 
-def keep_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is listed in dropped (null ids stay)."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs (with ROW) without the rows whose key is in dropped, and without the key."""
+    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def default_tokenizer(name: str) -> str:

@@ -10,9 +10,10 @@ The prefix table is broadcast in blocks of at most BLOCK_ROWS windows, one pass
 the broadcast has a fixed bound however large the benchmark is. Nothing is emitted for pairs without a common
 rarest word.
 
-Defined results: null or word-less texts have no words and no hits; null item ids are ignored; repeated items
-count once; equal texts are judged alike. Hits are kept by doc_id: rows that share a doc_id but not a text all get the
-union of their hits, and a row with a null doc_id gets none.
+Defined results: null or word-less texts have no words and no hits; repeated items count once. The windows of an item
+without an id hit like others, but the item is neither counted nor listed. Hits belong to rows, not to ids: rows
+that share a doc_id, and rows without one, are judged by their own text. Items that share a window are gathered
+by window, and windows with a large share of all occurrences meet their items by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lower_az, written
+from corvane.llm.common import ROW, join_by_group, lower_az, row_keyed, written
 
 WINDOW, BLOCK_ROWS = 10, 100_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,7 +33,7 @@ def words_of(text: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(item_id, window): the different windows of each item, as arrays of words."""
-    items = benchmark.filter("item_id is not null").select("item_id", words_of(F.col("text")).alias("w"))
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
     return (
         items.filter(F.size("w") > 0)
@@ -50,11 +51,12 @@ def _blocks(table: DataFrame, rows: int, most: int) -> list[DataFrame]:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_rows: int = BLOCK_ROWS):
-    """Verified occurrences (doc_id, start, stop, window) of benchmark windows, and the (item_id, window) table."""
+    """Verified occurrences (row key, start, stop, window) of benchmark windows in docs (with a row key), and the
+    (item_id, window) table."""
     by_item = written(item_windows(benchmark, width), "windows")
     windows = written(by_item.select("window").distinct(), "distinct_windows")
     n_windows = windows.count()
-    read = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    read = docs.select(ROW, words_of(F.col("text")).alias("w"))
 
     # How often each benchmark word occurs in the documents.
     vocabulary = written(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
@@ -84,14 +86,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bloc
         "prefix",
     )
     found = None
-    tokens = read.select("doc_id", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    tokens = read.select(ROW, "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     for block in _blocks(prefix, n_windows, block_rows):
         start = F.col("pos") - F.col("at")
         hit = (
             tokens.join(F.broadcast(block), "word")
             .filter((start >= 0) & (start + F.col("len") <= F.col("n")))
             .filter(F.slice("w", start + 1, F.col("len")) == F.col("window"))
-            .select("doc_id", start.alias("start"), (start + F.col("len")).alias("stop"), "window")
+            .select(ROW, start.alias("start"), (start + F.col("len")).alias("stop"), "window")
         )
         found = hit if found is None else found.unionByName(hit)
     return written(found, "occurrences"), by_item
@@ -99,11 +101,19 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bloc
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    keyed = row_keyed(docs.select("doc_id", "text"))
+    return judged(keyed, benchmark, width).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """`contaminated` for docs that have a row key, which the result keeps."""
     found, by_item = occurrences(docs, benchmark, width)
-    spans = found.select("doc_id", "start", "stop").distinct()
+    spans = found.select(ROW, "start", "stop").distinct()
     # Covered positions: spans in order, each adding what lies beyond the furthest stop so far.
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-    covered = spans.groupBy("doc_id").agg(
+    covered = spans.groupBy(ROW).agg(
         F.aggregate(
             F.array_sort(F.collect_list(F.struct("start", "stop"))),
             zero,
@@ -113,17 +123,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
             ),
         )["n"].alias("n_hit")
     )
-    pairs = found.select("doc_id", "window").distinct().join(by_item, "window").select("doc_id", "item_id").distinct()
-    items = pairs.groupBy("doc_id").agg(
+    held = written(found.select(ROW, "window").distinct(), "row_windows")
+    uses = held.groupBy("window").agg(F.count("*").alias("uses"))
+    owners = by_item.filter("item_id is not null").groupBy("window").agg(F.collect_set("item_id").alias("owners"))
+    groups = written(uses.join(owners, "window"), "window_items")
+    pairs = join_by_group(held, groups, "window", "uses", held.count())
+    pairs = pairs.select(ROW, F.explode("owners").alias("item_id")).distinct()
+    items = pairs.groupBy(ROW).agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids")
     )
     counts = docs.select(
         "doc_id",
+        ROW,
         F.coalesce(F.regexp_count(lower_az(F.col("text")), F.lit(_GAP.replace("[", "[^"))), F.lit(0))
         .cast("long").alias("n_words"),
     )
-    return counts.join(covered.join(items, "doc_id"), "doc_id", "left").select(
+    return counts.join(covered.join(items, ROW, "left"), ROW, "left").select(
         "doc_id",
+        ROW,
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

@@ -1,12 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on windows of labelled documents: a bounded sample
-(PER_LANG documents for each language, chosen by a hash of the id, WINDOWS windows of WIDTH bytes from each). At
+(PER_LANG documents, chosen by a hash of the id, for each of the LANGS most frequent languages, WINDOWS windows of
+WIDTH characters at hashed places of each). At
 prediction every byte of the whole text gets a distribution over languages from both directions; texts run as
 windows of WIDTH bytes side by side, and a document's probabilities are the mean over its positions.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled row everything is
-`und`; lang, source and doc_id are no inputs of a prediction.
+`und` with score 0; lang, source and doc_id are no inputs of a prediction. Every row is judged for itself, so
+repeated rows get equal results; of equal probabilities the first language by name wins; texts of any length
+are read whole, in slices of windows.
 """
 
 from __future__ import annotations
@@ -16,33 +19,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import fold
 from corvane.llm.token_count import slices
 
-HIDDEN, WIDTH, PER_LANG, WINDOWS = 8, 64, 600, 4
+HIDDEN, WIDTH, PER_LANG, WINDOWS, LANGS = 8, 64, 600, 4, 500
 STEPS, BATCH, RATE, LANES = 250, 256, 0.02, 2048
 UNKNOWN = "und"
 
 
-def training_windows(docs: DataFrame, folds: int = 5, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(lang, window) of the bounded sample: at most per_lang documents for each language, WINDOWS pieces of each."""
+def training_windows(docs: DataFrame, folds: int = 5, per_lang: int = PER_LANG, langs: int = LANGS) -> list[tuple[str, str]]:
+    """(lang, window) of the bounded sample: per_lang documents, those of the least hashes, for each of the `langs`
+    most frequent languages, WINDOWS pieces of each.
+
+    One pass counts the languages. As hashes are even, a bar on the hash then leaves about four times the wanted
+    documents of each language, and only these are ranked.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(F.col("doc_id"), folds) != 0))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    parts = None
+    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    if not counts:
+        return []
+    span = float(2**63)
+    bars = [(r["lang"], int(min(span - 1025, span * (8.0 * (per_lang + 16) / r["n"] - 1)))) for r in counts]
+    bar = docs.sparkSession.createDataFrame(bars, "lang string, bar long")
     room = F.greatest(F.length("text") - WIDTH, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), room).cast("int") + 1 for k in range(WINDOWS)]
     cut = F.array(*[F.substring(F.col("text"), p, F.lit(WIDTH)) for p in places])
-    for lang in langs:
-        part = rows.filter(F.col("lang") == lang).select("lang", F.xxhash64("doc_id").alias("h"), cut.alias("w"))
-        part = part.orderBy("h").limit(per_lang)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return []
-    found = parts.select("lang", "h", F.posexplode("w").alias("k", "w")).collect()
-    return [(r["lang"], r["w"]) for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["k"])) if r["w"]]
+    near = rows.join(F.broadcast(bar), "lang").filter("h <= bar").select("lang", "h", cut.alias("w"))
+    order = Window.partitionBy("lang").orderBy("h", "w")
+    found = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
+    found = found.select("lang", "h", F.posexplode("w").alias("k", "w")).collect()
+    return [(r["lang"], r["w"]) for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["k"], r["w"])) if r["w"]]
 
 
 def as_windows(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,17 +182,21 @@ def fit(samples: list[tuple[str, str]]) -> tuple[ByteGru | None, list[str]]:
     return net, langs
 
 
-def detect_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs; learns from the rows outside fold 0."""
+def judge_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
+    """docs, all columns, with held_out, lang_pred and score for every row; learns from the rows outside fold 0."""
     net, langs = fit(training_windows(docs, folds))
     shared = docs.sparkSession.sparkContext.broadcast((net, langs))  # some ten thousand numbers
+    marked = docs.withColumn("held_out", fold(F.col("doc_id"), folds) == 0)
+    made = marked.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names = shared.value
         for batch in batches:
-            for part in slices(batch, column=2):
-                texts = [(t or "").encode() for t in part.column(2).to_pylist()]
-                named = pc.match_substring_regex(part.column(2), r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
+            for part in slices(batch, column=at):
+                column = part.column(at)
+                texts = [(t or "").encode() for t in column.to_pylist()]
+                named = pc.match_substring_regex(column, r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
                 if model is None:
                     best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 else:
@@ -191,12 +205,14 @@ def detect_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
                     best = [names[k] if ok else UNKNOWN for k, ok in zip(top, named, strict=True)]
                     score = np.clip(pooled.max(axis=1), 0, 1) * named
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
+                    [*part.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                    names=[*part.schema.names, "lang_pred", "score"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    return marked.mapInArrow(run, made)
+
 
+def detect_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of docs; learns from the rows outside fold 0."""
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return judge_languages(docs.select("doc_id", "text", lang.alias("lang")), folds).drop("text", "lang")

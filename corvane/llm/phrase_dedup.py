@@ -5,14 +5,20 @@ A window is WINDOW consecutive words; a word goes when some window over it has a
 
 1. Anchors. Each window elects the phrase of PHRASE words in it with the least hash, so equal windows elect equal
    phrases, and neighbours mostly elect the same one: about an eighth of the words start an elected phrase. Blocks
-   send their different phrase hashes to hash buckets, where phrases that occur again are confirmed and go back to
-   their blocks.
-2. Automata. Each block compiles its recurring phrases into a pyahocorasick automaton (the shard of all automata
-   that can match in it), streams its documents through it, and takes the windows around the occurrences. Windows
-   that repeat inside the block are settled there; only a block's first occurrence of each goes on, so a passage that
-   a large share of documents hold costs one record per block.
-3. First occurrences. Buckets find the earliest occurrence of each window, known by 128 bits (phrase hash and window
-   hash, independent), and send later ones back to their blocks as word ranges, where words go and digests are made.
+   send the hash and one place of each of their elected phrases to hash buckets, where phrases that occur again are
+   confirmed and go back to their blocks.
+2. Automata. The confirmed phrases of a block, read from their places, are compiled into a pyahocorasick automaton: the
+   shard of all confirmed phrases that can occur in it. All documents of the block stream through it, and its hits
+   are all that is known of where confirmed phrases stand: the windows around a hit are the candidates, named by the
+   least hash among the hits they hold. (A window that occurs twice holds its elected phrase at both places, confirmed at
+   both, and no phrase in it has a smaller hash; so both get the same name.) Windows that repeat inside the block are
+   settled there; only a block's first occurrence of each goes on, so a passage that a large share of documents hold
+   costs one record per block.
+3. First occurrences. Buckets find the earliest occurrence of each window, known by 128 bits (name and window hash,
+   independent), and send later ones back to their blocks as word ranges, where words go and digests are made.
+
+Streaming every document through the automata of all other blocks would cost the square of the corpus; hashes
+decide which phrases are worth a place in an automaton, the automata find where they occur.
 
 Texts move compressed; what moves beside them is about 9 bytes for each recurring window.
 
@@ -35,13 +41,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import written
+from corvane.llm.common import ranked, written
 from corvane.llm.token_count import ascii_words, slices
 
 WINDOW, PHRASE = 20, 6
 BLOCK_BYTES, BUCKET_ROWS = 4 << 20, 400_000
-_LAST = np.iinfo(np.int64).max
+_LAST, _NONE = np.iinfo(np.int64).max, np.uint64(2**64 - 1)
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -51,49 +58,63 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(step: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(step, ())) < n:
+        steps = np.full(max(n, 1 << 20), step, np.uint64)
+        steps[0] = 1
+        _POWERS[step] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[step][:n]
+
+
 def _rolling(h: np.ndarray, width: int, multiplier: np.uint64) -> np.ndarray:
-    """Hash of each run of `width` consecutive values."""
+    """Hash of each run of `width` consecutive values: differences of a running polynomial, shifted back."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * multiplier + h[k : k + n]
-    return _mix(out)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(int(multiplier), len(h)), dtype=np.uint64)))
+    return _mix((total[width:] - total[:n]) * _powers(pow(int(multiplier), -1, 1 << 64), n))
 
 
 class Block:
-    """Words of a block's documents with their window and phrase hashes."""
+    """Words of a block's documents, and the starts of the windows in them."""
 
-    def __init__(self, texts: pa.Array, window: int = WINDOW, phrase: int = PHRASE):
+    def __init__(self, texts: pa.Array, window: int = WINDOW):
         self.words, self.sizes = ascii_words(texts)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        coded = self.words.dictionary_encode()
-        names = coded.dictionary.cast(pa.binary()).to_pylist()
-        codes = coded.indices.to_numpy() if len(names) else np.zeros(0, np.int32)
-        pick = lambda seed: np.fromiter((xxhash.xxh64_intdigest(n, seed) for n in names), np.uint64, len(names))[codes]
-        first = pick(1)
-        self.phrases = _rolling(first, phrase, _MUL[0])
         # Windows that lie within one document.
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         n = max(0, len(owner) - window + 1)
-        at = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
-        self.at, self.doc = at, owner[at] if n else at
-        # The place of each window's least phrase, the leftmost on ties.
-        span = window - phrase + 1
-        self.anchor = at.copy()
-        if len(at):
-            least = self.phrases[at].copy()
-            for k in range(1, span):
-                other = self.phrases[at + k]
-                better = other < least
-                least[better] = other[better]
-                self.anchor[better] = at[better] + k
-        self._pick, self._window = pick, window
+        self.at = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
+        self.doc = owner[self.at] if n else self.at
+        self._window = window
+
+    def word_hashes(self, seed: int) -> np.ndarray:
+        coded = self.words.dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes = coded.indices.to_numpy() if len(names) else np.zeros(0, np.int32)
+        return np.fromiter((xxhash.xxh64_intdigest(n, seed) for n in names), np.uint64, len(names))[codes]
+
+    def phrase_hashes(self, phrase: int = PHRASE) -> np.ndarray:
+        return _rolling(self.word_hashes(1), phrase, _MUL[0])
 
     def window_hashes(self) -> np.ndarray:
-        return _rolling(self._pick(2), self._window, _MUL[1])
+        return _rolling(self.word_hashes(2), self._window, _MUL[1])
+
+    def elected(self, hashes: np.ndarray, phrase: int = PHRASE) -> np.ndarray:
+        """The place of each window's least phrase, the leftmost on ties."""
+        anchor = self.at.copy()
+        if len(self.at):
+            least = hashes[self.at]
+            for k in range(1, self._window - phrase + 1):
+                other = hashes[self.at + k]
+                better = other < least
+                least[better] = other[better]
+                anchor[better] = self.at[better] + k
+        return anchor
 
 
 def _compress(texts: list[str | None]) -> bytes:
@@ -135,34 +156,36 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "block long, ids array<long>, texts binary"
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, ids array<long>, texts binary")
 
 
 def _anchors(n_buckets: int, window: int, phrase: int):
-    """Per block and bucket: the different elected phrases (hash, whether it occurs again in the block)."""
+    """Per block and bucket: the different elected phrases (hash, one place, whether it occurs again in the block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block = Block(_texts(packed.as_py()), window, phrase)
-                place = np.unique(block.anchor)
-                found, count = np.unique(block.phrases[place], return_counts=True)
+                block = Block(_texts(packed.as_py()), window)
+                hashes = block.phrase_hashes(phrase)
+                place = np.unique(block.elected(hashes, phrase))
+                found, first, count = np.unique(hashes[place], return_index=True, return_counts=True)
                 bucket = (found >> np.uint64(20)) % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 found, again, bucket = found[order], (count > 1)[order], bucket[order]
+                where = place[first][order].astype(np.int32)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 heads = np.concatenate(([0], cut)) if len(bucket) else cut
                 tails = np.append(cut, len(bucket)) if len(bucket) else cut
+                split = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket[heads].astype(np.int32)),
                         pa.array([name] * len(heads), pa.int64()),
-                        pa.array([found[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
-                        pa.array([again[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
+                        split(found),
+                        split(where),
+                        split(again),
                     ],
-                    names=["bucket", "block", "hashes", "again"],
+                    names=["bucket", "block", "hashes", "places", "again"],
                 )
 
     return run
@@ -173,40 +196,57 @@ def _confirm(table: pa.Table) -> pa.Table:
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
     again = np.concatenate([np.frombuffer(x.as_py(), bool) for x in table.column("again")])
     found, inverse, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    recurs = count > 1
-    recurs[inverse[again]] = True
-    kept, at = [], 0
-    for h in hashes:
-        kept.append(h[recurs[inverse[at : at + len(h)]]].tobytes())
+    recurs = (count > 1)[inverse]
+    recurs |= np.isin(inverse, inverse[again])
+    kept, places, at = [], [], 0
+    for h, place in zip(hashes, table.column("places"), strict=True):
+        own = recurs[at : at + len(h)]
+        kept.append(h[own].tobytes())
+        places.append(np.frombuffer(place.as_py(), np.int32)[own].tobytes())
         at += len(h)
-    out = pa.table({"block": table.column("block"), "hashes": pa.array(kept, pa.binary())})
+    kept, places = pa.array(kept, pa.binary()), pa.array(places, pa.binary())
+    out = pa.table({"block": table.column("block"), "hashes": kept, "places": places})
     return out.filter(pc.greater(pc.binary_length(out.column("hashes")), 0))
 
 
-def phrase_places(block: Block, recurring: np.ndarray, phrase: int = PHRASE) -> np.ndarray:
-    """Marks the words of the block where a recurring phrase starts, found by an automaton over its texts."""
-    hit = np.zeros(len(block.words) + 1, bool)
-    elected = np.unique(block.anchor)
-    own = elected[np.isin(block.phrases[elected], recurring)]
-    if not len(own):
-        return hit
-    _, one = np.unique(block.phrases[own], return_index=True)
+def phrase_hits(block: Block, places: np.ndarray, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
+    """Every place in the block where one of the phrases at `places` stands, and which one (its index in places).
+
+    The phrases are compiled into an automaton, and the documents of the block stream through it.
+    """
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = block.words.to_pylist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in own[one].tolist():
-        automaton.add_word(" " + " ".join(words[p : p + phrase]) + " ")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, p in enumerate(places.tolist()):
+        automaton.add_word(" " + " ".join(words[p : p + phrase]) + " ", k)
     automaton.make_automaton()
     lengths = pc.utf8_length(block.words).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, e in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
         if e - s < phrase:
             continue
-        text = " " + " ".join(words[s:e]) + " "
-        last = [end for end, _ in automaton.iter(text)]
-        if last:
+        found = list(automaton.iter(" " + " ".join(words[s:e]) + " "))
+        if found:
+            ends, own = np.array(found, np.int64).T
             # A match ends with the blank after its last word.
-            blanks = np.cumsum(lengths[s:e] + 1)
-            hit[s + np.searchsorted(blanks, np.array(last)) - (phrase - 1)] = True
-    return hit
+            at.append(s + np.searchsorted(np.cumsum(lengths[s:e] + 1), ends) - (phrase - 1))
+            which.append(own)
+    return np.concatenate(at), np.concatenate(which)
+
+
+def candidates(block: Block, hits: np.ndarray, names: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (indices into block.at) that hold a hit, and the least name among their hits."""
+    n = len(block.words)
+    name = np.full(n + span, _NONE)
+    name[hits] = names
+    before = np.concatenate(([0], np.cumsum(name != _NONE)))
+    chosen = np.flatnonzero(before[block.at + span] > before[block.at])
+    at = block.at[chosen]
+    least = name[at]
+    for k in range(1, span):
+        np.minimum(least, name[at + k], out=least)
+    return chosen, least
 
 
 def _ranges(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +263,14 @@ def _windows(n_buckets: int, window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                name, ids, packed, hashes = (batch.column(k)[row].as_py() for k in range(4))
-                recurring = np.concatenate([np.frombuffer(h, np.uint64) for h in hashes])
-                block = Block(_texts(packed), window, phrase)
-                hit = phrase_places(block, recurring, phrase)
-                chosen = np.flatnonzero(hit[block.anchor])
+                name, ids, packed, hashes, places = (batch.column(k)[row].as_py() for k in range(5))
+                hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in hashes])
+                places = np.concatenate([np.frombuffer(p, np.int32) for p in places])
+                block = Block(_texts(packed), window)
+                hits, which = phrase_hits(block, places, phrase)
+                chosen, key_a = candidates(block, hits, hashes[which], window - phrase + 1)
                 at, doc = block.at[chosen], block.doc[chosen]
-                key_a, key_b = block.phrases[block.anchor[chosen]], block.window_hashes()[at]
+                key_b = block.window_hashes()[at] if len(at) else key_a
                 doc_id = np.array([_LAST if i is None else i for i in ids], np.int64)[doc]
                 start = (at - block.starts[doc]).astype(np.int64)
                 order = np.lexsort((start, doc_id, key_b, key_a))
@@ -347,17 +388,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bucket_rows: int = BUCKET_ROWS,
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs."""
+    """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs.
+
+    Ids that are no integers are numbered in their order first and put back at the end.
+    """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        names = written(ranked(docs.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "_n"), "names")
+        numbered = docs.select("doc_id", "text").join(names, "doc_id", "left").select(F.col("_n").alias("doc_id"), "text")
+        out = remove_repeats(numbered, window, phrase, bucket_rows, block_bytes).withColumnRenamed("doc_id", "_n")
+        return out.join(names, "_n", "left").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = written(pack(docs, block_bytes), "blocks")
     packed = blocks.agg(F.sum(F.length("texts"))).first()[0] or 0
     # About four bytes of compressed text for a word; buckets hold a bounded number of windows however many there are.
     n_buckets = int(max(1, packed // (4 * bucket_rows)))
     anchors = blocks.select("block", "texts").mapInArrow(
-        _anchors(n_buckets, window, phrase), "bucket int, block long, hashes binary, again binary"
+        _anchors(n_buckets, window, phrase), "bucket int, block long, hashes binary, places binary, again binary"
     )
-    recurring = anchors.groupBy("bucket").applyInArrow(_confirm, "block long, hashes binary")
-    by_block = recurring.groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
-    found = blocks.join(by_block, "block").select("block", "ids", "texts", "hashes").mapInArrow(
+    recurring = anchors.groupBy("bucket").applyInArrow(_confirm, "block long, hashes binary, places binary")
+    both = recurring.groupBy("block").agg(F.collect_list(F.struct("hashes", "places")).alias("r"))
+    by_block = both.select("block", F.col("r.hashes").alias("hashes"), F.col("r.places").alias("places"))
+    found = blocks.join(by_block, "block").select("block", "ids", "texts", "hashes", "places").mapInArrow(
         _windows(n_buckets, window, phrase), "bucket int, block long, settled int, payload binary"
     )
     later = found.groupBy("bucket").applyInArrow(_firsts(window), "block long, ranges binary")

@@ -7,9 +7,11 @@ Only different fingerprints are compared. The 64 bits are cut into RADIUS + 2 bl
 least two blocks agree, so meeting in one of the 15 tables keyed by two blocks misses no link. The fingerprints of
 a table key are a shard with a BK-tree: children hang on their integer Hamming distance to the parent, and a search
 follows only edges within the radius of the distance at hand. Shards go to the tasks by a shuffle and not by a
-broadcast, as all trees together grow with the corpus. A key with more than SHARD fingerprints is split: its parts
-meet pairwise, so no task holds more than about two parts. A tree reports a spanning forest of its links, which
-keeps every component and never lists all pairs of a group.
+broadcast, as all trees together grow with the corpus. A key with more than SHARD fingerprints is cut again: of the bits
+outside its two blocks linked fingerprints differ in at most RADIUS as well, so the rest is cut into RADIUS + 2
+pieces of which two agree, which makes 15 finer keys of some 36 bits. Only where even those are crowded (many
+fingerprints that differ in few bits) are they split in parts that meet pairwise, so no task holds more than about two
+parts. A tree reports a spanning forest of its links, which keeps every component and never lists all pairs of a group.
 
 Defined results: null and word-less texts link to each other; rows with the same id get the same component only if
 their texts link; a component's id is its smallest doc_id (null ids do not count).
@@ -18,11 +20,12 @@ their texts link; a component's id is its smallest doc_id (null ids do not count
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import join_by_group, lower_az, written
@@ -142,7 +145,7 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def _trees(radius: int):
-    """Links of sorted rows (key, a, b, fp): one tree for each run of equal (key, a, b)."""
+    """Links of sorted rows (key, finer, pair, fp): one tree for each run of equal (key, finer, pair)."""
     mask = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,34 +175,61 @@ def _trees(radius: int):
     return run
 
 
-def block_keys(fp, radius: int = RADIUS):
-    """One long key for each pair of the radius + 2 blocks: table number above the bits of both blocks."""
-    n = radius + 2
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    part = lambda i: F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    keys, table = [], 0
-    for i in range(n):
-        for j in range(i + 1, n):
-            low = cuts[j + 1] - cuts[j]
-            both = F.shiftleft(part(i), low).bitwiseOR(part(j))
-            keys.append(both.bitwiseOR(F.lit(table << 40).cast("long")))
-            table += 1
+def _cuts(bits: int, n: int) -> list[int]:
+    return [round(bits * i / n) for i in range(n + 1)]
+
+
+def _bits(value: Column, low: int, high: int) -> Column:
+    return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+
+
+def _joined(parts: list[tuple[Column, int]]) -> Column:
+    """Bit fields (value, width) side by side in one long."""
+    out = F.lit(0).cast("long")
+    for value, width in parts:
+        out = F.shiftleft(out, width).bitwiseOR(value)
+    return out
+
+
+def block_keys(value: Column, bits: int = 64, radius: int = RADIUS) -> Column:
+    """One (key, rest) for each pair of radius + 2 blocks of a value's bits: the number of the pair above the bits of
+    both blocks, and all other bits."""
+    cuts = _cuts(bits, radius + 2)
+    blocks = [(_bits(value, a, b), b - a) for a, b in zip(cuts, cuts[1:])]
+    keys = []
+    for table, pair in enumerate(combinations(range(len(blocks)), 2)):
+        both = _joined([blocks[k] for k in pair]).bitwiseOR(F.lit(table << 40).cast("long"))
+        rest = _joined([b for k, b in enumerate(blocks) if k not in pair])
+        keys.append(F.struct(both.alias("key"), rest.alias("rest")))
     return F.array(*keys)
 
 
+def _rest_bits(radius: int) -> int:
+    """Bits outside two blocks, at most."""
+    widths = sorted(b - a for a, b in zip(_cuts(64, radius + 2), _cuts(64, radius + 2)[1:]))
+    return 64 - widths[0] - widths[1]
+
+
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints linked by chains of distances up to radius."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    crowded = keyed.groupBy("key").count().filter("count > 1")
-    met = keyed.join(crowded, "key").withColumn("parts", F.ceil(F.col("count") / shard).cast("long"))
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    grouped = met.select(
-        "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "fp"
-    )
+    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), 64, radius)).alias("k"))
+    keyed = keyed.select("fp", "k.key", "k.rest", F.lit(-1).cast("long").alias("finer"))
+    sizes = keyed.groupBy("key").count().filter("count > 1")
+    met = keyed.join(sizes, "key")
+    crowded = met.filter(F.col("count") > shard).drop("count", "finer")
+    finer = crowded.select("fp", "key", F.explode(block_keys(F.col("rest"), _rest_bits(radius), radius)).alias("k"))
+    finer = finer.select("fp", "key", F.col("k.key").alias("finer"))
+    finer_sizes = finer.groupBy("key", "finer").count().filter("count > 1")
+    split = met.filter(F.col("count") <= shard).select("fp", "key", "finer", "count")
+    split = split.unionByName(finer.join(finer_sizes, ["key", "finer"]))
+    split = split.withColumn("parts", F.ceil(F.col("count") / shard).cast("long"))
+    split = split.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.struct(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    grouped = split.select("key", "finer", F.xxhash64(pair).alias("pair"), "fp")
     return (
-        grouped.repartition("key", "a", "b")
-        .sortWithinPartitions("key", "a", "b", "fp")
+        grouped.repartition("key", "finer", "pair")
+        .sortWithinPartitions("key", "finer", "pair", "fp")
         .mapInArrow(_trees(radius), "u long, v long")
     )
 
