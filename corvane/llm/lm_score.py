@@ -15,13 +15,14 @@ even mixture over SHARES, so each document finds its own share as it goes. Its l
 the bytes it gives bits per byte.
 
 Passes: one gathers word counts and byte pairs, one fills the tables (tasks send compressed counts, summed in two
-streaming rounds that hold a fixed amount of memory), one fits the gated weights on all training texts with each
+streaming rounds that hold a fixed amount of memory and end as log odds in single bytes), one fits the gated weights on all training texts with each
 choice's own count taken out (every partition starts from weights of a bounded sample; their means by gate are
-used), one scores. The tables and the frequent words (at most HEAD of them, by their share of all tokens) are
-broadcast; the other words meet their counts in a join.
+used), one scores. The tables and the most frequent words (at most HEAD, of at most HEAD_CHARS characters) are
+broadcast; the other words meet their counts in a join. Texts of any length are read whole, in slices.
 
 Defined results: null text is empty, so its only token is the end; rows with a null id belong to the training part;
-with no training rows all tables are empty and counts are 0.
+with no training rows all tables are empty and counts are 0. Repeated rows are trained on as often as they occur and
+scored each for itself, with equal results.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fold, lower_az, written
+from corvane.llm.common import ROW, fold, lower_az, row_keyed, written
 from corvane.llm.token_count import ascii_words, slices
 
 ORDERS, TABLE_BITS, CHUNK_BITS = (2, 3, 5), 21, 16
 N_CONTEXTS = len(ORDERS) + 1
-BLOCK, FIRST_BLOCK, GATES, REFINE = 4096, 64, 16, 2e-4
-HEAD, FLUSH_WORDS = 100_000, 250_000
+BLOCK, FIRST_BLOCK, LEARN_BLOCK, GATES, REFINE = 4096, 64, 8192, 16, 2e-4
+HEAD, HEAD_CHARS, FLUSH_WORDS = 250_000, 100, 250_000
+FLUSH_CHOICES, TASK_CHOICES = 5_000_000, 1 << 31
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
 SHARES = (0.0, 0.02, 0.1, 0.3)
 SLICE_BYTES, PAD, END = 160 << 10, 8, 0xFF
@@ -96,10 +97,17 @@ class Paths:
                     shared = slice(before * 256, before * 256 + 256)
             else:
                 start[before * 256 : before * 256 + 256], size[before * 256 : before * 256 + 256] = start[shared], size[shared]
-        self.nodes = np.array(nodes, np.uint32) * np.uint32(0x85EBCA6B)
+        self.nodes = _spread(np.array(nodes, np.uint32) * np.uint32(0x85EBCA6B))
         self.bits, self.start, self.size = np.array(bits, np.uint8), start, size
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """32-bit hashes with every input bit spread over all bits."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -134,27 +142,29 @@ class Choices:
         word = (total[at] - total[begin]) * _inverse_powers(len(data) + 1)[begin]
         word = (word ^ (word >> np.uint32(13))) * np.uint32(0x297A2D39)
         contexts.append(word + np.uint32(77))
-        pair = data[at - 1].astype(np.int64) * 256 + data[at]
+        pair = data[at - 1].astype(np.int32) * 256 + data[at]
         size = paths.size[pair]
-        n = int(size.sum(dtype=np.int64))
-        first = np.cumsum(size, dtype=np.int64) - size
-        depth = np.arange(n, dtype=np.int64) - np.repeat(first, size)
-        place = np.repeat(paths.start[pair].astype(np.int64), size) + depth
-        node = paths.nodes[place]
-        self.bits = paths.bits[place]
-        self.depth = np.minimum(depth, 3).astype(np.uint8)
+        count = np.cumsum(size, dtype=np.int32)
+        n = int(count[-1]) if len(count) else 0
+        first = count - size
+        # The byte of each choice; everything else is looked up through it.
+        owner = np.repeat(np.arange(len(at)), size)
+        nth = np.arange(n, dtype=np.int32)
+        nth -= first.take(owner)
+        place = paths.start[pair].astype(np.int64).take(owner)
+        place += nth
+        node = paths.nodes.take(place)
+        self.bits = paths.bits.take(place)
+        self.depth = np.minimum(nth, 3, out=nth).astype(np.uint8)
         shift = np.uint32(32 - TABLE_BITS)
         self.slots = []
-        for c in contexts:
-            s = np.repeat(c, size)
+        for k, c in enumerate(contexts):
+            s = _spread(c + np.uint32(k * 0x51ED270B)).take(owner)
             s += node
-            s *= np.uint32(0x9E3779B1)
-            s ^= s >> np.uint32(16)
-            s *= np.uint32(0x7FEB352D)
             s >>= shift
             self.slots.append(s.view(np.int32))
         ends = np.cumsum(sizes)
-        starts = np.concatenate((first, [n]))
+        starts = np.concatenate((first, [n])).astype(np.int64)
         self.text_ends = starts[ends]
         stop = _BREAK[data[at]]
         fresh = np.concatenate(([True], stop[:-1]))[: len(stop)]
@@ -204,6 +214,7 @@ def _unsqueeze(b: bytes, kind) -> np.ndarray:
 
 _COUNTS = ["key", "place", "n"]
 _COUNT_TYPE = "key int, place binary, n binary"
+PIECE, PIECES = 2 << CHUNK_BITS, 1 << (TABLE_BITS - CHUNK_BITS)
 
 
 def _count_rows(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -220,26 +231,55 @@ def _count_rows(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     """Streaming sum of count rows: holds one dense piece for each key of the partition."""
     tables: dict[int, np.ndarray] = {}
     for batch in batches:
         for key, place, n in zip(*(batch.column(c).to_pylist() for c in _COUNTS), strict=True):
             if key not in tables:
-                tables[key] = np.zeros(2 << CHUNK_BITS, np.uint32)
+                tables[key] = np.zeros(PIECE, np.uint64)
             at = np.cumsum(_unsqueeze(place, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel())
-            more = _unsqueeze(n, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-            tables[key][at] = np.minimum(tables[key][at] + more, 2**32 - 1).astype(np.uint32)
-    yield _count_rows(tables)
+            tables[key][at] += _unsqueeze(n, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return tables
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _count_rows(_summed(batches))
+
+
+def evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds of a one as small integers; zero without counts."""
+    odds = np.log((ones + 0.2) / (zeros + 0.2))
+    return np.clip(np.rint(odds * _SCALE), -127, 127).astype(np.int8)
+
 
+def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each piece the evidence by slot, and by (slot, bit) as it is without one choice of that bit."""
+    keys, plain, others = [], [], []
+    for key, dense in _summed(batches).items():
+        zeros, ones = dense[0::2].astype(np.float64), dense[1::2].astype(np.float64)
+        without = np.empty(PIECE, np.int8)
+        without[0::2] = evidence(np.maximum(zeros - 1, 0), ones)
+        without[1::2] = evidence(zeros, np.maximum(ones - 1, 0))
+        keys.append(key)
+        plain.append(_squeeze(evidence(zeros, ones)))
+        others.append(_squeeze(without))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int32()), pa.array(plain, pa.binary()), pa.array(others, pa.binary())], names=["key", "plain", "others"]
+    )
+
+
+def table_evidence(texts: DataFrame, paths) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence (context, slot) of all texts and (context, 2 * slot + bit) without one's own choice.
 
-def table_counts(texts: DataFrame, paths) -> np.ndarray:
-    """Counts (context, slot, bit) over all texts, gathered in pieces of a fixed size."""
+    Counts are gathered in pieces of a fixed size and leave the executors as one byte a slot, so what reaches the driver has
+    a fixed size (at most 3 * 2^TABLE_BITS bytes a context), and no count is cut.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 << TABLE_BITS, np.uint32) for _ in range(N_CONTEXTS)]
+        counts = np.zeros((N_CONTEXTS, 2 << TABLE_BITS), np.uint32)
         pending: list[list[np.ndarray]] = [[] for _ in range(N_CONTEXTS)]
-        held = 0
+        held = total = 0
 
         def flush() -> None:
             for c, parts in enumerate(pending):
@@ -247,42 +287,42 @@ def table_counts(texts: DataFrame, paths) -> np.ndarray:
                     counts[c] += np.bincount(np.concatenate(parts), minlength=2 << TABLE_BITS).astype(np.uint32)
                     parts.clear()
 
+        def rows() -> pa.RecordBatch:
+            flush()
+            return _count_rows(dict(enumerate(counts.reshape(-1, PIECE))))
+
         for batch in batches:
             for part in slices(batch, column=0):
                 for group in _long_parts([(t or "").encode() for t in part.column(0).to_pylist()]):
                     made = Choices(group, paths.value)
                     held += len(made.bits)
                     for c, slot in enumerate(made.slots):
-                        pending[c].append(slot * np.int32(2) + made.bits)
-                    if held > 2_500_000:
+                        slot *= np.int32(2)
+                        slot += made.bits
+                        pending[c].append(slot)
+                    if held > FLUSH_CHOICES:
                         flush()
-                        held = 0
-        flush()
-        size = 2 << CHUNK_BITS
-        pieces = (2 << TABLE_BITS) // size
-        yield _count_rows({c * pieces + k: counts[c][k * size : (k + 1) * size] for c in range(N_CONTEXTS) for k in range(pieces)})
+                        held, total = 0, total + held
+                    if total > TASK_CHOICES:
+                        yield rows()
+                        counts[:] = 0
+                        total = 0
+        yield rows()
 
     rows = texts.mapInArrow(fill, _COUNT_TYPE)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = rows.repartition(n, "key", F.xxhash64("place") % 16).mapInArrow(_sum_counts, _COUNT_TYPE)
-    full = half.repartition("key").mapInArrow(_sum_counts, _COUNT_TYPE)
-    dense = np.zeros((N_CONTEXTS, 2 << TABLE_BITS), np.uint32)
-    flat = dense.reshape(-1, 2 << CHUNK_BITS)
-    # The pieces have a fixed total size, whatever the input.
-    for key, place, n in full.collect():
-        at = np.cumsum(_unsqueeze(bytes(place), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel())
-        flat[key, at] = _unsqueeze(bytes(n), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-    return dense.reshape(N_CONTEXTS, 1 << TABLE_BITS, 2)
-
-
-def evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log odds of a one as small integers; zero without counts."""
-    odds = np.log((ones + 0.2) / (zeros + 0.2))
-    return np.clip(np.rint(odds * _SCALE), -127, 127).astype(np.int8)
+    full = half.repartition("key").mapInArrow(_odds, "key int, plain binary, others binary")
+    plain = np.zeros((N_CONTEXTS * PIECES, PIECE // 2), np.int8)
+    others = np.zeros((N_CONTEXTS * PIECES, PIECE), np.int8)
+    # A row for each of the N_CONTEXTS * PIECES pieces, whatever the input.
+    for key, p, o in full.collect():
+        plain[key], others[key] = _unsqueeze(bytes(p), np.int8), _unsqueeze(bytes(o), np.int8)
+    return plain.reshape(N_CONTEXTS, -1), others.reshape(N_CONTEXTS, -1)
 
 
 def gates_of(depth: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    return depth * np.uint8(4) + (inputs[-2] != 0) * np.uint8(2) + (inputs[-1] != 0)
+    return (depth * np.uint8(4) + (inputs[-2] != 0) * np.uint8(2) + (inputs[-1] != 0)).astype(np.int64)
 
 
 def _stacked(inputs: list[np.ndarray]) -> np.ndarray:
@@ -293,16 +333,6 @@ def _stacked(inputs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def without_own(counts: np.ndarray) -> np.ndarray:
-    """Evidence (context, 2 * slot + bit) as it is without one choice of that bit."""
-    out = np.empty((len(counts), counts.shape[1], 2), np.int8)
-    for c, t in enumerate(counts):
-        zeros, ones = t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)
-        out[c, :, 0] = evidence(np.maximum(zeros - 1, 0), ones)
-        out[c, :, 1] = evidence(zeros, np.maximum(ones - 1, 0))
-    return out.reshape(len(counts), -1)
-
-
 class Gates:
     """Weights (gate, context) under online gradient steps, and the number of choices each gate has seen."""
 
@@ -313,14 +343,26 @@ class Gates:
 
     def learn(self, texts: list[bytes], paths: Paths, others: np.ndarray, epochs: int) -> None:
         made = Choices(texts, paths)
-        inputs = [others[c].take(slot * np.int32(2) + made.bits) for c, slot in enumerate(made.slots)]
+        inputs = []
+        for c, slot in enumerate(made.slots):
+            slot *= np.int32(2)
+            slot += made.bits
+            inputs.append(others[c].take(slot))
         gate, x = gates_of(made.depth, inputs), _stacked(inputs)
         y = made.bits.astype(np.float32)
         self.seen += np.bincount(gate, minlength=GATES)
         for _ in range(epochs):
-            for a in range(0, len(y), BLOCK):
-                part, g = x[:, a : a + BLOCK], gate[a : a + BLOCK]
-                error = 1 / (1 + np.exp(-(self.weights[g].T * part).sum(axis=0))) - y[a : a + BLOCK]
+            for a in range(0, len(y), LEARN_BLOCK):
+                part, g = x[:, a : a + LEARN_BLOCK], gate[a : a + LEARN_BLOCK]
+                columns = np.ascontiguousarray(self.weights.T)
+                z = columns[0].take(g) * part[0]
+                for k in range(1, N_CONTEXTS):
+                    z += columns[k].take(g) * part[k]
+                np.negative(z, out=z)
+                np.exp(np.minimum(z, 60, out=z), out=z)
+                z += 1
+                error = np.reciprocal(z, out=z)
+                error -= y[a : a + LEARN_BLOCK]
                 grad = np.stack([np.bincount(g, error * part[k], GATES) for k in range(N_CONTEXTS)], axis=1)
                 self.square += grad**2
                 self.weights -= (0.05 * grad / np.sqrt(self.square)).astype(np.float32)
@@ -361,8 +403,8 @@ def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np
         made = Choices(group, paths)
         inputs = [tables[c].take(s) for c, s in enumerate(made.slots)]
         gate, x = gates_of(made.depth, inputs), _stacked(inputs)
-        base = np.zeros(len(gate), np.float32)
-        for k in range(N_CONTEXTS):
+        base = weights[:, 0].take(gate) * x[0]
+        for k in range(1, N_CONTEXTS):
             base += weights[:, k].take(gate) * x[k]
         sign = np.float32(1) - np.float32(2) * made.bits
         loss = np.empty(len(gate), np.float32)
@@ -374,7 +416,8 @@ def log_scores(texts: list[bytes], paths: Paths, tables: np.ndarray, weights: np
                 a, b = b, min(b + min(max(FIRST_BLOCK, b - start), BLOCK), end)
                 z = base[a:b] if a == start else base[a:b] + refine @ x[:, a:b]
                 # exp(-log p - ...): the loss of a choice is log(1 + exp(z)) for a zero, log(1 + exp(-z)) for a one.
-                miss = np.exp(np.clip(z * sign[a:b], -30, 30))
+                miss = np.minimum(z * sign[a:b], 30)
+                np.exp(miss, out=miss)
                 np.log1p(miss, out=loss[a:b])
                 if b < end:
                     refine -= np.float32(REFINE) * (x[:, a:b] @ (sign[a:b] * miss / (1 + miss)))
@@ -418,7 +461,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row."""
     spark = docs.sparkSession
-    read = docs.select("doc_id", lower_az(F.col("text")).alias("text"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
+    read = row_keyed(docs.select("doc_id", "text"))
+    read = read.withColumn("text", lower_az(F.col("text"))).withColumn("held_out", fold(F.col("doc_id"), folds) == 0)
     train = read.filter("not held_out")
     gathered = train.select("text").mapInArrow(_gather, "word string, pair int, n long")
     counts = written(gathered.groupBy("word", "pair").agg(F.sum("n").alias("c")), "word_counts")
@@ -430,10 +474,17 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_ends = train.count()
     n_train, distinct = n_words + n_ends, distinct + (n_ends > 0)
-    # Words with at least this share of all words number at most HEAD.
-    bar = max(2, -(-n_words // HEAD))
-    head = {r[0]: r[1] for r in words.filter(F.col("c") >= bar).collect()}
-    counted = table_counts(train.select("text"), paths)
+    # The least count that leaves at most HEAD words; counts fall in some thousand classes, an eighth of a bit each.
+    classes = words.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    bar, room_left = n_words + 1, HEAD
+    for _, n, least in sorted(classes, reverse=True):
+        room_left -= n
+        if room_left < 0:
+            break
+        bar = least
+    often = words.filter((F.col("c") >= bar) & (F.length("word") <= HEAD_CHARS))
+    head = {r[0]: r[1] for r in often.collect()}
+    tables, others = table_evidence(train.select("text"), paths)
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     spot = F.pmod(F.xxhash64(F.lit(5), "doc_id"), room).cast("int") + 1
     sample = (
@@ -441,9 +492,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
         .select(F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), spot, F.lit(SAMPLE_CHARS)).alias("w"))
         .orderBy("h", "w").limit(SAMPLE_DOCS).collect()
     )
-    weights = fit_gates(train.select("text"), [r["w"].encode() for r in sample], paths, without_own(counted))
-    tables = np.stack([evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in counted])
-    del counted
+    weights = fit_gates(train.select("text"), [r["w"].encode() for r in sample], paths, others)
     shared = spark.sparkContext.broadcast((zlib.compress(tables.tobytes(), 1), weights, head, n_ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,25 +526,25 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
                     parts[:, k] = lone + (breaks - sizes) * np.log1p(-share) + np.bincount(owner[~rest], mixed, n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(2), pa.array(uuid4().int % (1 << 50) * 4096 + np.arange(n)),
+                        part.column(0), part.column(2), part.column(3),
                         pa.array(sizes + 1, pa.int64()), pa.array(seen), pa.array(logs), pa.array(list(parts), pa.list_(pa.float64())),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(in_bytes[rest].astype(np.float32))),
                     ],
-                    names=["doc_id", "held_out", "row", "n_tokens", "seen", "logs", "parts", "n_bytes", "rare", "in_bytes"],
+                    names=["doc_id", "held_out", ROW, "n_tokens", "seen", "logs", "parts", "n_bytes", "rare", "in_bytes"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(
-        read.select("doc_id", "text", "held_out").mapInArrow(
+        read.select("doc_id", "text", "held_out", ROW).mapInArrow(
             run,
-            f"doc_id {kind}, held_out boolean, row long, n_tokens long, seen long, logs double, parts array<double>, "
+            f"doc_id {kind}, held_out boolean, {ROW} struct<file:long,at:long>, n_tokens long, seen long, logs double, parts array<double>, "
             "n_bytes long, rare array<string>, in_bytes array<float>",
         ),
         "scored",
     )
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "in_bytes")).alias("r"))
-    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.in_bytes").cast("double").alias("in_bytes"))
+    rare = rows.select(ROW, F.explode(F.arrays_zip("rare", "in_bytes")).alias("r"))
+    rare = rare.select(ROW, F.col("r.rare").alias("word"), F.col("r.in_bytes").cast("double").alias("in_bytes"))
     c = F.coalesce(F.col("c"), F.lit(0))
     mixed = []
     for k, share in enumerate(SHARES):
@@ -505,7 +554,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
             mixed.append(F.sum(F.when(c > 0, both).otherwise(x)).alias(f"more_{k}"))
     per_row = (
         rare.join(words, "word", "left")
-        .groupBy("row")
+        .groupBy(ROW)
         .agg(
             F.sum(F.log10(c + 0.1)).alias("more"),
             F.sum(F.when(c > 0, 1).otherwise(0)).alias("more_seen"),
@@ -516,7 +565,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     top = F.greatest(*logs)
     score = (top + F.log(sum(F.exp(x - top) for x in logs)) - float(np.log(len(SHARES)))) / float(np.log(10))
     divisor = float(np.log10(n_train + 0.1 * (distinct + 1)))
-    found = rows.drop("rare", "in_bytes").join(per_row, "row", "left").withColumn("score", score)
+    found = rows.drop("rare", "in_bytes").join(per_row, ROW, "left").withColumn("score", score)
     return found.select(
         "doc_id",
         "held_out",

@@ -7,14 +7,14 @@ they overlap), and finished sequences leave. What counts is the number of symbol
 pre-tokens, where rounds would cost too much, go through a heap with the same result.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside a text count as one token
-each, as the library's default has it; symbols outside the vocabulary count nothing, as there is no unknown token.
+each, as the library's default has it; symbols outside the vocabulary count nothing, as there is no unknown token. Each row is counted
+for itself, so repeated rows get equal counts; a text of any length is counted whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from corvane.llm.common import default_tokenizer
 
@@ -59,20 +60,30 @@ class WordBpe:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split)
+        whole = Tokenizer.from_str(definition)
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        self.byte_of = {c: b for b, c in enumerate(letters)}
         # A text's special strings first, then ordinary stretches.
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
 
-    def normalize(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+    def plain(self, part: str) -> list[bytes]:
+        """Pre-tokens of a stretch without special strings.
+
+        Letter classes, composition and lower case of ASCII are the same in every Unicode version. For anything else the
+        library's own normalizer and splitter are asked, so that its version decides; they give the byte stand-ins.
+        """
+        if part.isascii():
+            return [t.encode() for t in self.pattern.findall(part.lower())]
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
+        return [bytes(map(self.byte_of.__getitem__, t)) for t, _ in pieces]
 
     def pretokens(self, word: str) -> tuple[list[bytes], int]:
         """Pre-tokens of a word, and how many special strings it holds."""
-        if self.special is not None and "<" in word and (n := len(self.special.findall(word))):
+        if self.special is not None and (n := len(self.special.findall(word))):
             parts = self.special.split(word)
         else:
             parts, n = [word], 0
-        return [t.encode() for p in parts for t in self.pattern.findall(self.normalize(p))], n
+        return [t for p in parts if p for t in self.plain(p)], n
 
     def rank_of(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)

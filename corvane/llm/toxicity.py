@@ -3,11 +3,15 @@
 Token labels come from document labels: on a bounded sample (PER_CLASS documents of each label, chosen by a hash of
 the id), toxic words are the words and stems (beginnings of words) that are far more frequent in toxic than in clean
 documents of the same language (`lang`, where docs has it); their tokens in toxic documents of that language are
-labelled toxic, all others clean. The field has two states, features of the word, its stem and both neighbours (hashed weights), and transition weights, trained by gradient steps on
-the exact likelihood. At scoring, forward-backward over each whole text gives every token's marginal; a document's
-score is the noisy-or of its marginals above FLOOR, and tokens at half or more are its offending spans.
-
-Defined results: null and empty texts score 0, as does everything when no labelled row of both kinds exists.
+labelled toxic, all others clean. Texts are cut in segments of SEGMENT tokens; the field learns from all segments with a
+toxic token and from twice as many others plus 500, drawn evenly. It has two states, features of the word, its stem
+and both neighbours (hashed weights), and transition weights, trained by gradient steps on the exact likelihood. At scoring, forward-backward over each whole text gives every token's marginal; a document's
+score is the noisy-or of its marginals above FLOOR (below it, marginals of thousands of clean tokens would add up to a
+toxic document), and tokens at half or more are its offending spans.
+
+Defined results: null and empty texts score 0, as does everything when no labelled row of both kinds exists. An id that
+is labelled more than once is toxic when one of its labels is; a repeated id is one labelled document, and each of its
+rows is scored for itself. Only doc_id, text and lang (for training) are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD, fold
 from corvane.llm.token_count import ascii_words, slices
 
-PER_CLASS, MAX_TRAIN_CHARS, SEGMENT = 1500, 200_000, 64
+PER_CLASS, PIECES, PIECE_CHARS, SEGMENT = 1500, 20, 1000, 64
 WORD_BITS, STEM_BITS, EPOCHS, RATE, DECAY, FLOOR = 18, 14, 6, 0.3, 1e-6, 0.1
 LEAST, LIFT, CHANCE = 3, 20, 1e-3
 SLICE_BYTES = 6 << 20
@@ -166,7 +170,8 @@ class ToxicField:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS) -> list:
-    """(text, toxic, lang) of at most per_class documents of each label outside fold 0."""
+    """(text, toxic, lang) of at most per_class documents of each label outside fold 0; of a longer text, PIECES pieces
+    of PIECE_CHARS characters, evenly spread, so that what reaches the driver has a bound."""
     marked = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -178,8 +183,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class:
     # At most 2 * per_class ids, whatever the input.
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     found = docs.select("doc_id", "text", lang.cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
-    found = found.filter(F.length("text").between(1, MAX_TRAIN_CHARS)).collect()
-    return [(r["text"], r["toxic"], r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    long = F.length("text") > PIECES * PIECE_CHARS
+    step = F.length("text") / PIECES
+    pieces = [F.substring(F.col("text"), (step * k).cast("int") + 1, F.lit(PIECE_CHARS)) for k in range(PIECES)]
+    found = found.withColumn("text", F.when(long, F.concat_ws(" ", *pieces)).otherwise(F.col("text")))
+    order = Window.partitionBy("doc_id").orderBy("text", "lang")
+    # Repeated ids are one labelled document.
+    first = found.filter(F.length("text") > 0).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return [(r["text"], r["toxic"], r["lang"]) for r in sorted(first.collect(), key=lambda r: r["doc_id"])]
 
 
 def fit(rows: list[tuple[str, int, str | None]], seed: int = 5) -> ToxicField | None:

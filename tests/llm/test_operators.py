@@ -258,18 +258,6 @@ def test_toxicity(spark, none):
     assert score_toxicity(none, marks).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "no such words here at all in any of the given texts")], "item_id long, text string").write.parquet(
-        f"{tmp_path}/benchmark.parquet")
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert not got & {i for i, t in enumerate(TEXTS) if not words(t)}
-    texts = [TEXTS[i] for i in got]
-    assert len(texts) == len(set(texts)) and len(got) > 20
-
-
 def test_rare_toxic_words_of_a_small_language_are_labelled():
     import numpy as np
 
@@ -297,7 +285,8 @@ def test_scores_use_the_counts_of_all_words(spark, monkeypatch):
     from corvane.llm import lm_score
 
     # Tables that say nothing stand for tables whose contexts have all run together.
-    monkeypatch.setattr(lm_score, "evidence", lambda zeros, ones: (0 * zeros).astype("int8"))
+    made = lm_score.table_evidence
+    monkeypatch.setattr(lm_score, "table_evidence", lambda *a: tuple(0 * x for x in made(*a)))
     rng = random.Random(9)
     known, unknown = ("".join(rng.choices("abcdefgh", k=400)) for _ in range(2))
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
@@ -306,15 +295,23 @@ def test_scores_use_the_counts_of_all_words(spark, monkeypatch):
     assert got[held[0]] > -20 and got[held[1]] < -100
 
 
-def test_gates_are_fit_on_all_training_texts(spark, docs):
-    from corvane.llm import lm_score
-    from corvane.llm.lm_score import Gates, Paths, fit_gates, table_counts, without_own
+def byte_paths(spark):
+    import numpy as np
+
+    from corvane.llm.lm_score import Paths
+
+    return spark.sparkContext.broadcast(Paths(np.ones((256, 256), np.int64)))
 
+
+def test_gates_are_fit_on_all_training_texts(spark, docs):
     import numpy as np
 
-    paths = spark.sparkContext.broadcast(Paths(np.ones((256, 256), np.int64)))
+    from corvane.llm import lm_score
+    from corvane.llm.lm_score import Gates, fit_gates, table_evidence
+
+    paths = byte_paths(spark)
     texts = docs.select("text")
-    others = without_own(table_counts(texts, paths))
+    _, others = table_evidence(texts, paths)
     sample = [TEXTS[0].encode()]
     first = Gates()
     first.learn(sample, paths.value, others, lm_score.EPOCHS)
@@ -322,15 +319,62 @@ def test_gates_are_fit_on_all_training_texts(spark, docs):
     assert np.allclose(fit_gates(texts.limit(0), sample, paths, others), first.weights)
 
 
-def test_short_texts_are_scored_with_refined_weights(spark, docs, monkeypatch):
+def test_scores_agree_with_one_choice_at_a_time(spark, docs):
+    """The mixing and its refinement, choice by choice in plain Python, from the slots of the choices."""
+    import numpy as np
+
     from corvane.llm import lm_score
-    from corvane.llm.lm_score import Gates, Paths, evidence, log_scores, table_counts
+    from corvane.llm.lm_score import Choices, Gates, log_scores, table_evidence
+
+    paths = byte_paths(spark)
+    tables, _ = table_evidence(docs.select("text"), paths)
+    weights = Gates().weights + np.arange(Gates().weights.size, dtype=np.float32).reshape(Gates().weights.shape) / 400
+    texts = [TEXTS[0].encode(), b"", TEXTS[3].encode() * 3, "Ünï".encode()]
+    found = log_scores(texts, paths.value, tables, weights)[0]
+    for text, log in zip(texts, found, strict=True):
+        made = Choices([text], paths.value)
+        total, refine, grad, done, block = 0.0, [0.0] * 4, [0.0] * 4, 0, lm_score.FIRST_BLOCK
+        for i, bit in enumerate(made.bits.tolist()):
+            x = [int(tables[c][made.slots[c][i]]) / 16 for c in range(4)]
+            gate = int(made.depth[i]) * 4 + (x[2] != 0) * 2 + (x[3] != 0)
+            z = sum((float(weights[gate, c]) + refine[c]) * x[c] for c in range(4))
+            p = 1 / (1 + math.exp(-z))
+            total += math.log(p if bit else 1 - p)
+            for c in range(4):
+                grad[c] += (bit - p) * x[c]
+            if i + 1 == done + block:
+                refine = [r + lm_score.REFINE * g for r, g in zip(refine, grad, strict=True)]
+                done, grad = i + 1, [0.0] * 4
+                block = min(max(lm_score.FIRST_BLOCK, done), lm_score.BLOCK)
+        assert math.isclose(total, log, rel_tol=1e-3, abs_tol=1e-2)
+
+
+def test_tables_count_every_choice(spark, docs):
+    from collections import defaultdict
+
+    from corvane.llm.lm_score import Choices, evidence, table_evidence
+
+    paths = byte_paths(spark)
+    tables, others = table_evidence(docs.select("text"), paths)
+    seen = [defaultdict(lambda: [0, 0]) for _ in range(4)]
+    for t in TEXTS:
+        made = Choices([(t or "").encode()], paths.value)
+        for c in range(4):
+            for slot, bit in zip(made.slots[c].tolist(), made.bits.tolist(), strict=True):
+                seen[c][slot][bit] += 1
+    for c in range(4):
+        for slot, (zeros, ones) in list(seen[c].items())[:3000]:
+            assert tables[c][slot] == evidence(float(zeros), float(ones))
+            assert others[c][2 * slot + 1] == evidence(float(zeros), float(max(ones - 1, 0)))
+        assert int((tables[c] != 0).sum()) <= len(seen[c])
 
-    import numpy as np
 
-    paths = spark.sparkContext.broadcast(Paths(np.ones((256, 256), np.int64)))
-    counted = table_counts(docs.select("text"), paths)
-    tables = np.stack([evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in counted])
+def test_short_texts_are_scored_with_refined_weights(spark, docs, monkeypatch):
+    from corvane.llm import lm_score
+    from corvane.llm.lm_score import Gates, log_scores, table_evidence
+
+    paths = byte_paths(spark)
+    tables, _ = table_evidence(docs.select("text"), paths)
     text = [TEXTS[0][:100].encode()]
     refined = log_scores(text, paths.value, tables, Gates().weights)[0]
     monkeypatch.setattr(lm_score, "REFINE", 0.0)
