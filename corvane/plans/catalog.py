@@ -177,15 +177,16 @@ def year_parse(t):
     return t.documents.select("doc_id", tx.first_year(F.col("text")).alias("y"))
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00\r]', '', 'g'),
-'[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM documents""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '[\x00\r]', '', 'g'),
+chr(10)), lambda l: regexp_replace(regexp_replace(l, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'),
+'^\s+|\s+$', '', 'g')) AS h FROM documents""")
 def text_clean(t):
     return t.documents.select("doc_id", F.sha2(tx.clean_text(F.col("text")), 256).alias("h"))
 
 
-@query(r"""SELECT doc_id, round_even(coalesce(len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x,
-'^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), '[A-Za-z]{2,}'))) / nullif(len(w), 0), 0), 6) AS quality
-FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents)""")
+@query(r"""SELECT doc_id, round_even(coalesce(len(list_filter(w, lambda x: regexp_full_match(trim(x, '.,;:()[]"''!?-'), '[A-Za-z]{2,}')))
+/ nullif(len(w), 0), 0), 6) AS quality FROM (SELECT doc_id, regexp_extract_all(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+') AS w
+FROM documents)""")
 def text_quality(t):
     return t.documents.select("doc_id", F.bround(tx.text_quality(F.col("text")), 6).alias("quality"))
 
@@ -254,12 +255,14 @@ def cooccurrence_lift(t):
     return st.cooccurrence(t.events.withColumn("u", F.col("user_id") * 100 + F.dayofmonth("ts")), "u", "event_type")
 
 
-@query("""SELECT d, n FROM (SELECT unnest(range(min(d), max(d) + 1)) AS d FROM (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date)
-AS d FROM lineitem)) LEFT JOIN (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date) AS d, count(*) AS n FROM lineitem GROUP BY 1)
-USING (d) WHERE n IS NOT NULL""")
+@query("""SELECT d, coalesce(n, 0) AS n FROM (SELECT unnest(range(min(d), max(d) + 1)) AS d FROM (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date)
+AS d FROM lineitem WHERE l_quantity > 49)) LEFT JOIN (SELECT date_diff('day', DATE '1990-01-01', l_shipdate::date) AS d, count(*) AS n FROM lineitem
+WHERE l_quantity > 49 AND l_linenumber = 7 GROUP BY 1) USING (d)""")
 def dense_timeline(t):
+    """Days without a line stay, with zero: the calendar spans all large lines, the counts only the seventh ones."""
     days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long").alias("d")
-    return st.dense_calendar(t.lineitem.groupBy(days).agg(F.count("*").alias("n")), "d").filter("n > 0")
+    large = t.lineitem.filter("l_quantity > 49").select(days, "l_linenumber")
+    return st.dense_calendar(large.groupBy("d").agg(F.count_if(F.col("l_linenumber") == 7).alias("n")), "d")
 
 
 @query("""WITH c AS (SELECT date_diff('month', DATE '1990-01-01', o_orderdate::date) AS s, count(*) FILTER (o_orderkey % 50 < 10
@@ -447,10 +450,10 @@ def passage_segments(t):
     return rows.select("doc_id", "seq", F.length("passage").cast("long").alias("n_chars"), F.sha2("passage", 256).alias("h"))
 
 
-@query("""SELECT doc_id, round_even(CASE WHEN len(w) > 0 THEN greatest(len(list_filter(w, lambda x: regexp_matches(x,
+@query(r"""SELECT doc_id, round_even(CASE WHEN len(w) > 0 THEN greatest(len(list_filter(w, lambda x: regexp_matches(x,
 '^[("''“‘]?([A-Za-z]+([''’-][A-Za-z]+)*|[0-9]{1,4}([.,:/-][0-9]{1,4})*)[)"''”’.,;:!?%]{0,3}$'))) / len(w)
-- 4 * length(regexp_replace(text, '[A-Za-z0-9\\s.,;:!?''"()\\-–/%$&]', '', 'g')) / length(text), 0) ELSE 0 END, 3) AS readability
-FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)""")
+- 4 * len(regexp_extract_all(text, '[^A-Za-z0-9\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}.,;:!?''"()\-–/%$&]')) / length(text), 0) ELSE 0 END, 3) AS readability
+FROM (SELECT doc_id, text, regexp_extract_all(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+') AS w FROM documents)""")
 def readability(t):
     return t.documents.select("doc_id", sg.readability(F.col("text")).alias("readability"))
 
@@ -462,11 +465,14 @@ def head_and_tail(t):
 
 
 @query("""SELECT user_id, d, CASE WHEN list_has_any(tags, ['error']) THEN 'space' WHEN list_has_any(tags, ['purchase', 'signup']) THEN 'traces'
-ELSE 'sighting' END AS class FROM (SELECT user_id, day(ts) AS d, list(DISTINCT event_type) AS tags FROM events GROUP BY 1, 2)""")
+WHEN user_id % 3 < 2 AND d % 2 = 0 AND NOT list_has_any(tags, ['view']) THEN 'sensor' ELSE 'sighting' END AS class FROM
+(SELECT user_id, day(ts) AS d, list(DISTINCT event_type) AS tags FROM events GROUP BY 1, 2)""")
 def episode_classes(t):
     tags = t.events.groupBy("user_id", F.dayofmonth("ts").cast("long").alias("d")).agg(F.collect_set("event_type").alias("tags"))
     table = [("space", ["error"]), ("traces", ["purchase", "signup"])]
-    return tags.select("user_id", "d", ep.episode_class(F.col("tags"), F.lit("pdf"), F.lit(1), table).alias("class"))
+    media = F.get(F.array(*map(F.lit, ("video", "image", "pdf"))), (F.col("user_id") % 3).cast("int"))
+    page = (F.col("d") % 2).cast("int")
+    return tags.select("user_id", "d", ep.episode_class(F.col("tags"), media, page, table, witness=["view"]).alias("class"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),

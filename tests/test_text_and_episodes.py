@@ -64,19 +64,32 @@ def test_dates(text, expected):
     assert [(d["value"], d["precision"]) for d in found] == want
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("lasted about ten seconds", "brief"), ("for 20 minutes", "minutes"), ("visible for two hours", "long"), ("for a while", None),
+    ("lasted 0 seconds, then visible for 5 minutes", "minutes"), ("for 5 to 40 minutes", "minutes"), (None, None),
+    ("It was in sight approximately a few secs", "brief"), ("the 20 minutes", None), ("for 1234 seconds", None),
+])
+def test_durations(text, expected):
+    assert (sg.duration_span(text) or (None,))[0] == expected
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("within 1,200 feet, then 30 yards away", [1200, 90]), ("a man 5 feet tall", []), ("ten meters above the barn", [32.8]),
+    ("within a few feet", [3]), ("five hundred ft. from it", [500]), ("12,34 feet away", []), (None, []),
+    ("three hundred yards in front", [900]), ("within a hundred feet", [100]),
+])
+def test_distances(text, expected):
+    assert [f for f, _ in sg.distances(text)] == pytest.approx(expected)
+
+
 def test_measures(spark):
-    texts = ["lasted about ten seconds", "for 20 minutes", "visible for two hours", "for a while", None,
-             "within 1,200 feet, then 30 yards away"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id")
-    got = df.select(sg.duration_class(F.col("t")).alias("d"), sg.nearest_feet(F.col("t")).alias("f")).collect()
-    assert [r["d"] for r in got] == ["brief", "minutes", "long", None, None, None]
-    assert got[5]["f"] == 90.0 and got[0]["f"] is None
     one = spark.createDataFrame([("Plain words, 12:30 here.", "a" * 50)], "t string, u string")
     row = one.select(sg.readability(F.col("t")), sg.readability(F.lit("")), sg.head_and_tail(F.col("u"), 10),
-                     sg.normal_ids(F.lit("ab-1, x| |zz"), "^[a-z]+-\\d+$")).first()
+                     sg.readability(F.lit("(don’t) stop\u00a0now... ##"))).first()
     assert row[0] == 1.0 and row[1] == 0.0
     assert row[2] == "a" * 8 + "\n\n[... 40 characters omitted ...]\n\n" + "aa"
-    assert row[3] == ["AB-1", "zz"]
+    # Three words of four tokens; three stray signs (’ and ##) in 22 characters.
+    assert row[3] == 0.205
 
 
 def test_selections(spark):
