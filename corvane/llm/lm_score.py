@@ -45,7 +45,7 @@ ORDERS, TABLE_BITS, CHUNK_BITS = (2, 3, 5), 21, 16
 N_CONTEXTS = len(ORDERS) + 1
 BLOCK, FIRST_BLOCK, LEARN_BLOCK, GATES, REFINE = 4096, 64, 8192, 16, 2e-4
 HEAD, HEAD_CHARS, FLUSH_WORDS = 250_000, 100, 250_000
-FLUSH_CHOICES, TASK_CHOICES = 5_000_000, 1 << 31
+FLUSH_CHOICES, TASK_CHOICES = 2_000_000, 1 << 31
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
 SHARES = (0.0, 0.02, 0.1, 0.3)
 SLICE_BYTES, PAD, END = 160 << 10, 8, 0xFF
@@ -311,7 +311,7 @@ def table_evidence(texts: DataFrame, paths) -> tuple[np.ndarray, np.ndarray]:
 
     rows = texts.mapInArrow(fill, _COUNT_TYPE)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    half = rows.repartition(n, "key", F.xxhash64("place") % 16).mapInArrow(_sum_counts, _COUNT_TYPE)
+    half = rows.repartition(n, "key", F.xxhash64("place") % 4).mapInArrow(_sum_counts, _COUNT_TYPE)
     full = half.repartition("key").mapInArrow(_odds, "key int, plain binary, others binary")
     plain = np.zeros((N_CONTEXTS * PIECES, PIECE // 2), np.int8)
     others = np.zeros((N_CONTEXTS * PIECES, PIECE), np.int8)
