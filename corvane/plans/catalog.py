@@ -18,7 +18,7 @@ from corvane.operators import statistics as st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Queries that SQL cannot express; tests check their operators.
-WITHOUT_SQL = {"passage_segments", "degree_limited_links"}
+WITHOUT_SQL = {"passage_segments", "degree_limited_links", "seeded_sample"}
 
 
 class Tables:
