@@ -17,6 +17,9 @@ CLASS_TAGS = [
 # Media whose description alone makes a sensor episode, unless one of these tags names a witness.
 SENSOR_MEDIA = ["video", "image", "audio"]
 WITNESS_TAGS = ["pilot", "many_witnesses", "driving"]
+# Kinds that tell of no event, and the detail such a record has.
+PAPER_KINDS = ["administrative", "correspondence"]
+KIND_DETAILS = {"scientific_study": "study", "analysis": "study", "administrative": "policy", "correspondence": "inquiry"}
 # Lengths in characters and the first valid year.
 MAX_PLACE, MAX_EXPLANATION, FIRST_YEAR = 120, 80, 1800
 
@@ -34,14 +37,33 @@ def episode_class(tags: Column, media: Column, page: Column, table=CLASS_TAGS, s
 
 
 def rule_episodes(records: DataFrame, accounts: DataFrame) -> DataFrame:
-    """record, seq, page, class: one for each account; a record without accounts gets one from its description, else
-    an empty placeholder. records: (record, media, description_tags); accounts: (record, page, tags)."""
-    told = accounts.join(records.select("record", "media"), "record").select("record", "page", "tags", "media")
-    rest = records.join(accounts.select("record").distinct(), "record", "left_anti")
-    described = rest.select("record", F.lit(0).alias("page"), F.col("description_tags").alias("tags"), "media")
-    rows = told.unionByName(described)
-    seq = F.row_number().over(Window.partitionBy("record").orderBy("page", F.sort_array("tags"))) - 1
-    return rows.select("record", seq.alias("seq"), "page", episode_class(F.col("tags"), F.col("media"), F.col("page")).alias("class"))
+    """record, seq, page, class, details: one for each account with tags; a record without any gets one for its description.
+
+    records: (record, media, kind, research, text, description_tags); accounts: (record, page, tags). Research and paperwork is
+    `none` with the detail of its kind, as is a record whose text could not be read (page null) or whose description has
+    no tags; a described recording is then `sensor`.
+    """
+    tagged = accounts.filter(F.size("tags") > 0)
+    told = tagged.join(records.select("record", "media"), "record").select(
+        "record", F.col("page").cast("int").alias("page"), F.col("tags").alias("details"), episode_class(F.col("tags"), F.col("media"), F.col("page")).alias("class")
+    )
+    rest = records.join(tagged.select("record").distinct(), "record", "left_anti")
+    paper = F.coalesce(F.col("research"), F.lit(False)) | F.coalesce(F.col("kind").isin(*PAPER_KINDS), F.lit(False))
+    readable = F.coalesce(F.col("text"), F.lit("")) != ""
+    tags = F.coalesce("description_tags", F.array().cast("array<string>"))
+    untagged = F.when(F.col("media").isin(*SENSOR_MEDIA), "sensor").otherwise("none")
+    described = F.when(F.size(tags) > 0, episode_class(tags, F.col("media"), F.lit(0))).otherwise(untagged)
+    details = F.create_map(*[F.lit(x) for pair in KIND_DETAILS.items() for x in pair])
+    by_kind = F.array_compact(F.array(F.try_element_at(details, F.coalesce("kind", F.lit("")))))
+    single = rest.select(
+        "record",
+        F.when(paper | readable, F.lit(0)).alias("page"),
+        F.when(paper, by_kind).when(readable, tags).otherwise(F.array().cast("array<string>")).alias("details"),
+        F.when(paper | ~readable, "none").otherwise(described).alias("class"),
+    )
+    rows = told.unionByName(single)
+    seq = F.row_number().over(Window.partitionBy("record").orderBy("page", F.sort_array("details"))) - 1
+    return rows.select("record", seq.alias("seq"), "page", "class", "details")
 
 
 def validated(raw: DataFrame, classes: Sequence[str], details: Sequence[str], outcomes: Sequence[str], as_of_year: int,

@@ -62,9 +62,9 @@ def dense_calendar(counts: DataFrame, step: str) -> DataFrame:
 def waves(calendar: DataFrame, step: str, reach: int = 10, gap: int = 1, least: int = 10, factor: float = 2.5,
           offset: float = 3.0) -> DataFrame:
     """Islands of steps far above their neighbourhood's median (within reach, beyond gap)."""
-    other = calendar.select(F.col(step).alias("_other"), F.col("n").alias("m"))
-    apart = F.abs(F.col(step) - F.col("_other"))
-    base = calendar.join(other, (apart <= reach) & (apart > gap)).groupBy(step, "n").agg(F.median("m").alias("base"))
+    apart = F.array(*[F.lit(k) for k in range(-reach, reach + 1) if abs(k) > gap])
+    near = calendar.select(F.col("n").alias("m"), F.explode(F.transform(apart, lambda k: F.col(step) + k)).alias(step))
+    base = calendar.join(near, step).groupBy(step, "n").agg(F.median("m").alias("base"))
     high = base.filter((F.col("n") >= least) & (F.col("n") >= factor * F.col("base") + offset))
     # A calendar has one row per step of time, so one window over it is small.
     w = Window.orderBy(step)
@@ -74,51 +74,3 @@ def waves(calendar: DataFrame, step: str, reach: int = 10, gap: int = 1, least:
         F.min(step).alias("first"), F.max(step).alias("last"), F.sum("n").alias("total"),
         F.min_by(step, F.struct(-F.col("n"), F.col(step))).alias("peak"), F.max("base").alias("baseline"),
     ).drop("island")
-
-
-def tag_weights(tags: DataFrame, record: str, tag: str, scale: float = 1.0) -> DataFrame:
-    """scale * ln(max(n, 2) / df) of each tag."""
-    rows = tags.select(record, tag).distinct()
-    n = rows.agg(F.countDistinct(record).alias("n"))
-    df = rows.groupBy(tag).agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select(tag, "df", (F.log(F.greatest("n", F.lit(2)) / F.col("df")) * scale).alias("w"))
-
-
-def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: int = 2) -> DataFrame:
-    """Pairs of records of different series by a posting-list join: shared tags, evidence times cosine."""
-    rows = tags.select(record, tag, series).distinct()
-    weights = tag_weights(rows, record, tag)
-    weighted = rows.join(weights, tag)
-    norm = weighted.groupBy(record).agg(F.sqrt(F.sum(F.pow("w", F.lit(4)))).alias("norm"))
-    a = weighted.select(tag, "w", F.col(record).alias("a"), F.col(series).alias("sa"))
-    b = weighted.select(tag, F.col(record).alias("b"), F.col(series).alias("sb"))
-    pairs = a.join(b, tag).filter("a < b and sa <> sb").groupBy("a", "b").agg(
-        F.count("*").alias("n_shared"), F.sum("w").alias("evidence"), F.sum(F.col("w") * F.col("w")).alias("dot")
-    ).filter(F.col("n_shared") >= shared)
-    pairs = pairs.join(norm.select(F.col(record).alias("a"), F.col("norm").alias("na")), "a")
-    pairs = pairs.join(norm.select(F.col(record).alias("b"), F.col("norm").alias("nb")), "b")
-    return pairs.select("a", "b", "n_shared", (F.col("evidence") * F.col("dot") / (F.col("na") * F.col("nb"))).alias("score"))
-
-
-def top_partners(pairs: DataFrame, k: int = 6) -> DataFrame:
-    both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def combinations(items: DataFrame, account: str, record: str, item: str, accounts: int, records: int, lift: float) -> DataFrame:
-    """Pairs and triples of items that occur together more often than their shares suggest."""
-    rows = items.select(account, record, item).distinct()
-    n = rows.agg(F.countDistinct(account).alias("n"))
-    p = rows.groupBy(item).agg(F.countDistinct(account).alias("p"))
-    one = rows.select(account, record, F.col(item).alias("t1"))
-    two = one.join(rows.select(account, record, F.col(item).alias("t2")), [account, record]).filter("t1 < t2")
-    three = two.join(rows.select(account, record, F.col(item).alias("t3")), [account, record]).filter("t2 < t3")
-    sets = two.withColumn("t3", F.lit(None).cast("string")).unionByName(three)
-    counted = sets.groupBy("t1", "t2", "t3").agg(F.countDistinct(account).alias("m"), F.countDistinct(record).alias("r"))
-    counted = counted.filter((F.col("m") >= accounts) & (F.col("r") >= records)).join(F.broadcast(n))
-    for t in ("t1", "t2", "t3"):
-        counted = counted.join(p.select(F.col(item).alias(t), F.col("p").alias("p" + t)), t, "left")
-    expected = F.col("pt1") * F.col("pt2") / F.col("n")
-    ratio = F.when(F.col("t3").isNull(), F.col("m") / expected).otherwise(F.col("m") / (expected * F.col("pt3") / F.col("n")))
-    return counted.withColumn("l", ratio).filter(F.col("l") >= lift).select("t1", "t2", "t3", "m", "r", F.bround("l", 6).alias("lift"))

@@ -11,9 +11,11 @@ from corvane.functions import segments as sg
 from corvane.functions import spans as sp
 from corvane.functions import text as tx
 from corvane.operators import episodes as ep
+from corvane.operators import patterns as pt
 from corvane.operators import relational as rel
 from corvane.operators import selection as sel
 from corvane.operators import statistics as st
+from corvane.operators import summaries as sm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,8 +161,7 @@ def duplicate_id_numbering(t):
 @query("""SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) >= 4 AS shared FROM documents""")
 def shared_description(t):
     rows = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n >= 4")
-    return rows.join(often, "h", "left").select("doc_id", F.col("n").isNotNull().alias("shared"))
+    return rows.select("doc_id", (F.count("*").over(Window.partitionBy("h")) >= 4).alias("shared"))
 
 
 @query("""SELECT o_orderkey, make_date(y, m, 1 + o_orderkey % 28)::varchar AS d FROM (SELECT o_orderkey, 1 + o_orderkey % 12 AS m,
@@ -285,22 +286,21 @@ def place_grid(t):
     return places.join(counts, "n_nationkey", "left").select("r_name", "n_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i, o_orderpriority = '1-URGENT' AS g FROM lineitem JOIN part ON p_partkey = l_partkey
-JOIN orders ON o_orderkey = l_orderkey WHERE p_size <= 3), s AS (SELECT count(DISTINCT k) FILTER (g) AS ni, count(DISTINCT k) FILTER (NOT g) AS no FROM r),
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS k, p_brand || '/' || p_size AS i, o_orderpriority = '1-URGENT' AS g FROM lineitem JOIN part ON p_partkey = l_partkey
+JOIN orders ON o_orderkey = l_orderkey), s AS (SELECT count(DISTINCT k) FILTER (g) AS ni, count(DISTINCT k) FILTER (NOT g) AS no FROM r),
 c AS (SELECT i, count(*) FILTER (g) AS c_in, count(*) FILTER (NOT g) AS c_out FROM r GROUP BY 1)
-SELECT i AS p_brand, c_in, c_out, round_even((c_in * no) / (greatest(c_out, 1) * ni), 6) AS lift FROM c, s
+SELECT i AS item, c_in, c_out, round_even((c_in * no) / (greatest(c_out, 1) * ni), 6) AS lift FROM c, s
 WHERE ni >= 8 AND no >= 8 AND c_in >= 3 AND (c_in * no) / (greatest(c_out, 1) * ni) >= 1.3 ORDER BY lift DESC, c_in DESC, i LIMIT 8""")
 def lift_rows(t):
-    rows = t.lineitem.join(t.part.filter("p_size <= 3"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     rows = rows.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("g", F.col("o_orderpriority") == "1-URGENT")
-    return st.lift_rows(rows, "l_orderkey", "p_brand", "g")
+    return st.lift_rows(rows.withColumn("item", F.concat_ws("/", "p_brand", "p_size")), "l_orderkey", "item", "g")
 
 
-@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o,
-count(*) AS total FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_F, count(*) FILTER (o_orderstatus = 'O') AS n_O,
+round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 3) AS share_F, round_even(count(*) FILTER (o_orderstatus = 'O') / count(*), 3) AS share_O FROM orders GROUP BY 1""")
 def split_by(t):
-    rows = t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
-    return rows.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), (F.col("F") + F.col("O") + F.col("P")).alias("total"))
+    return sm.split_by(t.orders, ["o_orderpriority"], "o_orderstatus", ["F", "O"])
 
 
 @query("""SELECT p_type, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1
@@ -311,48 +311,72 @@ def top_rows(t):
     return counts.join(F.broadcast(total)).select("p_type", "n", F.bround(F.col("n") / F.col("s"), 6).alias("share")).orderBy(F.desc("n"), "p_type").limit(6)
 
 
-_TAGS = """tags AS (SELECT DISTINCT s_suppkey AS r, s_nationkey AS g, tag FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
-JOIN part ON p_partkey = l_partkey, (VALUES (1)) v, LATERAL (SELECT p_brand || '/' || p_size AS tag) WHERE p_size <= 2),
+# Orders as accounts, their parts as tags, customers as series: all line items.
+_TAGS = """tags AS (SELECT DISTINCT l_orderkey AS r, o_custkey AS g, l_partkey AS tag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 w AS (SELECT tag, count(*) AS df, ln(greatest((SELECT count(DISTINCT r) FROM tags), 2) / count(*)) AS w FROM tags GROUP BY 1),
-norm AS (SELECT r, sqrt(sum(pow(w, 4))) AS norm FROM tags JOIN w USING (tag) GROUP BY 1),
+norm AS (SELECT r, sqrt(sum(w * w)) AS norm FROM tags JOIN w USING (tag) GROUP BY 1),
 pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS n_shared, sum(w) AS e, sum(w * w) AS d FROM tags x JOIN tags y ON x.tag = y.tag AND x.r < y.r
 AND x.g <> y.g JOIN w ON w.tag = x.tag GROUP BY 1, 2 HAVING count(*) >= 2),
-scored AS (SELECT a, b, n_shared, e * d / (na.norm * nb.norm) AS score FROM pairs JOIN norm na ON na.r = a JOIN norm nb ON nb.r = b)"""
+scored AS (SELECT a, b, n_shared, e * d / (na.norm * nb.norm) AS score FROM pairs JOIN norm na ON na.r = a JOIN norm nb ON nb.r = b
+WHERE e * d / (na.norm * nb.norm) >= 5)"""
 
 
 def _tags(t):
-    rows = t.lineitem.join(t.part.filter("p_size <= 2"), F.col("p_partkey") == F.col("l_partkey"))
-    rows = rows.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    return rows.select(F.col("s_suppkey").alias("r"), F.col("s_nationkey").alias("g"), F.concat_ws("/", "p_brand", "p_size").alias("tag")).distinct()
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.col("l_orderkey").alias("r"), F.col("o_custkey").alias("g"), F.col("l_partkey").alias("tag")).distinct()
+
+
+def _pairs(t):
+    return pt.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5))
 
 
 @query(f"""WITH {_TAGS} SELECT tag, df, round_even(w, 4) AS w FROM w""")
 def tag_weights(t):
-    return st.tag_weights(_tags(t), "r", "tag").withColumn("w", F.bround("w", 4))
+    return pt.tag_weights(_tags(t), "r", "tag", digits=4)
 
 
 @query(f"""WITH {_TAGS} SELECT a, b, n_shared, round_even(score, 5) AS score FROM scored""")
 def pair_scores(t):
-    return st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5))
+    return _pairs(t)
 
 
 @query(f"""WITH {_TAGS}, s AS (SELECT a, b, round_even(score, 5) AS score FROM scored), u AS (SELECT a, b, score FROM s UNION ALL SELECT b, a, score FROM s)
 SELECT a, b, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM u) WHERE rank <= 6""")
 def top6_similar(t):
-    return st.top_partners(st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5)))
-
-
-@query("""WITH r AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 20 AS g, p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey),
-n AS (SELECT count(DISTINCT k) AS n FROM r), p AS (SELECT i, count(DISTINCT k) AS p FROM r GROUP BY 1),
-s AS (SELECT a.k, a.g, a.i AS t1, b.i AS t2, NULL AS t3 FROM r a JOIN r b ON a.k = b.k AND a.g = b.g AND a.i < b.i UNION ALL
-SELECT a.k, a.g, a.i, b.i, c.i FROM r a JOIN r b ON a.k = b.k AND a.g = b.g AND a.i < b.i JOIN r c ON c.k = a.k AND c.g = a.g AND b.i < c.i),
-m AS (SELECT t1, t2, t3, count(DISTINCT k) AS m, count(DISTINCT g) AS r FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT k) >= 2 AND count(DISTINCT g) >= 2)
-SELECT t1, t2, t3, m, m.r, round_even(CASE WHEN t3 IS NULL THEN m / (p1.p * p2.p / n) ELSE m / ((p1.p * p2.p / n) * p3.p / n) END, 6) AS lift
-FROM m CROSS JOIN n JOIN p p1 ON p1.i = t1 JOIN p p2 ON p2.i = t2 LEFT JOIN p p3 ON p3.i = t3
-WHERE CASE WHEN t3 IS NULL THEN m / (p1.p * p2.p / n) ELSE m / ((p1.p * p2.p / n) * p3.p / n) END >= 0.02""")
+    return pt.top_partners(_pairs(t))
+
+
+# Orders as accounts, customers in 200 groups as records; two of the four dimensions go together in every second order.
+_COMBO = """t AS (SELECT DISTINCT l_orderkey AS account, o_custkey % 200 AS record, dim, tag FROM (SELECT l_orderkey, o_custkey, unnest(['shape', 'motion', 'sound', 'colour']) AS dim,
+unnest(['s' || l_partkey % 17, 'm' || CASE WHEN l_orderkey % 2 = 0 THEN l_partkey % 13 ELSE l_suppkey % 13 END, 'q' || (l_quantity::int % 11), 'c' || l_linenumber]) AS tag
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey)),
+n AS (SELECT count(DISTINCT account) AS n FROM t), w AS (SELECT tag, ln(n / count(*)) AS w FROM t, n GROUP BY tag, n),
+s AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY round_even(w, 4) DESC, tag) AS k FROM t JOIN w USING (tag) QUALIFY k <= 10),
+p AS (SELECT tag, count(*) AS p FROM s GROUP BY 1),
+ok AS (SELECT * FROM s WHERE NOT (tag = 'q0' AND account IN (SELECT account FROM t WHERE tag = 's3'))),
+c AS (SELECT a.account, a.record, a.tag AS t1, b.tag AS t2, NULL AS t3, [a.dim, b.dim] AS dims, [a.tag, b.tag] AS tags FROM ok a JOIN ok b ON a.account = b.account AND a.tag < b.tag AND a.dim <> b.dim
+UNION ALL SELECT a.account, a.record, a.tag, b.tag, c.tag, [a.dim, b.dim, c.dim], [a.tag, b.tag, c.tag] FROM ok a JOIN ok b ON a.account = b.account AND a.tag < b.tag AND a.dim <> b.dim
+JOIN ok c ON c.account = a.account AND b.tag < c.tag AND c.dim <> a.dim AND c.dim <> b.dim),
+m AS (SELECT t1, t2, t3, count(*) AS m, count(DISTINCT record) AS r FROM c WHERE list_has_any(dims, ['motion', 'sound']) AND
+len(list_filter(list_zip(dims, tags), lambda z: z[1] IN ('shape', 'motion') AND z[2] <> 'm0')) > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 6 AND count(DISTINCT record) >= 3),
+f AS (SELECT t1, t2, t3, m, m.r, CASE WHEN t3 IS NULL THEN m / (p1.p * p2.p / n) ELSE m / ((p1.p * p2.p / n) * p3.p / n) END AS lift
+FROM m CROSS JOIN n JOIN p p1 ON p1.tag = t1 JOIN p p2 ON p2.tag = t2 LEFT JOIN p p3 ON p3.tag = t3)"""
+
+
+def _combo_tags(t):
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    key, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    tags = {"shape": F.concat(F.lit("s"), part % 17), "motion": F.concat(F.lit("m"), F.when(key % 2 == 0, part % 13).otherwise(supp % 13)),
+            "sound": F.concat(F.lit("q"), F.col("l_quantity").cast("int") % 11), "colour": F.concat(F.lit("c"), "l_linenumber")}
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), x.alias("tag")) for d, x in tags.items()]))
+    out = rows.select(key.alias("account"), (F.col("o_custkey") % 200).alias("record"), each.alias("x")).select("account", "record", "x.dim", "x.tag").distinct()
+    return out.join(pt.tag_weights(out, "account", "tag", digits=4).drop("df"), "tag")
+
+
+@query(f"""WITH {_COMBO} SELECT t1, t2, t3, m, r, round_even(lift, 6) AS lift, round_even(ln(lift) * r * CASE WHEN t3 IS NULL THEN 1 ELSE 1.2 END, 5) AS score FROM f WHERE lift >= 1.6""")
 def combos_lift(t):
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).withColumn("g", F.col("l_suppkey") % 20)
-    return st.combinations(rows, "l_orderkey", "g", "p_brand", 2, 2, 0.02)
+    out = pt.combinations(_combo_tags(t), ["shape", "motion"], ["motion", "sound"], ["m0"], {"q0": ["s3"]})
+    return out.withColumns({"lift": F.bround("lift", 6), "score": F.bround("score", 5)})
 
 
 @query("""SELECT user_id, CASE WHEN y > n THEN 'explained' WHEN n > y THEN 'unresolved' END AS verdict, last_kind FROM (SELECT user_id,
@@ -485,7 +509,7 @@ def reading_batches(t):
 
 
 def _scored(t):
-    return st.similar_pairs(_tags(t), "r", "tag", "g").withColumn("score", F.bround("score", 5)).select("a", "b", "score")
+    return _pairs(t).select("a", "b", "score")
 
 
 @query(f"""WITH RECURSIVE {_TAGS}, s AS (SELECT a, b, row_number() OVER (ORDER BY round_even(score, 5) DESC, a, b) AS k FROM scored),
@@ -551,14 +575,19 @@ def release_shares(t):
 
 
 @query(f"""WITH {_TAGS} SELECT ga, gb, count(*) AS n, max(round_even(score, 5)) AS best, arg_min(a || '/' || b, (-round_even(score, 5), a, b)) AS pair
-FROM (SELECT least(x.s_nationkey, y.s_nationkey) AS ga, greatest(x.s_nationkey, y.s_nationkey) AS gb, a, b, score FROM scored
-JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b) GROUP BY 1, 2""")
+FROM (SELECT least(x.o_custkey % 25, y.o_custkey % 25) AS ga, greatest(x.o_custkey % 25, y.o_custkey % 25) AS gb, a, b, score FROM scored
+JOIN orders x ON x.o_orderkey = a JOIN orders y ON y.o_orderkey = b) GROUP BY 1, 2""")
 def best_pair_per_group(t):
-    of = t.supplier.select("s_suppkey", "s_nationkey")
+    of = t.orders.select("o_orderkey", F.col("o_custkey") % 25)
     rows = _scored(t).join(of.toDF("a", "na"), "a").join(of.toDF("b", "nb"), "b")
-    return rows.groupBy(F.least("na", "nb").alias("ga"), F.greatest("na", "nb").alias("gb")).agg(
-        F.count("*").alias("n"), F.max("score").alias("best"),
-        F.min_by(F.concat_ws("/", "a", "b"), F.struct(-F.col("score"), F.col("a"), F.col("b"))).alias("pair"))
+    return pt.best_per_group(rows, "na", "nb").select("ga", "gb", "n", "best", F.concat_ws("/", "a", "b").alias("pair"))
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS nth FROM (SELECT event_id, user_id,
+row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS k, greatest(1, count(*) OVER () // 25) AS step FROM events) WHERE k % step = 0)
+WHERE nth = 1 ORDER BY k LIMIT 25""")
+def spread_by_time(t):
+    return sel.spread(t.events.select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.col("event_id")], 25).select("event_id", "user_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'new' AS flag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')

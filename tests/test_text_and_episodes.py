@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -103,16 +104,58 @@ def test_selections(spark):
     rows = spark.createDataFrame([(i, i // 2) for i in range(20)], "i long, r long")
     assert [r.i for r in sel.spread(rows, "r", [F.col("i")], 5).collect()] == [0, 4, 8, 12, 16]
     sized = spark.createDataFrame([(1, 60), (2, 60), (3, 40), (4, 500), (5, 1)], "k long, n long")
-    assert [r.batch for r in sel.batches(sized, [F.col("k")], "n", 100).collect()] == [1, 2, 2, 3, 4]
+    assert [r.batch for r in sel.batches(sized, [F.col("k")], "n", 100).orderBy("k").collect()] == [1, 2, 2, 3, 4]
     assert sel.matched_pairs(pairs.limit(0)).count() == 0
 
 
+def test_batches_are_those_of_one_pass(spark):
+    rng = random.Random(7)
+    for case in range(4):
+        sizes = [rng.choice([0, 0, 1, 5, 30, 99, 100, 101, 250] if case % 2 else [0, 1, 2, 3, 7]) for _ in range(300)]
+        batch, held, want = 1, 0, []
+        for n in sizes:
+            if held and held + n > 100:
+                batch, held = batch + 1, 0
+            held += n
+            want.append(batch)
+        rows = spark.createDataFrame(list(enumerate(sizes)), "k long, n long").repartition(4)
+        assert [r.batch for r in sel.batches(rows, [F.col("k")], "n", 100).orderBy("k").collect()] == want
+    assert sel.batches(rows.limit(0), [F.col("k")], "n", 100).count() == 0
+
+
+def test_greedy_picks_are_those_of_a_full_walk(spark):
+    rng = random.Random(3)
+    links = {(min(a, b), max(a, b)): float(rng.randint(1, 40)) for a, b in ((rng.randint(0, 30), rng.randint(0, 30)) for _ in range(400)) if a != b}
+    rows = [(a, b, s) for (a, b), s in links.items()]
+    order = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+    used, kept = {}, []
+    for a, b, _ in order:
+        if len(kept) < 20 and max(used.get(a, 0), used.get(b, 0)) < 3:
+            kept.append((a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    df = spark.createDataFrame(rows, "a long, b long, score double")
+    assert [(r.a, r.b) for r in sel.degree_limited(df, 3, 20).collect()] == kept
+    seen_a, seen_b, pairs = set(), set(), []
+    for a, b, _ in order:
+        if len(pairs) < 8 and a not in seen_a and b not in seen_b:
+            pairs.append((a, b))
+            seen_a.add(a)
+            seen_b.add(b)
+    assert [(r.a, r.b) for r in sel.matched_pairs(df).collect()] == pairs
+
+
 def test_episode_rules(spark):
-    records = spark.createDataFrame([("a", "pdf", []), ("b", "video", []), ("c", "video", ["pilot"])],
-                                    "record string, media string, description_tags array<string>")
-    accounts = spark.createDataFrame([("a", 3, ["landed", "orbit"]), ("a", 1, ["disc"])], "record string, page int, tags array<string>")
-    out = {(r.record, r.seq): (r.page, r["class"]) for r in ep.rule_episodes(records, accounts).collect()}
-    assert out == {("a", 0): (1, "sighting"), ("a", 1): (3, "space"), ("b", 0): (0, "sensor"), ("c", 0): (0, "sighting")}
+    kind = "record string, media string, kind string, research boolean, text string, description_tags array<string>"
+    records = spark.createDataFrame([
+        ("a", "pdf", None, False, "t", []), ("b", "video", None, False, "t", []), ("c", "video", None, False, "t", ["pilot"]),
+        ("d", "pdf", None, False, "t", []), ("e", "pdf", "correspondence", False, "t", ["disc"]), ("f", "pdf", "scientific_study", True, None, None),
+        ("g", "pdf", None, None, "", None), ("h", "image", None, False, "t", ["disc"])], kind)
+    accounts = spark.createDataFrame([("a", 3, ["landed", "orbit"]), ("a", 1, ["disc"]), ("a", 2, []), ("d", 4, [])], "record string, page int, tags array<string>")
+    out = {(r.record, r.seq): (r.page, r["class"], r.details) for r in ep.rule_episodes(records, accounts).collect()}
+    assert out == {
+        ("a", 0): (1, "sighting", ["disc"]), ("a", 1): (3, "space", ["landed", "orbit"]), ("b", 0): (0, "sensor", []),
+        ("c", 0): (0, "sighting", ["pilot"]), ("d", 0): (0, "none", []), ("e", 0): (0, "none", ["inquiry"]), ("f", 0): (0, "none", ["study"]),
+        ("g", 0): (None, "none", []), ("h", 0): (0, "sensor", ["disc"])}
 
 
 def test_episode_validation(spark):
