@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.metadata import clean_title, normal_place
 from corvane.operators.episodes import merged_latest
 from corvane.operators.selection import batches
 
@@ -33,22 +34,37 @@ def fullest(candidates: DataFrame, source: str) -> DataFrame:
     return candidates.join(F.broadcast(best.select(source)), source, "left_semi")
 
 
-def write_snapshot(records: DataFrame, pages: DataFrame, path: str, key: str = "record") -> None:
-    """Records with their pages nested in order, unfinished ones set back to `new`, as gzip JSON lines."""
-    columns = [F.col(c) for c in pages.columns if c != key]
-    nested = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("pages"))
+def write_snapshot(records: DataFrame, pages: DataFrame, path: str, key: str = "record", tags: DataFrame | None = None,
+                   releases: DataFrame | None = None) -> None:
+    """Records with their pages and tags nested in order, unfinished ones set back to `new`, as gzip JSON lines under
+    path/records; releases, where given, under path/releases."""
+    nest = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in df.columns if c != key]))).alias(name))
     status = F.when(F.col("status").isin("classified", "unavailable", "skipped"), F.col("status")).otherwise("new")
-    out = records.withColumn("status", status).join(nested, key, "left")
-    out.write.mode("overwrite").option("compression", "gzip").json(path)
+    out = records.withColumn("status", status).join(nest(pages, "pages"), key, "left")
+    if tags is not None:
+        out = out.join(nest(tags, "tags"), key, "left")
+    out.write.mode("overwrite").option("compression", "gzip").json(f"{path}/records")
+    if releases is not None:
+        releases.write.mode("overwrite").option("compression", "gzip").json(f"{path}/releases")
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | str, stored: DataFrame | None = None,
                   key: str = "record") -> tuple[DataFrame, DataFrame]:
-    """(records, pages) of a snapshot; a snapshot only fills an empty store, so with stored rows both are empty."""
-    nested = spark.read.schema(schema).json(path)
+    """(records, pages) of a snapshot; a snapshot only fills an empty store, so with stored rows both are empty.
+
+    Titles and places are cleaned as a new listing's are, and a record's text is put together from its pages again.
+    """
+    nested = spark.read.schema(schema).json(f"{path}/records")
     if stored is not None and not stored.isEmpty():
         nested = nested.limit(0)
-    return nested.drop("pages"), nested.select(key, F.inline("pages"))
+    said = F.filter(F.coalesce("pages", F.array().cast(nested.schema["pages"].dataType)), lambda p: F.trim(p["text"]) != "")
+    blocks = F.transform(said, lambda p: F.concat(F.lit("[Page "), p["page"].cast("string"), F.lit("]\n"), p["text"]))
+    records = nested.withColumn("text", F.array_join(blocks, "\n\n"))
+    if "title" in nested.columns:
+        records = records.withColumn("title", clean_title(F.col("title")))
+    if "place" in nested.columns:
+        records = records.withColumn("place", normal_place(F.col("place")))
+    return records.drop("pages"), nested.select(key, F.inline("pages"))
 
 
 def write_curated(episodes: DataFrame, path: str, key: str = "record") -> None:

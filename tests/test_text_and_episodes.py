@@ -186,7 +186,7 @@ def test_listing_and_snapshot(spark, tmp_path):
     listing.write_snapshot(records, pages, str(tmp_path / "snap"))
     schema = "record string, status string, pages array<struct<page:int,text:string>>"
     back, nested = listing.read_snapshot(spark, str(tmp_path / "snap"), schema)
-    assert sorted(map(tuple, back.collect())) == [("a", "classified"), ("b", "new")]
+    assert sorted(map(tuple, back.collect())) == [("a", "classified", "[Page 1]\none\n\n[Page 2]\ntwo"), ("b", "new", "")]
     assert [tuple(r) for r in nested.collect()] == [("a", 1, "one"), ("a", 2, "two")]
     assert listing.read_snapshot(spark, str(tmp_path / "snap"), schema, stored=records)[0].count() == 0
     listing.write_curated(pages, str(tmp_path / "cur"))
