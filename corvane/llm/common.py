@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import string
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.storage import discard, ranked, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: A word: a maximal run without ASCII white space (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,37 +31,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests)
-    makes one of its own; on a cluster that would be a folder no executor shares, so it raises."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = getattr(shared_dir, "own", None)
-        if not at:
-            at = shared_dir.own = tempfile.mkdtemp(prefix="corvane-")
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete the files of a table that `written` returned, once nothing reads it any more."""
-    spark = table.sparkSession
-    inside = f"{shared_dir(spark)}/corvane/"
-    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-        if inside.removeprefix("file:") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 ROW = "_row"
 
 
@@ -93,31 +62,11 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot_keys = hot.select(key, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(hot_keys), key, "left")
     of_hot = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
-    of_cold = marked.filter("_hot is null").drop("_hot").join(cold, key)
+    # Merged and never broadcast, even where it would fit: a broadcast of groups passes through the driver.
+    of_cold = marked.filter("_hot is null").drop("_hot").join(cold.hint("merge"), key)
     return of_hot.unionByName(of_cold)
 
 
-def ranked(df: DataFrame, by: str, out: str) -> DataFrame:
-    """Global 0-based rank by a unique column (nulls last) without a single-partition sort.
-
-    Range partitions are numbered by their rows; only one count per partition reaches the driver.
-    """
-    spread = written(
-        df.repartitionByRange(F.col(by).asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranked"
-    )
-    starts, at = [], 0
-    for row in sorted(spread.groupBy("_part").count().collect()):
-        starts.append((row[0], at))
-        at += row[1]
-    within = Window.partitionBy("_part").orderBy(F.col(by).asc_nulls_last())
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _at long")
-    return (
-        spread.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_at") + F.row_number().over(within) - 1)
-        .drop("_part", "_at")
-    )
-
-
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs (with ROW) without the rows whose key is in dropped, and without the key."""
     return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)

@@ -215,13 +215,13 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), 64, radius)).alias("k"))
     keyed = keyed.select("fp", "k.key", "k.rest", F.lit(-1).cast("long").alias("finer"))
     sizes = keyed.groupBy("key").count().filter("count > 1")
-    met = keyed.join(sizes, "key")
+    met = keyed.join(sizes.hint("merge"), "key")
     crowded = met.filter(F.col("count") > shard).drop("count", "finer")
     finer = crowded.select("fp", "key", F.explode(block_keys(F.col("rest"), _rest_bits(radius), radius)).alias("k"))
     finer = finer.select("fp", "key", F.col("k.key").alias("finer"))
     finer_sizes = finer.groupBy("key", "finer").count().filter("count > 1")
     split = met.filter(F.col("count") <= shard).select("fp", "key", "finer", "count")
-    split = split.unionByName(finer.join(finer_sizes, ["key", "finer"]))
+    split = split.unionByName(finer.join(finer_sizes.hint("merge"), ["key", "finer"]))
     split = split.withColumn("parts", F.ceil(F.col("count") / shard).cast("long"))
     split = split.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
