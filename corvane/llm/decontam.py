@@ -25,6 +25,8 @@ from corvane.llm.common import ROW, join_by_group, lower_az, row_keyed, written
 
 WINDOW, BLOCK_ROWS = 10, 100_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts whose A-Z are still there.
+_GAP_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -136,7 +138,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
         "doc_id",
         ROW,
         # Gaps are a small set of characters and fast to find, words are not; so words are counted between gaps.
-        F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAP), "")).cast("long").alias("n_words"),
+        F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAP_OF_ANY_CASE), "")).cast("long").alias("n_words"),
     )
     return counts.join(covered.join(items, ROW, "left"), ROW, "left").select(
         "doc_id",

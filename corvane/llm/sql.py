@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm.url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS
+from corvane.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, TERMS
 
 OP10 = r"""
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -42,9 +42,10 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
-def _bounded(terms: tuple[str, ...]) -> str:
-    """Number of different terms between boundaries."""
-    return " + ".join(rf"regexp_matches(low, '(^|[^0-9a-z]){t}([^0-9a-z]|$)')::int" for t in terms)
+def _bounded(kind: str, weighted: bool = False) -> str:
+    """Number of different terms of a class between boundaries, or the sum of their weights."""
+    hit = r"regexp_matches(low, '(^|[^0-9a-z]){}([^0-9a-z]|$)')::int"
+    return " + ".join(hit.format(t) + (f" * {w}" if weighted else "") for t, k, w in TERMS if k == kind)
 
 
 def url_sql() -> str:
@@ -65,9 +66,9 @@ fit AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   GROUP BY page_id)
 SELECT page_id, host, path, rule,
-       coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       n_strict::int AS n_strict, n_soft::int AS n_soft
-FROM (SELECT *, {_bounded(STRICT_TERMS)} AS n_strict, {_bounded(SOFT_TERMS)} AS n_soft FROM parts)
+       coalesce(v, CASE WHEN n_strict > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       n_strict::int AS n_strict, n_soft::int AS n_soft, soft_weight::double AS soft_weight
+FROM (SELECT *, {_bounded(STRICT)} AS n_strict, {_bounded(SOFT)} AS n_soft, {_bounded(SOFT, True)} AS soft_weight FROM parts)
 LEFT JOIN fit USING (page_id)
 """
 

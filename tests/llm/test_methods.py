@@ -223,6 +223,7 @@ def test_rows_with_one_id_or_none(spark, odd):
         assert Counter(r["doc_id"] for r in table.collect()) == Counter(i for i, _ in ODD)
     hit = Counter((r["doc_id"], r["n_hit"], r["n_items"]) for r in tables[-1].collect() if r["contaminated"])
     assert hit == {(1, 6, 0): 2, (None, 6, 0): 1, (1, 3, 1): 1}
+    assert Counter(r["n_words"] for r in tables[-1].collect() if r["doc_id"] == 1) == {6: 3}
     groups = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in tables[0].collect()}
     assert {(1, 1, 3), (None, 1, 3), (2, 3, 2), (None, None, 2)} <= groups
     urls = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, "x" * 200_000)], "page_id long, url string")

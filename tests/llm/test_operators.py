@@ -210,7 +210,7 @@ def test_scores(docs, none):
 
 def test_urls(spark):
     urls = ["https://A.Example.org/es/x?q", "http://example.org/en/12", "http://x.org", "http://x.org/", "ftp://b.com/fr/1#t",
-            "http://b.com/de/", "no scheme casino", None, "", "http://ads-track.net/en", "http://badstracks.net/p",
+            "http://b.com/de/", "no scheme casino", None, "", "http://ads-bonus.net/en", "http://badstracks.net/p",
             "http://notorg/es/", "http://x.net/porn"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df).collect()}
@@ -221,6 +221,12 @@ def test_urls(spark):
     assert got[6] == ("", "", None, "block") and got[7] == ("", "", None, "allow") == got[8]
     assert got[9][3] == "block" and got[10][3] == "allow" and got[11][3] == "allow" and got[12][3] == "block"
     assert judge_urls(df.limit(0)).count() == 0
+    table = spark.createDataFrame([("Blue", "soft", 1.0), ("red", "soft", 1.2), ("foul", "strict", 1.0), ("blue", "soft", 0.1)], "term string, class string, weight double")
+    from corvane.llm.url_filter import vocabulary
+
+    colours = spark.createDataFrame([(1, "u://h/blue-red"), (2, "u://h/blue/blue"), (3, "u://h/foul"), (4, "u://h/foulred")], "page_id long, url string")
+    own = {r["page_id"]: (r["verdict"], r["soft_weight"]) for r in judge_urls(colours, vocabulary(table)).collect()}
+    assert own == {1: ("block", 2.2), 2: ("allow", 1.0), 3: ("block", 0.0), 4: ("allow", 0.0)}
 
 
 def test_languages(spark, docs, none):
