@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,9 +83,53 @@ def ordered_rules(rules: Sequence[tuple[str, str]], text: Column, default: str)
     return out
 
 
-def multi_label(rules: Sequence[tuple[str, str]], meta: Column, body: Column, base: int = 3, step: int = 20000) -> Column:
-    """Values whose pattern hits meta, or hits body at least max(base, length / step) times."""
+@dataclass(frozen=True)
+class LabelRule:
+    """A value and its pattern; `meta` is a further pattern for metadata alone; before `since` the body does not count."""
+
+    value: str
+    pattern: str
+    meta: str | None = None
+    since: int | None = None
+
+
+def multi_label(rules: Sequence[LabelRule], meta: Column, body: Column, year: Column | None = None, base: int = 3, step: int = 20_000) -> Column:
+    """Values whose pattern hits meta, or hits body at least max(base, length / step) times where the year allows it."""
     bar = F.greatest(F.lit(base), (F.length(body) / step).cast("int"))
-    return F.array_compact(
-        F.array(*[F.when(meta.rlike(p) | (F.regexp_count(body, F.lit(p)) >= bar), F.lit(v)) for p, v in rules])
-    )
+
+    def applies(rule: LabelRule) -> Column:
+        stated = F.coalesce(meta.rlike(rule.pattern), F.lit(False))
+        if rule.meta:
+            stated = stated | F.coalesce(meta.rlike(rule.meta), F.lit(False))
+        told = F.coalesce(F.regexp_count(body, F.lit(rule.pattern)) >= bar, F.lit(False))
+        if rule.since is not None and year is not None:
+            told = told & F.coalesce(year >= rule.since, F.lit(True))
+        return stated | told
+
+    return F.array_compact(F.array(*[F.when(applies(r), F.lit(r.value)) for r in rules]))
+
+
+def shared_description(meta: Column, description: Column, body: Column, shared: Column) -> tuple[Column, Column]:
+    """(meta, body) for rules: a description that a collection shares is body text, any other belongs to the metadata."""
+    own = F.coalesce(description, F.lit(""))
+    text = F.coalesce(body, F.lit(""))
+    return F.when(shared, meta).otherwise(F.concat_ws("\n", meta, own)), F.when(shared, F.concat_ws("\n", own, text)).otherwise(text)
+
+
+def with_children(records: DataFrame, key: str, **children: DataFrame) -> DataFrame:
+    """records with one array of structs for each table of children, in the order of their columns; none is an empty array."""
+    for name, table in children.items():
+        columns = [c for c in table.columns if c != key]
+        nested = table.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        empty = F.array().cast(nested.schema[name].dataType)
+        records = records.join(nested, key, "left").withColumn(name, F.coalesce(name, empty))
+    return records
+
+
+def set_algebra(a: Column, b: Column) -> Column:
+    """struct(both, only_a, subset, jaccard) of two item arrays."""
+    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.struct(
+        both.alias("both"), F.size(F.array_except(a, b)).alias("only_a"), (F.size(F.array_except(a, b)) == 0).alias("subset"),
+        F.when(either > 0, F.bround(both / either, 6)).otherwise(0.0).alias("jaccard"),
+    )

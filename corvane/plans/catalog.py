@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import lexicon as lx
+from corvane.functions import metadata as md
 from corvane.functions import segments as sg
 from corvane.functions import spans as sp
 from corvane.functions import text as tx
@@ -16,6 +18,7 @@ from corvane.operators import relational as rel
 from corvane.operators import selection as sel
 from corvane.operators import statistics as st
 from corvane.operators import summaries as sm
+from corvane.sources import listing as ls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,10 +62,11 @@ def overview_totals(t):
 
 @query("""SELECT row_number() OVER (ORDER BY m) AS number, * FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m,
 count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o,
-count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)""")
+count(*) FILTER (o_orderstatus = 'P') AS p, sum(o_custkey % 50)::bigint AS pages FROM orders GROUP BY 1)""")
 def release_media_pivot(t):
-    months = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).pivot("o_orderstatus", ["F", "O", "P"]).count()
-    months = months.select("m", *[F.coalesce(k, F.lit(0)).alias(k.lower()) for k in "FOP"])
+    counts = [F.count_if(F.col("o_orderstatus") == k).alias(k.lower()) for k in "FOP"]
+    months = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(*counts, F.sum(F.col("o_custkey") % 50).alias("pages"))
+    # One row for each release, so the window over all of them is small.
     return months.withColumn("number", F.row_number().over(Window.orderBy("m")))
 
 
@@ -201,28 +205,32 @@ def page_concat(t):
     return pages.select("conv_id", F.sha2(joined, 256).alias("h"), F.size("p").cast("long").alias("pages"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(lower(text), 'license|copyright|email|token')) AS hits FROM documents
-WHERE len(regexp_extract_all(lower(text), 'license|copyright|email|token')) >= 2""")
+@query("""WITH h AS (SELECT doc_id,
+len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('license', 'copyright', 'email', 'token', 'the'))) AS hits FROM documents) SELECT doc_id, hits FROM h WHERE hits >= 4""")
 def vocab_hits_filter(t):
-    hits = F.regexp_count(F.lower("text"), F.lit("license|copyright|email|token")).cast("long")
-    return t.documents.select("doc_id", hits.alias("hits")).filter("hits >= 2")
+    hits = lx.vocabulary_hits(F.col("text"), "license|copyright|email|token|the").cast("long")
+    return t.documents.select("doc_id", hits.alias("hits")).filter("hits >= 4")
 
 
-_KINDS = [("STEEL", "metal"), ("BRASS|COPPER", "alloy"), ("PROMO", "offer")]
+_KINDS = [("STEEL", "metal"), ("BRASS|COPPER", "alloy"), ("PROMO", "offer"), ("#1", "first")]
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL') THEN 'metal' WHEN regexp_matches(p_type, 'BRASS|COPPER')
-THEN 'alloy' WHEN regexp_matches(p_type, 'PROMO') THEN 'offer' ELSE 'other' END AS kind FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'video' WHEN regexp_matches(p_type, 'STEEL') THEN 'metal' WHEN regexp_matches(p_type, 'BRASS|COPPER') THEN 'alloy'
+WHEN regexp_matches(p_type, 'PROMO') THEN 'offer' WHEN regexp_matches(p_name, 'STEEL') THEN 'metal' WHEN regexp_matches(p_brand, '#1') THEN 'first' ELSE 'other' END AS kind FROM part""")
 def ordered_rule_kind(t):
-    return t.part.select("p_partkey", rel.ordered_rules(_KINDS, F.col("p_type"), "other").alias("kind"))
+    """The medium decides first, then rules on the type, then on name and brand, else other."""
+    media = F.when(F.col("p_size") % 10 == 0, "video")
+    ruled = md.first_rule(_KINDS, F.col("p_type"), F.concat_ws("\n", "p_name", "p_brand"), default="other")
+    return t.part.select("p_partkey", F.coalesce(media, ruled).alias("kind"))
 
 
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(source, '1') OR a >= bar THEN 'a' END,
-CASE WHEN regexp_matches(source, '2') OR b >= bar THEN 'b' END) AS labels FROM (SELECT doc_id, source,
-len(regexp_extract_all(text, '1')) AS a, len(regexp_extract_all(text, '2')) AS b,
-greatest(3, length(text) // 20000) AS bar FROM documents)""")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(source, '7|license') OR regexp_matches(source, '^src1') OR a >= bar THEN 'legal' END,
+CASE WHEN regexp_matches(source, 'token') OR (b >= bar AND 1940 + doc_id % 60 >= 1965) THEN 'sensor' END, CASE WHEN regexp_matches(source, ' [a-e]') OR c >= bar THEN 'early' END) AS labels
+FROM (SELECT doc_id, source, len(regexp_extract_all(text, '7|license')) AS a, len(regexp_extract_all(text, 'token|[0-9]{3}')) AS b,
+len(regexp_extract_all(text, ' [a-e]')) AS c, greatest(3, length(text) // 20000) AS bar FROM documents)""")
 def multi_label_rules(t):
-    labels = rel.multi_label([("1", "a"), ("2", "b")], F.col("source"), F.col("text"))
+    rules = [rel.LabelRule("legal", "7|license", meta="^src1"), rel.LabelRule("sensor", "token|[0-9]{3}", since=1965), rel.LabelRule("early", " [a-e]")]
+    labels = rel.multi_label(rules, F.col("source"), F.col("text"), 1940 + F.col("doc_id") % 60)
     return t.documents.select("doc_id", F.array_join(labels, ",").alias("labels"))
 
 
@@ -598,12 +606,44 @@ def replaced_children(t):
     return ep.merged_latest(children.withColumn("flag", F.lit("old")), fresh.withColumn("flag", F.lit("new")), "l_orderkey")
 
 
-@query("""SELECT DISTINCT doc_id, n_tags, shared FROM (SELECT a.s_suppkey AS doc_id, len(a.tags) AS n_tags, len(list_intersect(a.tags, b.tags)) AS shared
-FROM (SELECT l_suppkey AS s_suppkey, list(DISTINCT l_linenumber) AS tags FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
-JOIN (SELECT l_suppkey AS s_suppkey, list(DISTINCT l_linenumber) AS tags FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) b USING (s_suppkey))""")
+@query("""SELECT k, len(list_intersect(a, b)) AS both, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_a, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset,
+round_even(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM (SELECT l_suppkey AS k, list(DISTINCT l_linenumber) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS a,
+list(DISTINCT l_linenumber) FILTER (l_returnflag = 'A' AND l_quantity > 40) AS b FROM lineitem GROUP BY 1) WHERE len(a) > 0 AND len(b) > 0""")
 def item_set_algebra(t):
-    sets = t.lineitem.groupBy(F.col("l_suppkey").alias("doc_id")).agg(
-        F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("r"),
-        F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber"))).alias("a"))
-    both = sets.filter((F.size("r") > 0) & (F.size("a") > 0))
-    return both.select("doc_id", F.size("r").cast("long").alias("n_tags"), F.size(F.array_intersect("r", "a")).cast("long").alias("shared"))
+    of = lambda flag: F.collect_set(F.when((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 40), F.col("l_linenumber")))
+    sets = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(of("R").alias("a"), of("A").alias("b")).filter("size(a) > 0 and size(b) > 0")
+    out = sets.select("k", rel.set_algebra(F.col("a"), F.col("b")).alias("s")).select("k", "s.*")
+    return out.withColumns({"both": F.col("both").cast("long"), "only_a": F.col("only_a").cast("long")})
+
+
+@query("""SELECT o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS lines, count(l_orderkey) AS n FROM
+(SELECT o_orderkey, l_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 20) ON l_orderkey = o_orderkey) GROUP BY 1""")
+def records_with_children(t):
+    lines = t.lineitem.filter("l_quantity > 20").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    out = rel.with_children(t.orders.select("o_orderkey"), "o_orderkey", lines=lines)
+    shown = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
+    return out.select("o_orderkey", shown.alias("lines"), F.size("lines").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END ||
+',"z":"' || o_orderpriority || '"}') AS h FROM orders""")
+def row_hashes(t):
+    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("z"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("o_orderstatus"), "o_custkey")
+    return rows.select("o_orderkey", md.row_hash(["z", "o_orderstatus", "o_custkey"]).alias("h"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_mktsegment = (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, c_mktsegment LIMIT 1)""")
+def fullest_listing(t):
+    return ls.fullest(t.customer, "c_mktsegment").select("c_custkey")
+
+
+@query(f"""WITH {_TAGS}, x AS (SELECT a, b, round_even(score, 5) AS score, n_shared, abs(year(oa.o_orderdate) - year(ob.o_orderdate)) AS gap, oa.o_custkey % 3 <> ob.o_custkey % 3 AS crossed
+FROM scored JOIN orders oa ON oa.o_orderkey = a JOIN orders ob ON ob.o_orderkey = b) SELECT a, b, score, crossed AS cross_agency, gap AS years_apart FROM x
+WHERE score >= 7.5 AND (crossed OR gap >= 3) AND (n_shared >= 3 OR a % 2 = 0) AND NOT (b = a + 7 OR a = b + 7)""")
+def record_links(t):
+    """Orders linked by what they share: of different groups of customers or three years apart."""
+    records = t.orders.select(F.col("o_orderkey").alias("record"), (F.col("o_custkey") % 3).cast("string").alias("agency"), F.year("o_orderdate").alias("year"))
+    pairs = _pairs(t).withColumns({"details": F.col("n_shared"), "same_report": F.col("a") % 2 == 0})
+    related = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 7).alias("b"))
+    out = pt.record_links(pairs, records, related, apart=3)
+    return out.select("a", "b", "score", "cross_agency", F.col("years_apart").cast("long").alias("years_apart"))

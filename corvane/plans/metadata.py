@@ -13,6 +13,7 @@ from corvane.functions import metadata as md
 from corvane.functions import segments as sg
 from corvane.functions import spans as sp
 from corvane.functions import text as tx
+from corvane.functions import wording as wd
 from corvane.plans.catalog import query
 
 KEY = "p_partkey"
@@ -205,3 +206,31 @@ mapped("quote_places", "VARCHAR", ["It rose  straight\nup at once", "rose straig
 mapped("excerpts", "VARCHAR", ["one two three four five six seven eight", "two", "", None],
        lambda df: sp.map_column(df, "v", "out", "string", lambda v: sp.excerpt(v, [m.span() for m in re.finditer("two|seven", v)], 4) if v else ""),
        ["one <mark>two</mark> thr … six <mark>seven</mark> eig…", "<mark>two</mark>", "", ""])
+
+_NONE = r"[\s:.]*(?:none|n/a|not (?:observed|noted))"
+_OBSERVABLES = sp.Engine(
+    [sp.Rule("trail", r"(?<![A-Za-z])(?:fiery )?trails?(?![A-Za-z])", not_before=r"\b(?:no|without)\b[^.;]{0,25}", not_after=_NONE), sp.Rule("odor", r"(?<![A-Za-z])odou?r(?![A-Za-z])", not_after=_NONE),
+     sp.Rule("silent", r"(?<![A-Za-z])(?:no sound|silent)(?![A-Za-z])", not_after=r"[^.;]{0,40}\b(?:except|but|until)\b", ahead=sp.EXCEPTION_AFTER)])
+mapped("observed_details", "VARCHAR",
+       ["It left a trail and an odor", "without any single bit of the fiery trails of it", "Odor: none. A trail", "no sound, except a rumble", "silent; then but a hum", "no sound. But later", "Trailing off", "", None,
+        "no trail, later a trail"],
+       lambda df: sp.find_spans(df, "v", _OBSERVABLES).select(KEY, F.array_join(F.transform("spans", lambda s: F.concat_ws("@", s["key"], s["start"])), ",").alias("out")),
+       ["trail@10,odor@23", "", "trail@14", "", "silent@0", "silent@0", "", "", "", ""])
+
+_CANDIDATES = lx.Candidates(_TAGGER, frozenset({"shape", "motion"}), {"disc": "shape", "sphere": "shape", "cigar": "shape", "hum": "sound", "hover": "motion"}, template=r"\bplease\b|\bif any\b|\bdescribe\b")
+mapped("candidate_tags", "VARCHAR",
+       ["A disc that hovered.", "It hummed only.", "Please describe the disc, if any, and how it hovered.", "A disc. Please look.", "", None],
+       lambda df: sp.map_column(df, "v", "tags", "array<struct<key:string,start:int,end:int>>", _CANDIDATES.of_passage).select(
+           KEY, F.concat(F.array_join(F.transform("tags", lambda s: s["key"]), ","), F.when(_CANDIDATES.comparable_tags(F.col("tags")), "!").otherwise("")).alias("out")),
+       ["disc,hover!", "", "", "disc", "", ""])
+mapped("account_sentences", "VARCHAR",
+       ["pilot disc white night hover hum", "pair glow minutes high_speed", "", None, "starlike radar photo brief silent em_effects heat", "metallic daylight formation climb", "oval driving"],
+       lambda df: wd.with_sentences(df.withColumn("tags", F.split("v", " ")), "tags", "out"),
+       ["A pilot saw a white disc-shaped object at night. It hovered and hummed.", "Witnesses saw two lights. They were glowing and moved at extreme speed, in view for some minutes.",
+        "Witnesses saw an object.", "Witnesses saw an object.",
+        "Witnesses saw a star-like light, tracked on radar and photographed. It made no sound, in view for a few seconds. Engines or electrics failed and heat was felt.",
+        "Witnesses saw several silvery lights in daylight. They climbed vertically.", "A driver saw an oval object."])
+
+_REPORT = "the crew of the first aircraft saw a bright round light cross the bay from west to east at great speed and then turn back over the water"
+mapped("same_reports", "BOOLEAN", [_REPORT, "xx " + _REPORT.replace("great speed", "grat sped"), " ".join(reversed(_REPORT.split())), "the crew saw it", "", None],
+       lambda df: lx.with_same_report(df.withColumn("w", F.lit(_REPORT)), "v", "w", "out"), [True, True, False, False, False, False])
