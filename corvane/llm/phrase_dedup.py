@@ -47,7 +47,7 @@ from corvane.llm.common import ranked, written
 from corvane.llm.token_count import ascii_words, slices
 
 WINDOW, PHRASE = 20, 6
-BLOCK_BYTES, BUCKET_ROWS = 4 << 20, 400_000
+BLOCK_BYTES, BUCKET_ROWS, GROUP_BLOCKS = 4 << 20, 400_000, 4096
 _LAST, _NONE = np.iinfo(np.int64).max, np.uint64(2**64 - 1)
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -191,6 +191,43 @@ def _anchors(n_buckets: int, window: int, phrase: int):
     return run
 
 
+def _known(table: pa.Table) -> pa.Table:
+    """The different phrases of one group of blocks in a bucket, and whether each occurs again among them."""
+    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")])
+    again = np.concatenate([np.frombuffer(x.as_py(), bool) for x in table.column("again")])
+    found, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    repeated = count > 1
+    repeated[inverse[again]] = True
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "hashes": pa.array([found.tobytes()], pa.binary()), "again": pa.array([repeated.tobytes()], pa.binary())})
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """The phrases of a bucket that occur more than once."""
+    out = _known(table)
+    found, again = np.frombuffer(out.column("hashes")[0].as_py(), np.uint64), np.frombuffer(out.column("again")[0].as_py(), bool)
+    return pa.table({"bucket": out.column("bucket"), "known": pa.array([found[again].tobytes()], pa.binary())})
+
+
+def _keep_recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, hashes, places) of (block, hashes, places, known): those among the known ones, which are sorted."""
+    for batch in batches:
+        blocks, kept, where = [], [], []
+        last, known = None, np.zeros(0, np.uint64)
+        for block, hashes, places, text in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+            raw = text.as_py()
+            if raw is not last and raw != last:
+                last, known = raw, np.frombuffer(raw, np.uint64)
+            h = np.frombuffer(hashes.as_py(), np.uint64)
+            at = np.searchsorted(known, h)
+            own = np.zeros(len(h), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] == h
+            if own.any():
+                blocks.append(block)
+                kept.append(h[own].tobytes())
+                where.append(np.frombuffer(places.as_py(), np.int32)[own].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(kept, pa.binary()), pa.array(where, pa.binary())], names=["block", "hashes", "places"])
+
+
 def _confirm(table: pa.Table) -> pa.Table:
     """Of a bucket's phrases, those that occur more than once, for each block that has them."""
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
@@ -209,6 +246,23 @@ def _confirm(table: pa.Table) -> pa.Table:
     return out.filter(pc.greater(pc.binary_length(out.column("hashes")), 0))
 
 
+def confirmed(anchors: DataFrame, groups: int) -> DataFrame:
+    """(block, hashes, places) of the phrases that occur again.
+
+    With many blocks a phrase that most of them hold would bring one record from each to one bucket; so groups of blocks first
+    state what they know, a bucket gathers one statement of each group, and the blocks' own lists meet the answer in a
+    join that can be split.
+    """
+    if groups == 1:
+        return anchors.groupBy("bucket").applyInArrow(_confirm, "block long, hashes binary, places binary")
+    salted = anchors.withColumn("salt", F.pmod("block", F.lit(groups)).cast("int"))
+    kind = "bucket int, hashes binary, again binary"
+    stated = salted.select("bucket", "salt", "hashes", "again").groupBy("bucket", "salt").applyInArrow(_known, kind)
+    known = stated.groupBy("bucket").applyInArrow(_recurring, "bucket int, known binary").filter(F.length("known") > 0)
+    both = anchors.select("bucket", "block", "hashes", "places").join(known.hint("shuffle_hash"), "bucket")
+    return both.select("block", "hashes", "places", "known").mapInArrow(_keep_recurring, "block long, hashes binary, places binary")
+
+
 def phrase_hits(block: Block, places: np.ndarray, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Every place in the block where one of the phrases at `places` stands, and which one (its index in places).
 
@@ -257,6 +311,30 @@ def _ranges(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate(([0], cut))], starts[np.append(cut, len(starts)) - 1] + width
 
 
+def _encode(a: np.ndarray, b: np.ndarray, d: np.ndarray, s: np.ndarray, at: np.ndarray) -> bytes:
+    """Windows of one block in the order of place. Runs around one phrase occurrence hold name, id and place once, then the
+    hashes of their windows."""
+    head = np.ones(len(at), bool)
+    head[1:] = (np.diff(at) != 1) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+    runs = np.flatnonzero(head)
+    return b"".join((
+        np.array([len(runs), len(at)], np.int64).tobytes(), a[runs].tobytes(), d[runs].astype(np.int64).tobytes(), s[runs].astype(np.int32).tobytes(),
+        at[runs].astype(np.int32).tobytes(), np.diff(np.append(runs, len(at))).astype(np.int32).tobytes(), b.tobytes(),
+    ))
+
+
+def _decode(payload: bytes) -> tuple[np.ndarray, ...]:
+    """(a, b, d, s, at) of _encode."""
+    r, n = np.frombuffer(payload, np.int64, 2)
+    place, fields = 16, []
+    for kind, length in ((np.uint64, r), (np.int64, r), (np.int32, r), (np.int32, r), (np.int32, r), (np.uint64, n)):
+        fields.append(np.frombuffer(payload, kind, length, place))
+        place += fields[-1].nbytes
+    a, d, s, at, count, b = fields
+    step = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(a, count), b, np.repeat(d, count), np.repeat(s, count) + step, np.repeat(at, count) + step
+
+
 def _windows(n_buckets: int, window: int, phrase: int):
     """Per block: first occurrences of its recurring windows by bucket, and ranges settled inside the block."""
 
@@ -292,16 +370,7 @@ def _windows(n_buckets: int, window: int, phrase: int):
                 bucket = np.sort(bucket)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 for part in np.split(first, cut) if len(first) else []:
-                    # Runs of windows around one phrase occurrence: hash, id and place once, then window hashes.
-                    head = np.ones(len(part), bool)
-                    head[1:] = (np.diff(at[part]) != 1) | (key_a[part][1:] != key_a[part][:-1])
-                    runs = np.flatnonzero(head)
-                    payload = b"".join((
-                        np.array([len(runs), len(part)], np.int64).tobytes(),
-                        key_a[part[runs]].tobytes(), doc_id[part[runs]].tobytes(),
-                        start[part[runs]].astype(np.int32).tobytes(), at[part[runs]].astype(np.int32).tobytes(),
-                        np.diff(np.append(runs, len(part))).astype(np.int32).tobytes(), key_b[part].tobytes(),
-                    ))
+                    payload = _encode(key_a[part], key_b[part], doc_id[part], start[part], at[part])
                     where = int((key_a[part[0]] >> np.uint64(20)) % np.uint64(n_buckets))
                     for column, value in zip(out, (where, name, 0, payload), strict=True):
                         column.append(value)
@@ -314,46 +383,66 @@ def _windows(n_buckets: int, window: int, phrase: int):
     return run
 
 
-def _firsts(window: int):
-    """Word ranges, by block, of windows in a bucket that are not the earliest; settled ranges pass through."""
+def _sorted_out(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """All windows of some payloads in the order (window, id, start), the payload of each, and which are not the first."""
+    parts = [_decode(p) for p in payloads]
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    a, b, d, s, at = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    order = np.lexsort((s, d, b, a))
+    a, b, d, s, at, owner = (x[order] for x in (a, b, d, s, at, owner))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return [a, b, d, s, at], owner, (d != d[lead]) | (s != s[lead])
+
+
+def _firsts(window: int, last: bool):
+    """Word ranges, by block, of windows that are not the earliest of their group; settled ranges pass through.
+
+    last: all of a bucket's windows are here. Otherwise a group's earliest windows go on to the next level.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        blocks, ranges, parts = [], [], []
+        out: list[tuple[int, int, bytes]] = []
+        blocks, payloads = [], []
         for block, settled, payload in zip(*(table.column(c).to_pylist() for c in ("block", "settled", "payload")), strict=True):
             if settled:
+                out.append((block, 1, payload))
+            else:
                 blocks.append(block)
-                ranges.append(payload)
-                continue
-            r, n = np.frombuffer(payload, np.int64, 2)
-            place = 16
-            fields = []
-            for kind, length in ((np.uint64, r), (np.int64, r), (np.int32, r), (np.int32, r), (np.int32, r), (np.uint64, n)):
-                fields.append(np.frombuffer(payload, kind, length, place))
-                place += fields[-1].nbytes
-            a, d, s, at, count, b = fields
-            step = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-            parts.append((np.repeat(a, count), b, np.repeat(d, count), np.repeat(s, count) + step,
-                          np.repeat(at, count) + step, np.full(n, len(parts)), block))
-        if parts:
-            a, b, d, s, at, owner = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            order = np.lexsort((s, d, b, a))
-            a, b, d, s, at, owner = (x[order] for x in (a, b, d, s, at, owner))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (d != d[lead]) | (s != s[lead])
-            at, owner = at[later], owner[later]
-            order = np.lexsort((at, owner))
-            at, owner = at[order], owner[order]
-            for k in np.unique(owner):
-                lo, hi = _ranges(at[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")], window)
-                blocks.append(parts[k][6])
-                ranges.append(np.stack([lo, hi]).astype(np.int64).tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
+                payloads.append(payload)
+        if payloads:
+            fields, owner, later = _sorted_out(payloads)
+            by_place = np.lexsort((fields[4], owner))
+            owner, later, fields = owner[by_place], later[by_place], [f[by_place] for f in fields]
+            for k, (lo, hi) in enumerate(zip(*(np.searchsorted(owner, np.arange(len(blocks)), side) for side in ("left", "right")), strict=True)):
+                own = later[lo:hi]
+                ranges = _ranges(fields[4][lo:hi][own], window)
+                if len(ranges[0]):
+                    out.append((blocks[k], 1, np.stack(ranges).astype(np.int64).tobytes()))
+                if not last and not own.all():
+                    out.append((blocks[k], 0, _encode(*(f[lo:hi][~own] for f in fields))))
+        columns = {"block": pa.array([o[0] for o in out], pa.int64()), "settled": pa.array([o[1] for o in out], pa.int32()), "payload": pa.array([o[2] for o in out], pa.binary())}
+        if not last:
+            columns = {"bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), **columns}
+        return pa.table(columns)
 
     return run
 
 
+def later_ranges(found: DataFrame, window: int, groups: int) -> DataFrame:
+    """(block, ranges): words of windows that are not the earliest; in two levels where there are many blocks, as in
+    `confirmed`, so that a bucket receives one record of each group for a window that most blocks hold."""
+    if groups > 1:
+        salted = found.withColumn("salt", F.pmod("block", F.lit(groups)).cast("int"))
+        found = salted.groupBy("bucket", "salt").applyInArrow(_firsts(window, False), "bucket int, block long, settled int, payload binary")
+        settled = found.filter("settled = 1").select("block", F.col("payload").alias("ranges"))
+        found = found.filter("settled = 0")
+    out = found.groupBy("bucket").applyInArrow(_firsts(window, True), "block long, settled int, payload binary")
+    out = out.select("block", F.col("payload").alias("ranges"))
+    return out.unionByName(settled) if groups > 1 else out
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
@@ -387,7 +476,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bucket_rows: int = BUCKET_ROWS,
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs.
 
     Ids that are no integers are numbered in their order first and put back at the end.
@@ -395,24 +484,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         names = written(ranked(docs.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "_n"), "names")
         numbered = docs.select("doc_id", "text").join(names, "doc_id", "left").select(F.col("_n").alias("doc_id"), "text")
-        out = remove_repeats(numbered, window, phrase, bucket_rows, block_bytes).withColumnRenamed("doc_id", "_n")
+        out = remove_repeats(numbered, window, phrase, bucket_rows, block_bytes, group_blocks).withColumnRenamed("doc_id", "_n")
         return out.join(names, "_n", "left").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = written(pack(docs, block_bytes), "blocks")
-    packed = blocks.agg(F.sum(F.length("texts"))).first()[0] or 0
+    packed, n_blocks = blocks.agg(F.coalesce(F.sum(F.length("texts")), F.lit(0)), F.count("*")).first()
+    groups = int(max(1, -(-n_blocks // group_blocks)))
     # About four bytes of compressed text for a word; buckets hold a bounded number of windows however many there are.
     n_buckets = int(max(1, packed // (4 * bucket_rows)))
     anchors = blocks.select("block", "texts").mapInArrow(
         _anchors(n_buckets, window, phrase), "bucket int, block long, hashes binary, places binary, again binary"
     )
-    recurring = anchors.groupBy("bucket").applyInArrow(_confirm, "block long, hashes binary, places binary")
+    recurring = confirmed(anchors, groups)
     both = recurring.groupBy("block").agg(F.collect_list(F.struct("hashes", "places")).alias("r"))
     by_block = both.select("block", F.col("r.hashes").alias("hashes"), F.col("r.places").alias("places"))
     found = blocks.join(by_block, "block").select("block", "ids", "texts", "hashes", "places").mapInArrow(
         _windows(n_buckets, window, phrase), "bucket int, block long, settled int, payload binary"
     )
-    later = found.groupBy("bucket").applyInArrow(_firsts(window), "block long, ranges binary")
-    ranges = later.groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = later_ranges(found, window, groups).groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
     return blocks.join(ranges, "block", "left").select("ids", "texts", "ranges").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )

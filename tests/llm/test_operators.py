@@ -118,14 +118,14 @@ def test_bk_tree_finds_all_in_radius():
         assert set(tree.within(v, 2)) == {x for x in values if (x ^ v).bit_count() <= 2}
 
 
-@pytest.mark.parametrize("block_bytes,bucket_rows", [(4 << 20, 400_000), (3000, 50)])
-def test_repeats(docs, none, block_bytes, bucket_rows):
+@pytest.mark.parametrize("block_bytes,bucket_rows,group_blocks", [(4 << 20, 400_000, 4096), (3000, 50, 4096), (3000, 50, 3)])
+def test_repeats(docs, none, block_bytes, bucket_rows, group_blocks):
     first = {}
     for i, t in enumerate(TEXTS):
         w = words(t)
         for k in range(len(w) - 19):
             first.setdefault(tuple(w[k : k + 20]), (i, k))
-    for i, r in by_id(remove_repeats(docs, block_bytes=block_bytes, bucket_rows=bucket_rows)).items():
+    for i, r in by_id(remove_repeats(docs, block_bytes=block_bytes, bucket_rows=bucket_rows, group_blocks=group_blocks)).items():
         w = words(TEXTS[i])
         gone = set()
         for k in range(len(w) - 19):
