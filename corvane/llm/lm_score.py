@@ -48,7 +48,7 @@ HEAD, HEAD_CHARS, FLUSH_WORDS = 250_000, 100, 250_000
 FLUSH_CHOICES, TASK_CHOICES = 2_000_000, 1 << 31
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
 SHARES = (0.0, 0.02, 0.1, 0.3)
-SLICE_BYTES, PAD, END = 160 << 10, 8, 0xFF
+SLICE_BYTES, PAD, END = 64 << 10, 8, 0xFF
 _SCALE = 16.0
 _WORD_STEP = 0x9E3779B1
 
