@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -46,11 +47,17 @@ def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: i
     weighted = written(weighted_tags(rows, record, tag, tag_weights(rows, record, tag)), "weighted_tags")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(record)))
     lighter = Window.partitionBy(record).orderBy("w", F.desc(tag)).rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.sum("w").over(lighter)
-    prefix = weighted.withColumn("_reach", reach).filter(F.col("_reach") >= least - 1e-9)
-    a = prefix.select(tag, F.col(record).alias("a"), F.col(series).alias("sa"), F.col("_owner").alias("oa"))
-    b = prefix.select(tag, F.col(record).alias("b"), F.col(series).alias("sb"), F.col("_owner").alias("ob"))
-    near = a.join(b, tag).filter("a < b and sa <> sb and oa <> ob").select("a", "b").distinct()
+    light = weighted.withColumn("_reach", F.sum("w").over(lighter))
+    heavy = F.col("_reach") >= least - 1e-9
+    whole = Window.partitionBy(record)
+    light = light.withColumns({"_rest": F.sum(F.when(heavy, 0.0).otherwise(F.col("w"))).over(whole), "_more": F.count_if(~heavy).over(whole)})
+    prefix = light.filter(heavy)
+    side = lambda x: prefix.select(
+        tag, F.col(record).alias(x), *[F.col(c).alias(c + x) for c in (series, "_owner", "_rest", "_more")], *([F.col("w")] if x == "a" else []))
+    met = side("a").join(side("b"), tag).filter((F.col("a") < F.col("b")) & (F.col(series + "a") != F.col(series + "b")) & (F.col("_ownera") != F.col("_ownerb")))
+    # What the light tags of a pair can still add has a bound; pairs that it does not lift over the bars go before scoring.
+    sums = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("w").alias("e"), F.first(F.least("_resta", "_restb")).alias("_r"), F.first(F.least("_morea", "_moreb")).alias("_m"))
+    near = sums.filter((F.col("n") + F.col("_m") >= shared) & (F.col("e") + F.col("_r") >= least - 1e-9)).select("a", "b")
     full = weighted.withColumn("_norm", norm)
     left = near.join(full.select(F.col(record).alias("a"), tag, "w", "_core", "_beh", F.col("_norm").alias("na")), "a")
     both = left.join(full.select(F.col(record).alias("b"), tag, F.col("_norm").alias("nb")), ["b", tag])
@@ -85,8 +92,9 @@ def combinations(tags: DataFrame, defining: Sequence[str], behaviour: Sequence[s
     tags (account, record, tag, dim, w), each tag of an account once. Only an account's heaviest tags count; the
     dimensions of a combination differ, one is a behaviour and one defines (weak tags do not); an account that also has a tag
     that contradicts one of the combination is no member. Result: t1, t2, t3 (null in pairs), m accounts, r records,
-    lift, score. Triples grow from pairs that are frequent themselves, so no account lists all its triples.
+    lift, score.
     """
+    tags = written(tags.select("account", "record", "tag", "dim", "w"), "tags")
     heavy = F.row_number().over(Window.partitionBy("account").orderBy(F.desc("w"), "tag"))
     sig = tags.withColumn("_r", heavy).filter(F.col("_r") <= heaviest)
     if contradictions:
@@ -95,27 +103,38 @@ def combinations(tags: DataFrame, defining: Sequence[str], behaviour: Sequence[s
         members = sig.join(clash.select("account", "tag").distinct(), ["account", "tag"], "left_anti")
     else:
         members = sig
-    sig = written(sig.select("account", "record", "tag", "dim"), "signatures")
-    n = sig.sparkSession.createDataFrame([(tags.select("account").distinct().count(),)], "n long")
     p = sig.groupBy("tag").agg(F.count("*").alias("p"))
+    n = tags.select("account").distinct().agg(F.count("*").alias("n"))
     defines = F.col("dim").isin(*defining) & ~F.col("tag").isin(*weak) if weak else F.col("dim").isin(*defining)
-    one = members.select("account", "record", "tag", "dim", defines.alias("def"), F.col("dim").isin(*behaviour).alias("beh"))
-    one = written(one, "members")
-
-    def side(k: int) -> DataFrame:
-        return one.select("account", *([] if k > 1 else ["record"]), *[F.col(c).alias(f"{c}{k}") for c in ("tag", "dim", "def", "beh")])
-
-    two = side(1).join(side(2), "account").filter("tag1 < tag2 and dim1 <> dim2")
-    # Whatever the dimensions, a pair that fewer accounts share is in no frequent triple.
-    frequent = written(two.groupBy("tag1", "tag2").agg(F.count("*").alias("m")).filter(F.col("m") >= accounts).select("tag1", "tag2"), "frequent")
-    two = written(two.join(F.broadcast(frequent) if frequent.count() < 100_000 else frequent, ["tag1", "tag2"], "left_semi"), "pairs")
-    three = two.join(side(3), "account").filter("tag2 < tag3 and dim3 <> dim1 and dim3 <> dim2")
-    for x, y in (("tag1", "tag3"), ("tag2", "tag3")):
-        three = three.join(frequent.toDF(x, y), [x, y], "left_semi")
-    pick = lambda df, k: df.filter(" or ".join(f"def{i}" for i in range(1, k + 1))).filter(" or ".join(f"beh{i}" for i in range(1, k + 1)))
-    pairs = pick(two, 2).select("account", "record", "tag1", "tag2", F.lit(None).cast("string").alias("tag3"))
-    sets = pairs.unionByName(pick(three, 3).select("account", "record", "tag1", "tag2", "tag3"))
-    counted = sets.groupBy("tag1", "tag2", "tag3").agg(F.count("*").alias("m"), F.countDistinct("record").alias("r"))
+    one = F.struct("tag", "dim", defines.alias("def"), F.col("dim").isin(*behaviour).alias("beh"))
+    # A row makes many combinations from few bytes, so the number of partitions is not left to their size.
+    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = members.repartition(parts, "account").groupBy("account").agg(F.first("record").alias("record"), F.array_sort(F.collect_list(one)).alias("own"))
+    own = F.col("own")
+
+    def behind(items: Column, i: Column) -> Column:
+        return F.slice(items, i + 2, heaviest)
+
+    def apart(x: Column, *others: Column) -> Column:
+        return reduce(lambda a, b: a & b, [x["dim"] != o["dim"] for o in others])
+
+    def combo(*parts: Column) -> Column:
+        names = [p["tag"] for p in parts] + [F.lit(None).cast("string")] * (3 - len(parts))
+        any_of = lambda f: reduce(lambda a, b: a | b, [p[f] for p in parts])
+        return F.struct(*[c.alias(f"tag{k}") for k, c in enumerate(names, 1)], (any_of("def") & any_of("beh")).alias("ok"))
+
+    # An account holds at most `heaviest` details, so its combinations are made within its row and their number has a bound.
+    def pairs_of(x: Column, i: Column) -> Column:
+        return F.transform(F.filter(behind(own, i), lambda y: apart(y, x)), lambda y: combo(x, y))
+
+    def triples_of(x: Column, i: Column) -> Column:
+        rest = F.filter(behind(own, i), lambda y: apart(y, x))
+        return F.flatten(F.transform(rest, lambda y, j: F.transform(F.filter(behind(rest, j), lambda z: apart(z, y)), lambda z: combo(x, y, z))))
+
+    two, three = F.flatten(F.transform(own, pairs_of)), F.flatten(F.transform(own, triples_of))
+    sets = held.select("record", F.explode_outer(F.concat(two, three)).alias("c")).filter("c.ok").select("record", "c.tag1", "c.tag2", "c.tag3")
+    by_record = sets.groupBy("tag1", "tag2", "tag3", "record").agg(F.count("*").alias("k"))
+    counted = by_record.groupBy("tag1", "tag2", "tag3").agg(F.sum("k").alias("m"), F.count("*").alias("r"))
     counted = counted.filter((F.col("m") >= accounts) & (F.col("r") >= records)).join(F.broadcast(n))
     for k in (1, 2, 3):
         counted = counted.join(p.select(F.col("tag").alias(f"tag{k}"), F.col("p").alias(f"p{k}")), f"tag{k}", "left")
