@@ -49,8 +49,10 @@ def spellings(query: str | None, compounds: Mapping[str, str]) -> list[str]:
     typed = " ".join((query or "").split())
     known = compounds.get(typed.lower(), typed)
     parts = re.split(r"[\s-]+", known)
-    forms = [typed, known, " ".join(parts), "".join(parts), "-".join(parts)]
-    return list({f.lower(): f for f in reversed(forms) if f}.values())[::-1] if typed else []
+    found: dict[str, str] = {}
+    for form in filter(None, [typed, known, " ".join(parts), "".join(parts), "-".join(parts)]):
+        found.setdefault(form.lower(), form)
+    return list(found.values())
 
 
 def spellings_column(query: Column, compounds: Mapping[str, str]) -> Column:
