@@ -29,6 +29,8 @@ PLACE_SPELLINGS = {
 # A country that goes without saying, and title words that a number may stick to.
 HOME = ["US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"]
 TITLE_PARTS = ["box", "vol", "volume", "part", "section", "serial"]
+# How archive file names begin, numbers of boxes and then a serial.
+BOX_NUMBERS, SERIAL = r"^(?:[0-9]{1,9}_\s*)+", r"^[A-Z]{1,3}[0-9]*-[0-9]+_"
 # Media codes, kinds dated by their paperwork, kinds that are no accounts.
 MEDIA = {"PDF": "pdf", "IMG": "image", "VID": "video", "AUD": "audio"}
 DOCUMENT_DATED = ["administrative", "correspondence", "scientific_study"]
@@ -90,8 +92,7 @@ def clean_title(title: Column) -> Column:
     parts `Vol1`, and the first letter is a capital. Nothing left: the title as it was.
     """
     whole = F.trim(F.coalesce(title, F.lit("")))
-    rest = F.regexp_replace(whole, r"^(?:[0-9]{1,9}_\s*)+", "")
-    rest = F.regexp_replace(rest, r"^[A-Z]{1,3}[0-9]*-[0-9]+_", "")
+    rest = F.regexp_replace(F.regexp_replace(whole, BOX_NUMBERS, ""), SERIAL, "")
     rest = F.regexp_replace(squeezed(F.translate(rest, "_", " ")), r"^[ -]+|[ -]+$", "")
     rest = F.regexp_replace(rest, rf"(?i)\b({'|'.join(TITLE_PARTS)})(\d+)\b", "$1 $2")
     shown = F.concat(F.upper(F.left(rest, F.lit(1))), F.substring(rest, 2, 2**31 - 1))
