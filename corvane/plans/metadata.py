@@ -210,7 +210,7 @@ mapped("excerpts", "VARCHAR", ["one two three four five six seven eight", "two",
 _NONE = r"[\s:.]*(?:none|n/a|not (?:observed|noted))"
 _OBSERVABLES = sp.Engine(
     [sp.Rule("trail", r"(?<![A-Za-z])(?:fiery )?trails?(?![A-Za-z])", not_before=r"\b(?:no|without)\b[^.;]{0,25}", not_after=_NONE), sp.Rule("odor", r"(?<![A-Za-z])odou?r(?![A-Za-z])", not_after=_NONE),
-     sp.Rule("silent", r"(?<![A-Za-z])(?:no sound|silent)(?![A-Za-z])", not_after=r"[^.]*?\b(?:but|except)\b", ahead=sp.EXCEPTION_AFTER)])
+     sp.Rule("silent", r"(?<![A-Za-z])(?:no sound|silent)(?![A-Za-z])", not_after=r"[^.;]*?\b(?:but|except)\b", ahead=sp.EXCEPTION_AFTER)])
 mapped("observed_details", "VARCHAR",
        ["It left a trail and an odor", "without any single bit of the fiery trails of it", "Odor: none. A trail", "no sound, except a rumble", "silent; then but a hum", "no sound. But later", "Trailing off", "", None,
         "no trail, later a trail"],
