@@ -28,16 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, ranked, written
+from corvane.llm.common import ROW, WORD, ranked, row_keyed, written
 
 WEIGHTS, CAP, BUCKETS = (5.0, 2.0, 1.0), 3.0, 256
 RIDGE, STEPS, TOLERANCE = 0.5, 100, 1e-9
 _LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.02)
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and a source key without nulls."""
+def sizes_of(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, a source key without nulls, and the columns to keep."""
     return docs.select(
+        *keep,
         "doc_id",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -166,9 +167,17 @@ def _diffuse(cap: float):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate for every row of docs."""
-    sized = sizes_of(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with `copy` (from 1); rows that are not taken are not in it."""
+    keyed = row_keyed(docs)
+    plan = mix_sources(keyed, weights, cap, keep=[ROW]).filter("copies > 0").select(ROW, "copies")
+    return keyed.join(plan, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate for every row of docs, and its columns to keep (which also
+    tell apart rows with one id)."""
+    sized = sizes_of(docs, keep).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
     sized = written(sized, "sizes")
     buckets = written(sized.groupBy("src", "size", "bucket").agg(F.count("*").alias("in_bucket")), "hist")
     cells = buckets.groupBy("src", "size").agg(F.sum("in_bucket").alias("n"))
@@ -193,10 +202,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float
         .join(copied, ["src", "size"])
         .join(targets.select("src", "source_size", "target"), "src")
     )
-    order = Window.partitionBy("src", "size", "bucket").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
+    order = Window.partitionBy("src", "size", "bucket").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", *keep)
     out = sized.withColumn("at", F.row_number().over(order) - 1).join(plan, ["src", "size", "bucket"])
     copies = F.expr("copies div n + if(offset + at < copies % n, 1, 0)")
     return out.select(
+        *keep,
         "doc_id",
         "size",
         "source_size",
