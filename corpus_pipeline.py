@@ -2,7 +2,8 @@
 
 Language identification drops documents it cannot place, exact dedup keeps the largest doc_id of equal texts, SimHash
 keeps the smallest doc_id of each near-duplicate group, decontamination drops documents with a benchmark passage, and
-the last stage mixes what is left to the target weights of the sources.
+the last stage mixes what is left to the target weights of the sources: its rows are the mix, each document as often as
+it is taken, numbered by `copy`.
 
 Rows are dropped, not ids: of rows that share an id, or have none, each is judged for itself, and of equal rows one
 stays. Where a stage keeps the row with the largest or smallest doc_id, rows without an id yield to rows with one and
@@ -19,7 +20,7 @@ from corvane.llm.common import ROW, discard, read_table, row_keyed, without_rows
 from corvane.llm.decontam import judged
 from corvane.llm.exact_dedup import exact_duplicates
 from corvane.llm.language_id import UNKNOWN, judge_languages
-from corvane.llm.mixing import mix_sources
+from corvane.llm.mixing import mixed
 from corvane.llm.simhash import near_duplicates
 
 #: A document is rejected when its best language has less than this share.
@@ -58,7 +59,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    return mixed(docs)
 
 
 STAGES = [
