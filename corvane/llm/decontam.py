@@ -13,7 +13,9 @@ rarest word.
 Defined results: null or word-less texts have no words and no hits; repeated items count once. The windows of an item
 without an id hit like others, but the item is neither counted nor listed. Hits belong to rows, not to ids: rows
 that share a doc_id, and rows without one, are judged by their own text. Items that share a window are gathered
-by window, and windows with a large share of all occurrences meet their items by a broadcast of bounded size.
+by window, and windows with a large share of all occurrences meet their items by a broadcast of bounded size. Without
+documents the result is empty, without a benchmark nothing is hit. Texts of any length are read whole, and other columns
+may have any name but that of the row key.
 """
 
 from __future__ import annotations

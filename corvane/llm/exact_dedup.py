@@ -7,7 +7,8 @@ share an identifier, all recipes are made again with another key. Afterwards tex
 recipes are, and only recipes (16 bytes a chunk) are grouped and joined; texts never move again.
 
 Defined results: null text counts as empty; rows with the same id and the same text are all kept or all dropped
-together; a null id is never the one that stays unless its whole group has null ids; extra columns are ignored.
+together; a null id is never the one that stays unless its whole group has null ids; extra columns are ignored. An
+empty table gives an empty result; long texts are cut in slices that overlap by the hash's window, so chunks do not depend on them.
 """
 
 from __future__ import annotations

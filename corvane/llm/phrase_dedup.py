@@ -23,8 +23,9 @@ decide which phrases are worth a place in an automaton, the automata find where
 Texts move compressed; what moves beside them is about 9 bytes for each recurring window.
 
 Defined results: null text has no words; texts below WINDOW words lose nothing; rows with the same doc_id count as
-the same document, so their equal windows at equal places are not earlier than each other; a null id counts as the
-largest.
+the same document, so their equal windows at equal places are not earlier than each other (repeated rows lose
+nothing to each other); a null id counts as the largest. An empty table gives an empty result; a text of any length is
+whole in one block, which is then as large as the text. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ fingerprints that differ in few bits) are they split in parts that meet pairwise
 parts. A tree reports a spanning forest of its links, which keeps every component and never lists all pairs of a group.
 
 Defined results: null and word-less texts link to each other; rows with the same id get the same component only if
-their texts link; a component's id is its smallest doc_id (null ids do not count).
+their texts link; a component's id is its smallest doc_id (null ids do not count; a component without any id has a null one).
+An empty table gives an empty result, repeated rows are rows of one fingerprint, and texts of any length are read whole.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

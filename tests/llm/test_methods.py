@@ -300,3 +300,14 @@ def test_pipeline_rows(spark, tmp_path):
     assert set(out) <= set(clean) and max(out.values()) <= 3
     assert abs(sum(n * len(words(t)) for (_, t), n in out.items()) - sum(len(words(t)) for _, t in clean)) <= 40
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == out
+
+
+def test_chunks_do_not_depend_on_slices(monkeypatch):
+    from corvane.llm import exact_dedup
+
+    data = random.Random(2).randbytes(9 << 20)
+    whole = exact_dedup.chunks_of(data)
+    assert b"".join(whole) == data and max(map(len, whole)) <= exact_dedup.MAX_CHUNK
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 1 << 20)
+    assert exact_dedup.chunks_of(data) == whole
+    assert max(map(len, exact_dedup.chunks_of(b"a" * 500_000))) <= exact_dedup.MAX_CHUNK
