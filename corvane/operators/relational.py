@@ -45,6 +45,15 @@ def upsert_diff(listing: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     )
 
 
+def apply_upsert(listing: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The stored rows after a listing: new and changed ones as listed with their next status and no tries, the others as they
+    are. stored has the columns of listing, status and attempts."""
+    changes = upsert_diff(listing, stored, key)
+    touched = changes.filter(F.col("action").isin("insert", "update")).select(key, F.col("next_status").alias("status"))
+    fresh = listing.join(touched, key).withColumn("attempts", F.lit(0))
+    return stored.join(touched.select(key), key, "left_anti").unionByName(fresh.select(*stored.columns))
+
+
 def number_repeats(rows: DataFrame, key: Column, order: Sequence[Column], out: str) -> DataFrame:
     """key, then key#2, key#3 ... in the given order."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.relational import apply_upsert
+from corvane.sources.plugins import publish, published
+
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -39,3 +43,24 @@ def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Process what is there and stop; a restart goes on from the checkpoint."""
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     writer.option("path", target).option("checkpointLocation", checkpoint).start().awaitTermination()
+
+
+def follow_listing(stream: DataFrame, store: str, schema: str, key: str, checkpoint: str) -> None:
+    """Apply every batch of listing rows to a published store and stop when there are no more.
+
+    A batch is published under its own number in one step, so one that is run again after a failure gives the same store.
+    Of rows of one key in a batch the last by `listed_at` counts.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "listed_at").alias("_r"))
+        listing = latest.select(key, "_r.*").drop("listed_at")
+        try:
+            stored = published(spark, store, "records")
+        except AnalysisException:  # nothing published yet
+            stored = spark.createDataFrame([], schema)
+        publish({"records": apply_upsert(listing, stored, key)}, store, f"batch-{number}")
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()

@@ -9,6 +9,7 @@ from corvane.operators import lifecycle as lc
 from corvane.operators import patterns as pt
 from corvane.operators import summaries as sm
 from corvane.sources import listing, plugins
+from corvane.streaming import windows
 
 
 LISTED = """
@@ -156,3 +157,15 @@ def test_layout(spark):
     dots = pt.sunflower(spark.range(50).withColumn("g", F.lit(1)), ["g"], [F.col("id")], 0.5).select("dx", "dy").collect()
     near = min((a.dx - b.dx) ** 2 + (a.dy - b.dy) ** 2 for i, a in enumerate(dots) for b in dots[:i])
     assert near > 0.5
+
+
+def test_a_store_follows_its_listings(spark, tmp_path):
+    kind = "record string, row_hash string, file_hash string, listed_at int"
+    days = [[("a", "1", "f", 1), ("b", "1", "f", 1), ("b", "2", "f", 2)], [("a", "1", "f", 3), ("b", "3", "g", 3), ("c", "1", "f", 3)]]
+    for day, rows in enumerate(days):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.read_stream(spark, str(tmp_path / "in"), kind, files=1)
+        windows.follow_listing(stream, str(tmp_path / "store"), "record string, row_hash string, file_hash string, status string, attempts int", "record", str(tmp_path / "cp"))
+        stored = plugins.published(spark, str(tmp_path / "store"), "records")
+        got = sorted((r.record, r.row_hash, r.status) for r in stored.collect())
+        assert got == ([("a", "1", "new"), ("b", "2", "new")] if day == 0 else [("a", "1", "new"), ("b", "3", "new"), ("c", "1", "new")])
