@@ -10,10 +10,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.selection import matched_pairs
 from corvane.storage import written
 
 # Shared core and behaviour details of a pair, bars of a match and of a link, details of a link.
 SHARED_CORE, SHARED_BEHAVIOUR, MATCH, LINK, LINK_DETAILS = 2, 1, 5.0, 7.5, 3
+# Fixed value: bar of a pair when two records are compared.
+COMPARED = 4.0
 # Details of an account that count, accounts, records and lift of a type, weight of a triple.
 HEAVIEST, TYPE_ACCOUNTS, TYPE_RECORDS, TYPE_LIFT, TRIPLE = 10, 6, 3, 1.6, 1.2
 # Share of a type's accounts that makes a detail part of its description, years that make a link distant.
@@ -34,17 +37,20 @@ def weighted_tags(tags: DataFrame, record: str, tag: str, weights: DataFrame) ->
 
 
 def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: int = SHARED_CORE, least: float = MATCH,
-                  core: Column | None = None, behaviour: Column | None = None, owner: str | None = None) -> DataFrame:
+                  core: Column | None = None, behaviour: Column | None = None, owner: str | None = None,
+                  weights: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of different series (and owners) whose score, evidence times cosine, reaches `least`.
 
     Evidence is the weight of the shared tags and bounds the score, as a cosine is at most one. So, with the tags of an account
     ordered from heavy to light, the light ones that together weigh less than `least` cannot make a pair on their own: only the
     others (the prefix) are joined to find candidates. The most frequent tags are the lightest, so they are never the
-    key of the join, and candidates are then scored with all their tags. core and behaviour, conditions on tags, say
+    key of the join, and candidates are then scored with all their tags. Weights are those of the tags at hand where none are
+    given. core and behaviour, conditions on tags, say
     which shared ones are counted against `shared` and SHARED_BEHAVIOUR.
     """
     rows = tags.select(record, tag, series, F.col(owner or series).alias("_owner"), (F.lit(True) if core is None else core).alias("_core"), (F.lit(True) if behaviour is None else behaviour).alias("_beh")).distinct()
-    weighted = written(weighted_tags(rows, record, tag, tag_weights(rows, record, tag)), "weighted_tags")
+    weights = tag_weights(rows, record, tag) if weights is None else weights
+    weighted = written(weighted_tags(rows, record, tag, weights), "weighted_tags")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(record)))
     lighter = Window.partitionBy(record).orderBy("w", F.desc(tag)).rowsBetween(Window.unboundedPreceding, 0)
     light = weighted.withColumn("_reach", F.sum("w").over(lighter))
@@ -71,6 +77,18 @@ def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: i
     return scored.filter(enough).select("a", "b", "n_shared", "score")
 
 
+def compared_records(tags: DataFrame, account: str, record: str, tag: str, a: object, b: object, least: float = COMPARED, most: int = 8) -> DataFrame:
+    """Accounts of two records matched one to one by falling score, weighted by the tags of all records."""
+    weights = tag_weights(tags, account, tag)
+    own = tags.filter(F.col(record).isin(a, b))
+    pairs = similar_pairs(own, account, tag, record, least=least, weights=weights)
+    side = own.select(F.col(account).alias("a"), (F.col(record) == F.lit(a)).alias("_first")).distinct()
+    turned = pairs.join(side, "a").select(
+        F.when(F.col("_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")).alias("b"), "score"
+    )
+    return matched_pairs(turned, most)
+
+
 def top_partners(pairs: DataFrame, k: int = 6) -> DataFrame:
     both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")

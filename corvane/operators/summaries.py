@@ -94,6 +94,17 @@ def wave_details(inside: DataFrame, details: DataFrame, unit: Sequence[str], det
     return ranked.select("first", detail, "n", F.bround("_l", 2).alias("lift"), cut("common"), cut("distinctive"))
 
 
+def wave_months(waves: DataFrame, months: DataFrame) -> DataFrame:
+    """(first, month, weight, peak): weights of the twelve months over a wave's years, zero-filled, and its first heaviest one."""
+    years = waves.select("first", F.explode(F.sequence("first", "last")).alias("year"))
+    found = months.filter("month is not null").join(F.broadcast(years), "year").groupBy("first", "month").agg(F.sum("weight").alias("_w"))
+    grid = waves.select("first", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    rows = grid.join(found, ["first", "month"], "left").withColumn("weight", F.bround(F.coalesce("_w", F.lit(0.0)), 2))
+    w = Window.partitionBy("first")
+    peak = F.when(F.max("weight").over(w) > 0, F.min_by("month", F.struct(-F.col("weight"), F.col("month"))).over(w))
+    return rows.select("first", "month", "weight", peak.alias("peak"))
+
+
 def place_summary(mentions: DataFrame, place: str, year: str, top: int = 12) -> DataFrame:
     """(place, n, rank, decade, in_decade) of the most named places, zero-filled over the decades of any of them."""
     named = most_common(mentions, [], place, top)
@@ -265,6 +276,16 @@ def node_details(episodes: DataFrame, keys: Sequence[str], defining: DataFrame |
     return top.join(sizes, list(keys)).select(*keys, "detail", "n", F.bround(F.col("n") / F.col("_n"), 3).alias("share"), "rank")
 
 
+def node_examples(episodes: DataFrame, keys: Sequence[str], sources: Sequence[str], k: int = 3) -> DataFrame:
+    """(keys, id, place): up to k episodes of different records, those of the earlier sources and with most details first."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, sources)), F.col("source")), F.lit(0)), F.lit(len(sources) + 1))
+    order = [rank, F.size("details").desc(), F.col("id")]
+    first = F.row_number().over(Window.partitionBy(*keys, "record").orderBy(*order))
+    rows = episodes.withColumn("_r", first).filter("_r = 1")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= k).select(*keys, "id", "place")
+
+
 def class_decades(episodes: DataFrame) -> DataFrame:
     """Zero-filled class x decade matrix with shares of the decade, over classes and decades that occur."""
     rows = episodes.withColumn("decade", decade(F.col("year"))).filter("decade is not null")

@@ -647,3 +647,19 @@ def record_links(t):
     related = t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 7).alias("b"))
     out = pt.record_links(pairs, records, related, apart=3)
     return out.select("a", "b", "score", "cross_agency", F.col("years_apart").cast("long").alias("years_apart"))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey AS r, o_custkey % 40 AS g, l_partkey % 60 AS tag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+w AS (SELECT tag, ln(greatest((SELECT count(DISTINCT r) FROM t), 2) / count(*)) AS w FROM t GROUP BY 1),
+norm AS (SELECT r, sqrt(sum(w * w)) AS norm FROM t JOIN w USING (tag) GROUP BY 1),
+p AS (SELECT x.r AS a, y.r AS b, sum(w) AS e, sum(w * w) AS d FROM t x JOIN t y ON x.tag = y.tag AND x.g = 3 AND y.g = 8 JOIN w ON w.tag = x.tag GROUP BY 1, 2 HAVING count(*) >= 2),
+s AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a, b) AS k FROM (SELECT a, b, round_even(e * d / (na.norm * nb.norm), 9) AS score FROM p JOIN norm na ON na.r = a JOIN norm nb ON nb.r = b) WHERE score >= 4),
+g AS (SELECT 0::bigint AS k, []::bigint[] AS ua, []::bigint[] AS ub, NULL::bigint AS a, NULL::bigint AS b UNION ALL
+SELECT m.k, list_append(g.ua, s.a), list_append(g.ub, s.b), s.a, s.b FROM g, LATERAL (SELECT min(k) AS k FROM s WHERE s.k > g.k
+AND NOT list_contains(g.ua, s.a) AND NOT list_contains(g.ub, s.b)) m JOIN s ON s.k = m.k WHERE len(g.ua) < 8)
+SELECT a, b FROM g WHERE a IS NOT NULL""")
+def compared_records(t):
+    """The accounts (orders) of two records (groups of customers), matched one to one."""
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    tags = rows.select(F.col("l_orderkey").alias("r"), (F.col("o_custkey") % 40).alias("g"), (F.col("l_partkey") % 60).alias("tag")).distinct()
+    return pt.compared_records(tags, "r", "g", "tag", 3, 8).select("a", "b")

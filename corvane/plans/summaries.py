@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from corvane.operators import episodes as ep
 from corvane.operators import summaries as sm
 from corvane.plans.catalog import query
 
@@ -338,3 +339,56 @@ def topic_shares(t):
     counts = rows.groupBy(F.year("o_orderdate").alias("release"), F.col("mode").alias("topic")).agg(F.count("*").alias("n"))
     totals = t.orders.groupBy(F.year("o_orderdate").alias("release")).agg(F.count("*").alias("t"))
     return counts.join(totals, "release").select(F.col("release").cast("long").alias("release"), "topic", "n", F.bround(F.col("n") / F.col("t"), 3).alias("share"))
+
+
+@query(f"""WITH {_MENTIONS}, u AS (SELECT DISTINCT unit, year(d) AS y, CASE WHEN NOT only_year THEN month(d) END AS mo FROM m),
+k AS (SELECT *, bool_or(mo IS NOT NULL) OVER (PARTITION BY unit) AS fine FROM u), s AS (SELECT y, mo, 1.0::double / count(*) OVER (PARTITION BY unit) AS w FROM k WHERE mo IS NOT NULL OR NOT fine),
+g AS (SELECT first, last, unnest(range(1, 13)) AS month FROM (VALUES (1999, 2000), (1997, 1997), (1900, 1901)) v(first, last)),
+x AS (SELECT first, month, round_even(coalesce((SELECT sum(w) FROM s WHERE mo = month AND y BETWEEN first AND last), 0), 2) AS weight FROM g)
+SELECT *, CASE WHEN max(weight) OVER (PARTITION BY first) > 0 THEN first_value(month) OVER (PARTITION BY first ORDER BY weight DESC, month) END AS peak FROM x""")
+def months_of_waves(t):
+    waves = t.spark.createDataFrame([(1999, 2000), (1997, 1997), (1900, 1901)], "first int, last int")
+    out = sm.wave_months(waves, sm.timeline(mentions(t), ["unit"], "d", "precision"))
+    return out.withColumns({"month": F.col("month").cast("long"), "peak": F.col("peak").cast("long")})
+
+
+@query(f"""WITH {_EPISODES}, x AS (SELECT *, CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN 2 ELSE 4 END AS s, len(details) + id % 2 AS n FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY class, record ORDER BY s, n DESC, id) AS k FROM x)
+SELECT class, id, row_number() OVER (PARTITION BY class ORDER BY s, n DESC, id) AS place FROM r WHERE k = 1 QUALIFY place <= 3""")
+def examples_of_nodes(t):
+    source = F.get(F.array(F.lit("curated"), F.lit("model"), F.lit("odd")), (F.col("id") % 3).cast("int"))
+    rows = episodes(t).withColumn("source", source)
+    rows = rows.withColumn("details", F.when(F.col("id") % 2 == 1, F.array_append("details", F.lit("z"))).otherwise(F.col("details")))
+    return sm.node_examples(rows, ["class"], ["curated", "model", "rules"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, array_to_string(list_sort(list_intersect(a.days, b.days)), ',') AS shared FROM
+(SELECT l_suppkey AS s_suppkey, list(DISTINCT strftime(l_shipdate, '%Y-%m-%d')) AS days FROM lineitem WHERE l_quantity > 45 GROUP BY 1) a JOIN
+(SELECT l_suppkey AS s_suppkey, list(DISTINCT strftime(l_shipdate, '%Y-%m-%d')) AS days FROM lineitem WHERE l_quantity > 45 GROUP BY 1) b ON b.s_suppkey = a.s_suppkey + 1""")
+def shared_days(t):
+    days = t.lineitem.filter("l_quantity > 45").groupBy("l_suppkey").agg(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("days"))
+    a = days.select(F.col("l_suppkey").alias("a"), F.col("days").alias("da"), (F.col("l_suppkey") + 1).alias("b"))
+    both = a.join(days.select(F.col("l_suppkey").alias("b"), F.col("days").alias("db")), "b")
+    return both.select("a", "b", F.array_join(F.array_sort(F.array_intersect("da", "db")), ",").alias("shared"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS record, CASE WHEN c_custkey % 4 = 0 THEN 'video' ELSE 'pdf' END AS media, CASE c_custkey % 6 WHEN 1 THEN 'correspondence' WHEN 2 THEN 'analysis' END AS kind,
+c_custkey % 11 = 0 AS research, c_custkey % 7 > 0 AS readable, CASE WHEN c_custkey % 5 = 0 THEN ['landed'] WHEN c_custkey % 5 = 1 THEN ['disc', 'pilot'] ELSE [] END AS tags FROM customer),
+a AS (SELECT o_custkey AS record, o_orderkey % 9 AS page, CASE o_orderstatus WHEN 'F' THEN ['disc'] WHEN 'O' THEN ['orbit', o_orderpriority] ELSE [] END AS tags FROM orders WHERE o_custkey % 3 = 0),
+told2 AS (SELECT t.record, t.page, t.details, t.class FROM (SELECT a.record, a.page, a.tags AS details, CASE WHEN list_contains(a.tags, 'orbit') THEN 'space' WHEN r.media = 'video' AND a.page = 0 THEN 'sensor' ELSE 'sighting' END AS class
+FROM a JOIN r ON a.record = r.record WHERE len(a.tags) > 0) t),
+one AS (SELECT record, CASE WHEN research OR kind = 'correspondence' OR readable THEN 0 END AS page, CASE WHEN research OR coalesce(kind = 'correspondence', false) THEN CASE kind WHEN 'correspondence' THEN ['inquiry'] WHEN 'analysis' THEN ['study'] ELSE [] END
+WHEN readable THEN tags ELSE [] END AS details, CASE WHEN research OR coalesce(kind = 'correspondence', false) OR NOT readable THEN 'none' WHEN list_contains(tags, 'landed') THEN 'encounter' WHEN len(tags) > 0 THEN 'sighting'
+WHEN media = 'video' THEN 'sensor' ELSE 'none' END AS class FROM r WHERE record NOT IN (SELECT record FROM told2))
+SELECT record, row_number() OVER (PARTITION BY record ORDER BY page, d) - 1 AS seq, page, class FROM (SELECT *, array_to_string(list_sort(details), ',') AS d FROM told2 UNION ALL SELECT record, page, details, class, array_to_string(list_sort(details), ',') FROM one)""")
+def rule_episodes(t):
+    """One episode for each tagged account (orders), else one for the description (customers)."""
+    key = F.col("c_custkey")
+    kind = F.when(key % 6 == 1, "correspondence").when(key % 6 == 2, "analysis")
+    tags = F.when(key % 5 == 0, F.array(F.lit("landed"))).when(key % 5 == 1, F.array(F.lit("disc"), F.lit("pilot"))).otherwise(F.array().cast("array<string>"))
+    records = t.customer.select(key.alias("record"), F.when(key % 4 == 0, "video").otherwise("pdf").alias("media"), kind.alias("kind"), (key % 11 == 0).alias("research"),
+                                F.when(key % 7 > 0, "text").alias("text"), tags.alias("description_tags"))
+    told = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("disc"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("orbit"), F.col("o_orderpriority")))
+    accounts = t.orders.filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("record"), (F.col("o_orderkey") % 9).cast("int").alias("page"), F.coalesce(told, F.array().cast("array<string>")).alias("tags"))
+    out = ep.rule_episodes(records, accounts)
+    return out.select("record", F.col("seq").cast("long").alias("seq"), F.col("page").cast("long").alias("page"), "class")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.metadata import clean_title, normal_place
-from corvane.operators.episodes import merged_latest
+from corvane.operators.episodes import merged_latest, problems, validated
 from corvane.operators.selection import batches
 
 
@@ -83,6 +83,17 @@ def import_curated(old: DataFrame, new: DataFrame, key: str = "record") -> DataF
     return merged_latest(old, new, key)
 
 
+def import_batches(spark: SparkSession, path: str, schema: T.StructType | str, known: DataFrame, curated: DataFrame, classes: list[str],
+                   details: list[str], outcomes: list[str], as_of_year: int) -> tuple[DataFrame, DataFrame]:
+    """(curated with the read episodes, problems) of JSON files of read batches: a record that was read replaces its curated
+    episodes, others stay; unknown records, unknown classes and empty summaries are reported and left out."""
+    raw = spark.read.schema(schema).json(path).filter("record is not null")
+    found = problems(raw, known, classes)
+    own = raw.join(known.select("record"), "record", "left_semi")
+    good = validated(own, classes, details, outcomes, as_of_year)
+    return merged_latest(curated, good.select(*curated.columns), "record"), found
+
+
 def write_reading_batches(records: DataFrame, path: str, size: str, limit: int = 140_000, key: str = "record") -> None:
     """Records in key order, neighbours together up to `limit` characters, one folder for each batch."""
     numbered = batches(records, [F.col(key)], size, limit)

@@ -150,3 +150,17 @@ def test_release_rows_end_to_end(spark):
     got = listing_.withColumn("title", md.clean_title(F.col("title"))).withColumn("d", md.listing_year(F.col("raw"), F.col("title"), F.col("release").cast("date"), 2026))
     assert [(r.title, str(r.d.date), r.d.year) for r in got.collect()] == [
         ("Report 1947", "1947-07-02", 1947), ("Seen March 2023", "None", 2023), ("Report, 2026", "None", None), ("Later", "1930-01-01", 1930)]
+
+
+def test_read_batches_replace_curated_episodes(spark, tmp_path):
+    kind = ("record string, event string, summary string, pages array<string>, details array<string>, year string, place string,"
+            "outcome string, explanation string, valid_pages array<int>")
+    read = [("a", "space", "New.", ["1"], [], "1950", None, "open", None, None), ("a", "odd", "x", None, None, None, None, None, None, None),
+            ("z", "space", "y", None, None, None, None, None, None, None)]
+    spark.createDataFrame(read, kind).coalesce(1).write.json(str(tmp_path / "in"))
+    (tmp_path / "in" / "broken.json").write_text("{no")
+    old = spark.createDataFrame([("a", "old", "Old."), ("b", "old", "Old.")], "record string, event string, summary string")
+    known = spark.createDataFrame([("a",), ("b",)], "record string")
+    merged, found = listing.import_batches(spark, str(tmp_path / "in"), kind, known, old, ["space"], [], ["open"], 2025)
+    assert rows(merged) == [("a", "space", "New."), ("b", "old", "Old.")]
+    assert rows(found) == [("a", "unknown class odd"), ("b", "not read"), ("z", "unknown record")]
