@@ -264,6 +264,12 @@ def confirmed(anchors: DataFrame, groups: int) -> DataFrame:
     return both.select("block", "hashes", "places", "known").mapInArrow(_keep_recurring, "block long, hashes binary, places binary")
 
 
+def joined(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Runs of words of these sizes, each joined by single blanks."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ")
+
+
 def phrase_hits(block: Block, places: np.ndarray, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Every place in the block where one of the phrases at `places` stands, and which one (its index in places).
 
@@ -271,22 +277,24 @@ def phrase_hits(block: Block, places: np.ndarray, phrase: int = PHRASE) -> tuple
     """
     if not len(places):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = block.words.to_pylist()
+    places = places.astype(np.int64)
+    own = block.words.take(pa.array((places[:, None] + np.arange(phrase)).ravel()))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, p in enumerate(places.tolist()):
-        automaton.add_word(" " + " ".join(words[p : p + phrase]) + " ", k)
+    for k, text in enumerate(joined(own, np.full(len(places), phrase)).to_pylist()):
+        automaton.add_word(f" {text} ", k)
     automaton.make_automaton()
     lengths = pc.utf8_length(block.words).to_numpy(zero_copy_only=False).astype(np.int64)
+    blanks = np.concatenate(([0], np.cumsum(lengths + 1)))
     at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, e in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
+    for s, e, text in zip(block.starts.tolist(), block.ends.tolist(), joined(block.words, block.sizes).to_pylist(), strict=True):
         if e - s < phrase:
             continue
-        found = list(automaton.iter(" " + " ".join(words[s:e]) + " "))
+        found = list(automaton.iter(f" {text} "))
         if found:
-            ends, own = np.array(found, np.int64).T
+            ends, index = np.array(found, np.int64).T
             # A match ends with the blank after its last word.
-            at.append(s + np.searchsorted(np.cumsum(lengths[s:e] + 1), ends) - (phrase - 1))
-            which.append(own)
+            at.append(np.searchsorted(blanks, ends + blanks[s]) - phrase)
+            which.append(index)
     return np.concatenate(at), np.concatenate(which)
 
 
@@ -458,19 +466,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(sizes)
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[ends] - total[ends - sizes]
-            kept = words.filter(pa.array(~gone)).to_pylist()
-            stop = np.cumsum(sizes - removed).tolist()
-            texts, at = [], 0
-            for e in stop:
-                texts.append(" ".join(kept[at:e]))
-                at = e
+            texts = joined(words.filter(pa.array(~gone)), sizes - removed)
+            digests = [hashlib.sha256(t or b"").hexdigest() for t in texts.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(removed, pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                    pa.array(texts, pa.string()),
+                    pa.array(digests, pa.string()),
+                    texts,
                 ],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
