@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from corvane.storage import numbered, ordered_parts, written
 
+# Types that are kept, overlap of members that makes two alike, and that which does beside two common items.
+MOST_TYPES, ALIKE, PARTLY_ALIKE = 16, 0.35, 0.2
+
 
 def walk(rows: DataFrame, order: Sequence[Column], fresh: Callable[[], Callable[[dict], bool]]) -> DataFrame:
     """Rows, in order, that a stateful predicate accepts. `fresh` makes the predicate for a task."""
@@ -85,10 +88,12 @@ def degree_limited(links: DataFrame, degree: int = 3, most: int = 60) -> DataFra
     return walk(near.orderBy(*order).limit(most + full * (degree + full)), order, fresh)
 
 
-def diverse_sets(sets: DataFrame, most: int = 16, jaccard: float = 0.35, share: float = 0.2) -> DataFrame:
+def diverse_sets(sets: DataFrame, most: int = MOST_TYPES, jaccard: float = ALIKE, share: float = PARTLY_ALIKE) -> DataFrame:
     """(score, items, members) by falling score, leaving out sets too like one that was chosen.
 
     Alike: members overlap beyond `jaccard`, items contain each other, or two items and over `share` of members agree.
+    What a chosen set blocks has no bound, so all candidates that support and lift have left are read, in one streaming pass of a
+    single task that holds the chosen sets only.
     """
 
     def fresh():
