@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import string
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,12 @@ def row_keyed(docs: DataFrame) -> DataFrame:
     node = docs._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
-    if node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation"):
+    if node.nodeName() == "LogicalRelation":
         place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-        return docs.select("*", place.alias(ROW))
+        try:
+            return docs.select("*", place.alias(ROW))
+        except AnalysisException:  # a relation that is no files
+            pass
     number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
     return written(docs.withColumn(ROW, number), "rows")
 
