@@ -385,3 +385,49 @@ def test_short_texts_are_scored_with_refined_weights(spark, docs, monkeypatch):
     refined = log_scores(text, paths.value, tables, Gates().weights)[0]
     monkeypatch.setattr(lm_score, "REFINE", 0.0)
     assert refined != log_scores(text, paths.value, tables, Gates().weights)[0]
+
+
+def test_equal_bytes_in_equal_contexts_are_trained_on_once_with_their_number(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from corvane.llm import lm_score
+
+    texts = [*TEXTS, "Abc abc\tabcabcabc " * 40, None] * 3
+    wide, word, _ = lm_score.spelled([(t or "").encode() for t in texts])
+    want = Counter(zip(wide.tolist(), word.tolist(), strict=True))
+    assert sum(want.values()) == sum(len((t or "").encode()) + 1 for t in texts)
+    paths = lm_score.Paths(np.ones((256, 256), np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for most, size in ((lm_score.MOST_EVENTS, lm_score.EVENT_BYTES), (300, 200)):
+        monkeypatch.setattr(lm_score, "MOST_EVENTS", most)
+        monkeypatch.setattr(lm_score, "EVENT_BYTES", size)
+        rows = list(lm_score._events(iter([batch])))
+        got, stored = Counter(), 0
+        for row in rows:
+            for w, b, n in zip(*(row.column(c).to_pylist() for c in ("wide", "begun", "times")), strict=True):
+                parts = [lm_score._unplaned(x, k).tolist() for x, k in ((w, np.uint64), (b, np.uint32), (n, np.int64))]
+                stored += len(parts[0])
+                for at, k in zip(zip(*parts[:2], strict=True), parts[2], strict=True):
+                    got[at] += k
+        assert got == want and (stored == len(want) or most == 300)
+        # The choices that training goes through, and how often each stands in the texts.
+        made = lm_score.Choices([(t or "").encode() for t in texts], paths)
+        paved = list(lm_score._paved(iter(rows), paths))
+        assert sum(int(n.sum()) for _, n in paved) == len(made.bits)
+        assert most == 300 or 2 * sum(len(p.bits) for p, _ in paved) < len(made.bits)
+
+
+def test_texts_are_scored_alike_alone_and_together():
+    import numpy as np
+
+    from corvane.llm import lm_score
+
+    paths = lm_score.Paths(np.ones((256, 256), np.int64))
+    rng = np.random.default_rng(4)
+    tables = rng.integers(-90, 90, (4, 1 << lm_score.TABLE_BITS)).astype(np.int8)
+    weights = rng.random((lm_score.GATES, 4)).astype(np.float32) / 4
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 6, 7, 8, 15, 16, 17, 127, 128, 129, 600, 5000)]
+    found = lm_score.log_scores(texts, paths, tables, weights)[0]
+    alone = [lm_score.log_scores([t], paths, tables, weights)[0][0] for t in texts]
+    assert np.allclose(found, alone, rtol=1e-5)
