@@ -51,7 +51,7 @@ HEAD, HEAD_CHARS, FLUSH_WORDS = 250_000, 100, 250_000
 EVENT_BYTES, MOST_EVENTS, EVENT_ROW, TASK_CHOICES = 1 << 20, 1_500_000, 250_000, 1 << 31
 SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 400, 2000, 4
 SHARES = (0.0, 0.02, 0.1, 0.3)
-SCORE_BYTES, SLICE_BYTES, PAD, END = 4 << 20, 128 << 10, 8, 0xFF
+SCORE_BYTES, SLICE_BYTES, PAVED, PAD, END = 4 << 20, 256 << 10, 128 << 10, 8, 0xFF
 _SCALE = 16.0
 _WORD_STEP = 0x9E3779B1
 
@@ -241,8 +241,8 @@ def _paved(batches: Iterator[pa.RecordBatch], paths: Paths) -> Iterator[tuple[Pa
         for wide, word, n in zip(*(batch.column(c).to_pylist() for c in _EVENTS), strict=True):
             wide, word, n = _unplaned(wide, np.uint64), _unplaned(word, np.uint32), _unplaned(n, np.int64)
             order = np.random.default_rng(1).permutation(len(wide))
-            for a in range(0, len(order), SLICE_BYTES):
-                at = order[a : a + SLICE_BYTES]
+            for a in range(0, len(order), PAVED):
+                at = order[a : a + PAVED]
                 made = Paved(wide.take(at), word.take(at), paths)
                 yield made, np.repeat(n.take(at), made.size)
 
@@ -658,7 +658,7 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     spot = F.pmod(F.xxhash64(F.lit(5), "doc_id"), room).cast("int") + 1
     sample = (
-        train.filter(F.length("text") > 0)
+        train.filter(F.col("text") != "")
         .select(F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), spot, F.lit(SAMPLE_CHARS)).alias("w"))
         .orderBy("h", "w").limit(SAMPLE_DOCS).collect()
     )
