@@ -66,6 +66,11 @@ def first_year(*values: Column) -> Column:
     return F.coalesce(*[F.regexp_extract(v, r"\b((?:18|19|20)[0-9]{2})\b", 1).try_cast("int") for v in values])
 
 
+def first_year_in_text(text: Column) -> Column:
+    """The first four digits from 1800 to 2099 that no other digit (0 to 9) touches; letters may, as running text has them."""
+    return F.regexp_extract(text, r"(?<![0-9])((?:18|19|20)[0-9]{2})(?![0-9])", 1).try_cast("int")
+
+
 def snippet(text: Column, term: str, before: int = 30, width: int = 80) -> Column:
     """A window around the first hit of term, ignoring case; null without one."""
     at = F.instr(F.lower(text), term.lower())

@@ -179,7 +179,7 @@ def us_date_pivot(t):
 @query("""SELECT doc_id, try_cast(nullif(regexp_extract(text, '(?:^|[^0-9])((?:18|19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS int) AS y
 FROM documents""")
 def year_parse(t):
-    return t.documents.select("doc_id", tx.first_year(F.col("text")).alias("y"))
+    return t.documents.select("doc_id", tx.first_year_in_text(F.col("text")).alias("y"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '[\x00\r]', '', 'g'),
