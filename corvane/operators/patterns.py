@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.selection import matched_pairs
-from corvane.storage import written
+from corvane.storage import dealt, written
 
 # Shared core and behaviour details of a pair, bars of a match and of a link, details of a link.
 SHARED_CORE, SHARED_BEHAVIOUR, MATCH, LINK, LINK_DETAILS = 2, 1, 5.0, 7.5, 3
@@ -21,6 +21,11 @@ COMPARED = 4.0
 HEAVIEST, TYPE_ACCOUNTS, TYPE_RECORDS, TYPE_LIFT, TRIPLE = 10, 6, 3, 1.6, 1.2
 # Share of a type's accounts that makes a detail part of its description, years that make a link distant.
 ALSO, YEARS_APART = 0.25, 15
+# Tags that accounts meet in at once, their tuples for each tag of the table; pairs of two records that are made at one bar, else
+# its steps. They decide the cost alone.
+LONGEST, TUPLES, FEW_PAIRS, STEP = 4, 16, 2_000_000, 0.85
+# Combinations that a task counts at a time.
+MOST_HELD = 2_000_000
 
 
 def tag_weights(tags: DataFrame, record: str, tag: str, scale: Column | float = 1.0, digits: int | None = None) -> DataFrame:
@@ -40,32 +45,77 @@ def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: i
                   core: Column | None = None, behaviour: Column | None = None, owner: str | None = None,
                   weights: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of different series (and owners) whose score, evidence times cosine, reaches `least`.
+def _reaching(own: Column, k: int, least: float) -> Column:
+    """Hashes of the k-tuples of an account's tags that can be the heaviest k it shares with another one.
 
-    Evidence is the weight of the shared tags and bounds the score, as a cosine is at most one. So, with the tags of an account
-    ordered from heavy to light, the light ones that together weigh less than `least` cannot make a pair on their own: only the
-    others (the prefix) are joined to find candidates. The most frequent tags are the lightest, so they are never the
-    key of the join, and candidates are then scored with all their tags. Weights are those of the tags at hand where none are
-    given. core and behaviour, conditions on tags, say
+    own: its tags as (tag, w, after: weight from this one on), in the order that all accounts follow. A pair's heaviest shared
+    tags are a tuple of both accounts, and what each has from the last of them on must lift their weight to `least`.
+    """
+
+    def longer(head: tuple[Column, ...], weight: Column, from_: Column) -> Column:
+        left = k - len(head) - 1
+        items = F.slice(own, from_, F.greatest(F.size(own) - from_ + 1 - left, F.lit(0)))
+        items = F.filter(items, lambda x: weight + x["after"] >= least - 1e-9)
+        if not left:
+            return F.transform(items, lambda x: F.xxhash64(*head, x["tag"]))
+        return F.flatten(F.transform(items, lambda x, i: longer((*head, x["tag"]), weight + x["w"], from_ + i + 1)))
+
+    return longer((), F.lit(0.0), F.lit(1))
+
+
+def _tuple_length(weighted: DataFrame, record: str, tag: str, shared: int, least: float) -> tuple[int, int]:
+    """How many tags a pair surely shares, as far as TUPLES allows, and the number of tuples: linear in the tags."""
+    heaviest = [r["w"] for r in weighted.groupBy(tag).agg(F.max("w").alias("w")).orderBy(F.desc("w")).limit(LONGEST).collect()]
+    needed = next((i for i in range(1, len(heaviest) + 1) if sum(heaviest[:i]) >= least - 1e-9), LONGEST)
+    m = weighted.groupBy(record).agg(F.count("*").cast("double").alias("m"))
+    ways = lambda k: reduce(lambda x, i: x * (F.col("m") - i) / (i + 1), range(k), F.lit(1.0))
+    sums = m.agg(*[F.sum(F.greatest(ways(k), F.lit(0.0))).alias(str(k)) for k in range(1, LONGEST + 1)]).first()
+    counts = [v or 0.0 for v in sums]
+    k = max(i for i in range(1, LONGEST + 1) if i == 1 or (i <= max(shared, needed) and counts[i - 1] <= TUPLES * counts[0]))
+    return k, int(counts[k - 1])
+
+
+
+    Weights are those of the tags at hand where none are given. core and behaviour, conditions on tags, say
     which shared ones are counted against `shared` and SHARED_BEHAVIOUR.
     """
     rows = tags.select(record, tag, series, F.col(owner or series).alias("_owner"), (F.lit(True) if core is None else core).alias("_core"), (F.lit(True) if behaviour is None else behaviour).alias("_beh")).distinct()
-    weights = tag_weights(rows, record, tag) if weights is None else weights
-    weighted = written(weighted_tags(rows, record, tag, weights), "weighted_tags")
+    rows = written(rows, "account_tags")
+    n = rows.count()
+    weights = tag_weights(dealt(rows, record, rows=n), record, tag) if weights is None else weights
+    return written(weighted_tags(dealt(rows, tag, rows=n), record, tag, dealt(weights, tag, rows=n)), "weighted_tags")
+
+
+def pairs_reaching(weighted: DataFrame, record: str, tag: str, series: str, shared: int, least: float) -> DataFrame:
+    """(a, b, n_shared, score) of the pairs that reach `least`, written.
+
+    Evidence is the weight of the shared tags and bounds the score, as a cosine is at most one. Accounts meet in the heaviest
+    tags they share, several at a time (as many as a pair surely shares), if these and the lighter ones can make up `least`:
+    a tag that many accounts have is no key on its own. Pairs that met are then scored with all their tags.
+    """
+    k, tuples = _tuple_length(weighted, record, tag, shared, least)
+    placed = dealt(weighted, record)
+    own = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), F.col(tag).alias("tag"))))
+    accounts = placed.groupBy(record, series, "_owner").agg(own.alias("own"), F.sum("w").alias("_e")).filter((F.col("_e") >= least - 1e-9) & (F.size("own") >= k))
+    weight = lambda x: -x["o"]
+    after = lambda x, i: F.aggregate(F.slice("own", i + 1, F.size("own")), F.lit(0.0), lambda s, y: s + weight(y))
+    accounts = accounts.withColumn("own", F.transform("own", lambda x, i: F.struct(x["tag"].alias("tag"), weight(x).alias("w"), after(x, i).alias("after"))))
+    keys = accounts.select(record, series, "_owner", F.explode(_reaching(F.col("own"), k, least)).alias("_k"))
+    keys = dealt(keys, "_k", rows=tuples)
+    side = lambda x: keys.select("_k", F.col(record).alias(x), *[F.col(c).alias(c + x) for c in (series, "_owner")])
+    met = side("a").join(side("b"), "_k").filter((F.col("a") < F.col("b")) & (F.col(series + "a") != F.col(series + "b")) & (F.col("_ownera") != F.col("_ownerb")))
+    near = written(met.select("a", "b").distinct(), "near_pairs")
+    ends = near.select(F.explode(F.array("a", "b")).alias(record)).distinct()
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(record)))
-    lighter = Window.partitionBy(record).orderBy("w", F.desc(tag)).rowsBetween(Window.unboundedPreceding, 0)
-    light = weighted.withColumn("_reach", F.sum("w").over(lighter))
-    heavy = F.col("_reach") >= least - 1e-9
-    whole = Window.partitionBy(record)
-    light = light.withColumns({"_rest": F.sum(F.when(heavy, 0.0).otherwise(F.col("w"))).over(whole), "_more": F.count_if(~heavy).over(whole)})
-    prefix = light.filter(heavy)
-    side = lambda x: prefix.select(
-        tag, F.col(record).alias(x), *[F.col(c).alias(c + x) for c in (series, "_owner", "_rest", "_more")], *([F.col("w")] if x == "a" else []))
-    met = side("a").join(side("b"), tag).filter((F.col("a") < F.col("b")) & (F.col(series + "a") != F.col(series + "b")) & (F.col("_ownera") != F.col("_ownerb")))
-    # What the light tags of a pair can still add has a bound; pairs that it does not lift over the bars go before scoring.
-    sums = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("w").alias("e"), F.first(F.least("_resta", "_restb")).alias("_r"), F.first(F.least("_morea", "_moreb")).alias("_m"))
-    near = sums.filter((F.col("n") + F.col("_m") >= shared) & (F.col("e") + F.col("_r") >= least - 1e-9)).select("a", "b")
-    full = weighted.withColumn("_norm", norm)
-    left = near.join(full.select(F.col(record).alias("a"), tag, "w", "_core", "_beh", F.col("_norm").alias("na")), "a")
+    return pairs_reaching(tagged_accounts(tags, record, tag, series, core, behaviour, owner, weights), record, tag, series, shared, least)
+
+
+def tagged_accounts(tags: DataFrame, record: str, tag: str, series: str, core: Column | None = None, behaviour: Column | None = None,
+                    owner: str | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """The written table of tags with their weights that `pairs_reaching` reads."""
+    # Few accounts are left: their ids are the hashed side, so that the tags of all accounts need no sorting.
+    full = written(placed.join(ends.hint("shuffle_hash"), record, "left_semi").withColumn("_norm", norm), "near_tags")
+    left = dealt(near, "a").join(full.select(F.col(record).alias("a"), tag, "w", "_core", "_beh", F.col("_norm").alias("na")), "a")
     both = left.join(full.select(F.col(record).alias("b"), tag, F.col("_norm").alias("nb")), ["b", tag])
     scored = both.groupBy("a", "b").agg(
         F.count_if(F.col("_core")).alias("n_shared"), F.count_if(F.col("_beh")).alias("_b"), F.sum("w").alias("e"),
@@ -74,19 +124,32 @@ def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: i
     score = F.when(F.col("na") * F.col("nb") > 0, F.col("e") * F.col("d") / (F.col("na") * F.col("nb"))).otherwise(0.0)
     scored = scored.withColumn("score", score)
     enough = (F.col("n_shared") >= shared) & (F.col("_b") >= SHARED_BEHAVIOUR) & (F.col("score") >= least)
-    return scored.filter(enough).select("a", "b", "n_shared", "score")
+    return written(scored.filter(enough).select("a", "b", "n_shared", "score"), "similar_pairs")
 
 
 def compared_records(tags: DataFrame, account: str, record: str, tag: str, a: object, b: object, least: float = COMPARED, most: int = 8) -> DataFrame:
-    """Accounts of two records matched one to one by falling score, weighted by the tags of all records."""
+    """Accounts of two records matched one to one by falling score (to nine digits), weighted by the tags of all records.
+
+    A pick depends on higher scores only. So where the records are large, pairs are made from the highest possible score
+    downward, a part of it at a time, until there are `most` picks or `least` is reached. Fewer picks than `most` at a bar mean that
+    all pairs above it hold one of the picked accounts, so those passed over are few for each account.
+    """
     weights = tag_weights(tags, account, tag)
-    own = tags.filter(F.col(record).isin(a, b))
-    pairs = similar_pairs(own, account, tag, record, least=least, weights=weights)
-    side = own.select(F.col(account).alias("a"), (F.col(record) == F.lit(a)).alias("_first")).distinct()
-    turned = pairs.join(side, "a").select(
-        F.when(F.col("_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")).alias("b"), "score"
-    )
-    return matched_pairs(turned, most)
+    own = tagged_accounts(tags.filter(F.col(record).isin(a, b)), account, tag, record, weights=weights)
+    side = written(own.select(F.col(account).alias("a"), (F.col(record) == F.lit(a)).alias("_first")).distinct(), "sides")
+    sums = own.groupBy(record, account).agg(F.sum("w").alias("e")).groupBy(record).agg(F.max("e").alias("e"), F.count("*").alias("n")).collect()
+    bar = min((r["e"] for r in sums), default=least)
+    if math.prod(r["n"] for r in sums) <= FEW_PAIRS:
+        bar = least
+    while True:
+        bar = max(least, STEP * bar) if bar > least else least
+        pairs = pairs_reaching(own, account, tag, record, SHARED_CORE, bar - 1e-8).withColumn("score", F.bround("score", 9)).filter(F.col("score") >= bar)
+        turned = pairs.join(side, "a").select(
+            F.when(F.col("_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")).alias("b"), "score"
+        )
+        picked = written(matched_pairs(turned, most), "compared")
+        if bar <= least or picked.count() >= most:
+            return picked
 
 
 def top_partners(pairs: DataFrame, k: int = 6) -> DataFrame:

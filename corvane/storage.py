@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition that `dealt` makes: what a task then sorts or holds does not grow with the input.
+DEALT = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df over partitions by key, as many as its rows ask for and as the session has at least. Without `rows` they are
+    counted, so give a table that is read from files: Parquet holds their number."""
+    n = df.count() if rows is None else rows
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n // DEALT)), *keys)
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that `written` returned, once nothing reads it any more."""
     spark = table.sparkSession

@@ -1,8 +1,40 @@
 """Results that odd texts or larger tables once changed, and work that must not outgrow the input."""
 
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from corvane import storage
 from corvane.functions import text as tx
+from corvane.operators import patterns as pt
+from corvane.operators import summaries as sm
+
+
+def most_rows(df):
+    """The result, and the rows of the node that made most of them."""
+    found = df.collect()
+    counts = []
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        metric = p.metrics().get("numOutputRows")
+        if metric.isDefined():
+            counts.append(metric.get().value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found, max(counts)
 
 
 def test_years_in_text_may_touch_letters_but_no_digits(spark):
@@ -10,3 +42,33 @@ def test_years_in_text_may_touch_letters_but_no_digits(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
     found = [r.y for r in df.select("i", tx.first_year_in_text(F.col("v")).alias("y")).orderBy("i").collect()]
     assert found == [1999, 1850, 1999, 1950, 1999, None, None, None]
+
+
+def test_two_large_records_are_compared_from_the_top(spark, monkeypatch):
+    deal, each = random.Random(3), 1500
+    tags = {i: sorted(deal.sample(range(30), deal.randint(1, 6))) for i in range(2 * each)}
+    bars, reaching = [], pt.pairs_reaching
+    monkeypatch.setattr(pt, "pairs_reaching", lambda *a: bars.append(a[-1]) or reaching(*a))
+    rows = spark.createDataFrame([(i, "xy"[i % 2], t) for i, own in tags.items() for t in own], "r long, g string, t int")
+    found = [(r.a, r.b) for r in pt.compared_records(rows, "r", "g", "t", "y", "x").collect()]
+    df = Counter(t for own in tags.values() for t in own)
+    w = {t: math.log(len(tags) / c) for t, c in df.items()}
+    norm = {i: math.sqrt(sum(w[t] ** 2 for t in own)) for i, own in tags.items()}
+    by_tag = defaultdict(list)
+    for i, own in tags.items():
+        for t in own if i % 2 == 0 else []:
+            by_tag[t].append(i)
+    scores = []
+    for a in range(1, 2 * each, 2):
+        shared = defaultdict(list)
+        for t in tags[a]:
+            for b in by_tag[t]:
+                shared[b].append(w[t])
+        scores += [(-round(sum(s) * sum(x * x for x in s) / norm[a] / norm[b], 9), a, b) for b, s in shared.items() if len(s) > 1]
+    want, used = [], set()
+    for s, a, b in sorted(scores):
+        if -s >= 4 and len(want) < 8 and not {a, b} & used:
+            want.append((a, b))
+            used |= {a, b}
+    assert sorted(found) == sorted(want) and len(want) == 8
+    assert min(bars) > 5
