@@ -322,7 +322,11 @@ def episode_accounts(episodes: DataFrame, accounts: DataFrame, record: str, key:
 def episode_years(episodes: DataFrame, mentions: DataFrame, records: DataFrame, record: str, key: str) -> DataFrame:
     """(key, year): the episode's own, else the low median of years named on its pages, else the record's."""
     pages = episodes.select(key, record, F.explode("pages").alias("page"))
-    named = pages.join(mentions.select(record, "page", F.col("year").alias("_y")), [record, "page"]).groupBy(key).agg(low_median("_y").alias("_m"))
+    counts = mentions.filter(F.col("year").isNotNull()).groupBy(record, "page", F.col("year").alias("_y")).agg(F.count("*").alias("_n"))
+    each = pages.join(counts, [record, "page"]).groupBy(key, "_y").agg(F.sum("_n").alias("_n"))
+    years = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_y", "_n"))).alias("_l"), F.sum("_n").alias("_t"))
+    upto = F.filter("_l", lambda x: 2 * F.aggregate(F.filter("_l", lambda z: z["_y"] <= x["_y"]), F.lit(0).cast("long"), lambda s, z: s + z["_n"]) >= F.col("_t"))
+    named = years.select(key, F.get(upto, F.lit(0))["_y"].alias("_m"))
     rows = episodes.join(named, key, "left").join(records.select(record, F.col("year").alias("_r")), record, "left")
     return rows.select(key, F.coalesce("year", "_m", "_r").alias("year"))
 

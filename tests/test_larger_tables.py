@@ -72,3 +72,16 @@ def test_two_large_records_are_compared_from_the_top(spark, monkeypatch):
             used |= {a, b}
     assert sorted(found) == sorted(want) and len(want) == 8
     assert min(bars) > 5
+
+
+def test_years_of_a_page_are_counted_before_episodes_meet_them(spark):
+    episodes = spark.createDataFrame([(i, 1, [7, 7, 8] if i else [7, 8], None) for i in range(300)] + [(300, 1, [9], None), (301, 2, [7], 1900)],
+                                     "id int, record int, pages array<int>, year int")
+    named = [(1, 7, 1950 + k % 2) for k in range(200)] + [(1, 8, 1990)] * 201 + [(1, 9, None)]
+    mentions = spark.createDataFrame(named, "record int, page int, year int")
+    records = spark.createDataFrame([(1, 2001), (2, 2002)], "record int, year int")
+    found, most = most_rows(sm.episode_years(episodes, mentions, records, "record", "id"))
+    years = {r.id: r.year for r in found}
+    # Page 7 alone: 100 of 1950, 100 of 1951; twice with 201 of 1990, the 301st of 601 is in 1951.
+    assert (years[0], years[5], years[300], years[301]) == (1990, 1951, 2001, 1900)
+    assert most < 3000
