@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import decade
+from corvane.storage import dealt, written
 
 # Least members of a compared group and its least records, rows a split needs, rows it shows.
 MIN_GROUP, MIN_RECORDS, SPLIT_LEAST, SPLIT_ROWS = 8, 3, 3, 12
 # Fixed value: marks on a page that make a record heavily redacted.
 HEAVY = 2.0
+# Ids of the lists of episodes that weigh as much as a row.
+LIST = 20
 GROUPS = ["unresolved", "explained", "not_assessed"]
 
 
@@ -314,13 +317,27 @@ def subcategory(episodes: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 
 def episode_accounts(episodes: DataFrame, accounts: DataFrame, record: str, key: str, account: str) -> DataFrame:
-    """(key, account_ids): accounts on an episode's pages."""
-    pages = episodes.select(key, record, F.explode("pages").alias("page"))
-    return pages.join(accounts.select(record, "page", account), [record, "page"]).groupBy(key).agg(F.sort_array(F.collect_set(account)).alias("account_ids"))
+    """(key, account_ids): accounts on an episode's pages.
+
+    The list of a set of pages is made once and joined to all episodes that have these pages.
+    """
+    pages = episodes.select(key, F.explode("pages").alias("page"), record)
+    places = pages.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(record, "page"))).alias("_places"))
+    told = accounts.groupBy(record, "page").agg(F.collect_set(account).alias("_ids"))
+    each = places.select("_places").distinct().withColumn("_p", F.explode("_places"))
+    found = each.join(told, (F.col(f"_p.{record}") == told[record]) & (F.col("_p.page") == told["page"])).groupBy("_places")
+    lists = written(found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("account_ids")), "lists")
+    # The result holds a list for each episode, so it is dealt by its size and not by that of the tables.
+    ids = places.groupBy("_places").agg(F.count("*").alias("_n")).join(lists.select("_places", F.size("account_ids").alias("_m")), "_places")
+    ids = ids.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    return dealt(places, "_places", rows=ids // LIST).join(lists.hint("merge"), "_places").select(key, "account_ids")
 
 
 def episode_years(episodes: DataFrame, mentions: DataFrame, records: DataFrame, record: str, key: str) -> DataFrame:
-    """(key, year): the episode's own, else the low median of years named on its pages, else the record's."""
+    """(key, year): the episode's own, else the low median of years named on its pages, else the record's.
+
+    A page's mentions are counted by year before episodes meet them.
+    """
     pages = episodes.select(key, record, F.explode("pages").alias("page"))
     counts = mentions.filter(F.col("year").isNotNull()).groupBy(record, "page", F.col("year").alias("_y")).agg(F.count("*").alias("_n"))
     each = pages.join(counts, [record, "page"]).groupBy(key, "_y").agg(F.sum("_n").alias("_n"))

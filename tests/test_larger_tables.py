@@ -85,3 +85,13 @@ def test_years_of_a_page_are_counted_before_episodes_meet_them(spark):
     # Page 7 alone: 100 of 1950, 100 of 1951; twice with 201 of 1990, the 301st of 601 is in 1951.
     assert (years[0], years[5], years[300], years[301]) == (1990, 1951, 2001, 1900)
     assert most < 3000
+
+
+def test_a_list_of_accounts_is_made_once_for_all_episodes_of_its_pages(spark):
+    episodes = spark.createDataFrame([(i, 1, [1, 2, None]) for i in range(200)] + [(200, 1, [2]), (201, 1, [5])], "id int, record int, pages array<int>")
+    told = spark.createDataFrame([(1, 1 + k % 2, 1000 - k) for k in range(400)] + [(1, 2, 1000), (2, 1, 5)], "record int, page int, account int")
+    found, most = most_rows(sm.episode_accounts(episodes, told, "record", "id", "account"))
+    lists = {r.id: r.account_ids for r in found}
+    assert set(lists) == set(range(201)) and lists[7] == list(range(601, 1001))
+    assert lists[200] == sorted({1000} | set(range(601, 1000, 2)))
+    assert most < 3000
