@@ -19,6 +19,7 @@ from corvane.operators import selection as sel
 from corvane.operators import statistics as st
 from corvane.operators import summaries as sm
 from corvane.sources import listing as ls
+from corvane.storage import dealt, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -330,7 +331,7 @@ WHERE e * d / (na.norm * nb.norm) >= 5)"""
 
 
 def _tags(t):
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = dealt(t.lineitem.select("l_orderkey", "l_partkey"), "l_orderkey").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.select(F.col("l_orderkey").alias("r"), F.col("o_custkey").alias("g"), F.col("l_partkey").alias("tag")).distinct()
 
 

@@ -74,6 +74,34 @@ def test_two_large_records_are_compared_from_the_top(spark, monkeypatch):
     assert min(bars) > 5
 
 
+def test_accounts_that_share_one_tag_only_do_not_meet(spark, monkeypatch):
+    met, write = [], pt.written
+    monkeypatch.setattr(pt, "written", lambda df, name: met.append(write(df, name)) or met[-1] if name == "near_pairs" else write(df, name))
+    own = {i: ["common", f"own{i}"] for i in range(200)} | {i: ["common", "u", f"v{i % 2}"] for i in range(200, 204)}
+    rows = spark.createDataFrame([(i, i, t) for i, tags in own.items() for t in tags], "r int, g int, t string")
+    weights = spark.createDataFrame([(t, 9.0) for t in {t for tags in own.values() for t in tags}], "t string, w double")
+    found = pt.similar_pairs(rows, "r", "t", "g", weights=weights).collect()
+    assert sorted((r.a, r.b, r.n_shared) for r in found) == [(a, b, 2 + (b - a == 2)) for a, b in itertools.combinations(range(200, 204), 2)]
+    assert met[0].count() == 6
+
+
+@pytest.mark.parametrize("shared, least", [(1, 0.5), (2, 3.0), (3, 4.0), (1, 5.0)])
+def test_pairs_by_tuples_are_those_of_all_pairs(spark, shared, least):
+    deal = random.Random(shared)
+    tags = {i: deal.sample(range(25), deal.randint(1, 9)) for i in range(120)}
+    rows = spark.createDataFrame([(i, i % 50, t) for i, own in tags.items() for t in own], "r int, g int, t int")
+    df = Counter(t for own in tags.values() for t in own)
+    w = {t: math.log(len(tags) / c) for t, c in df.items()}
+    norm = {i: math.sqrt(sum(w[t] ** 2 for t in own)) for i, own in tags.items()}
+    want = set()
+    for a, b in itertools.combinations(tags, 2):
+        s = [w[t] for t in set(tags[a]) & set(tags[b])]
+        if a % 50 != b % 50 and len(s) >= shared and sum(s) * sum(x * x for x in s) / (norm[a] * norm[b]) >= least:
+            want.add((a, b))
+    found = pt.similar_pairs(rows, "r", "t", "g", shared=shared, least=least).collect()
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want) > 0
+
+
 def test_years_of_a_page_are_counted_before_episodes_meet_them(spark):
     episodes = spark.createDataFrame([(i, 1, [7, 7, 8] if i else [7, 8], None) for i in range(300)] + [(300, 1, [9], None), (301, 2, [7], 1900)],
                                      "id int, record int, pages array<int>, year int")
@@ -95,3 +123,13 @@ def test_a_list_of_accounts_is_made_once_for_all_episodes_of_its_pages(spark):
     assert set(lists) == set(range(201)) and lists[7] == list(range(601, 1001))
     assert lists[200] == sorted({1000} | set(range(601, 1000, 2)))
     assert most < 3000
+
+
+@pytest.mark.parametrize("name, key", [("replaced_children", "l_orderkey"), ("lift_rows", "l_orderkey"), ("lift_rows", "l_partkey"), ("tag_weights", "l_orderkey")])
+def test_tasks_hold_as_many_rows_whatever_the_size_of_lineitem(spark, monkeypatch, name, key):
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(storage, "DEALT", n // 30)
+    df = __spark_entry__.queries()[name](spark, folder)
+    parts = {int(x) for x in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+    assert parts and min(parts) >= 30
