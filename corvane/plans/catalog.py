@@ -602,7 +602,7 @@ def spread_by_time(t):
 @query("""SELECT l_orderkey, l_linenumber, 'new' AS flag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
 UNION ALL SELECT l_orderkey, l_linenumber, 'old' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
 def replaced_children(t):
-    children = t.lineitem.select("l_orderkey", "l_linenumber")
+    children = dealt(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey")
     fresh = children.join(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     return ep.merged_latest(children.withColumn("flag", F.lit("old")), fresh.withColumn("flag", F.lit("new")), "l_orderkey")
 
