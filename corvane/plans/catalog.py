@@ -301,7 +301,10 @@ c AS (SELECT i, count(*) FILTER (g) AS c_in, count(*) FILTER (NOT g) AS c_out FR
 SELECT i AS item, c_in, c_out, round_even((c_in * no) / (greatest(c_out, 1) * ni), 6) AS lift FROM c, s
 WHERE ni >= 8 AND no >= 8 AND c_in >= 3 AND (c_in * no) / (greatest(c_out, 1) * ni) >= 1.3 ORDER BY lift DESC, c_in DESC, i LIMIT 8""")
 def lift_rows(t):
-    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey")
+    n = lines.count()
+    rows = dealt(lines, "l_partkey", rows=n).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = dealt(rows.select("l_orderkey", "p_brand", "p_size"), "l_orderkey", rows=n)
     rows = rows.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("g", F.col("o_orderpriority") == "1-URGENT")
     return st.lift_rows(rows.withColumn("item", F.concat_ws("/", "p_brand", "p_size")), "l_orderkey", "item", "g")
 
