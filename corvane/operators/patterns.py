@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import combinations as combinations_of
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +21,15 @@ from corvane.storage import dealt, written
 SHARED_CORE, SHARED_BEHAVIOUR, MATCH, LINK, LINK_DETAILS = 2, 1, 5.0, 7.5, 3
 # Fixed value: bar of a pair when two records are compared.
 COMPARED = 4.0
-# Details of an account that count, accounts, records and lift of a type, weight of a triple.
-HEAVIEST, TYPE_ACCOUNTS, TYPE_RECORDS, TYPE_LIFT, TRIPLE = 10, 6, 3, 1.6, 1.2
-# Share of a type's accounts that makes a detail part of its description, years that make a link distant.
-ALSO, YEARS_APART = 0.25, 15
 # Tags that accounts meet in at once, their tuples for each tag of the table; pairs of two records that are made at one bar, else
 # its steps. They decide the cost alone.
 LONGEST, TUPLES, FEW_PAIRS, STEP = 4, 16, 2_000_000, 0.85
 # Combinations that a task counts at a time.
 MOST_HELD = 2_000_000
+# Details of an account that count, accounts, records and lift of a type, weight of a triple.
+HEAVIEST, TYPE_ACCOUNTS, TYPE_RECORDS, TYPE_LIFT, TRIPLE = 10, 6, 3, 1.6, 1.2
+# Share of a type's accounts that makes a detail part of its description, years that make a link distant.
+ALSO, YEARS_APART = 0.25, 15
 
 
 def tag_weights(tags: DataFrame, record: str, tag: str, scale: Column | float = 1.0, digits: int | None = None) -> DataFrame:
@@ -41,10 +45,6 @@ def weighted_tags(tags: DataFrame, record: str, tag: str, weights: DataFrame) ->
     return tags.join(weights.select(tag, "w"), tag)
 
 
-def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: int = SHARED_CORE, least: float = MATCH,
-                  core: Column | None = None, behaviour: Column | None = None, owner: str | None = None,
-                  weights: DataFrame | None = None) -> DataFrame:
-    """Pairs a < b of different series (and owners) whose score, evidence times cosine, reaches `least`.
 def _reaching(own: Column, k: int, least: float) -> Column:
     """Hashes of the k-tuples of an account's tags that can be the heaviest k it shares with another one.
 
@@ -75,10 +75,20 @@ def _tuple_length(weighted: DataFrame, record: str, tag: str, shared: int, least
     return k, int(counts[k - 1])
 
 
+def similar_pairs(tags: DataFrame, record: str, tag: str, series: str, shared: int = SHARED_CORE, least: float = MATCH,
+                  core: Column | None = None, behaviour: Column | None = None, owner: str | None = None,
+                  weights: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of different series (and owners) whose score, evidence times cosine, reaches `least`.
 
     Weights are those of the tags at hand where none are given. core and behaviour, conditions on tags, say
     which shared ones are counted against `shared` and SHARED_BEHAVIOUR.
     """
+    return pairs_reaching(tagged_accounts(tags, record, tag, series, core, behaviour, owner, weights), record, tag, series, shared, least)
+
+
+def tagged_accounts(tags: DataFrame, record: str, tag: str, series: str, core: Column | None = None, behaviour: Column | None = None,
+                    owner: str | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """The written table of tags with their weights that `pairs_reaching` reads."""
     rows = tags.select(record, tag, series, F.col(owner or series).alias("_owner"), (F.lit(True) if core is None else core).alias("_core"), (F.lit(True) if behaviour is None else behaviour).alias("_beh")).distinct()
     rows = written(rows, "account_tags")
     n = rows.count()
@@ -107,12 +117,6 @@ def pairs_reaching(weighted: DataFrame, record: str, tag: str, series: str, shar
     near = written(met.select("a", "b").distinct(), "near_pairs")
     ends = near.select(F.explode(F.array("a", "b")).alias(record)).distinct()
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(record)))
-    return pairs_reaching(tagged_accounts(tags, record, tag, series, core, behaviour, owner, weights), record, tag, series, shared, least)
-
-
-def tagged_accounts(tags: DataFrame, record: str, tag: str, series: str, core: Column | None = None, behaviour: Column | None = None,
-                    owner: str | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """The written table of tags with their weights that `pairs_reaching` reads."""
     # Few accounts are left: their ids are the hashed side, so that the tags of all accounts need no sorting.
     full = written(placed.join(ends.hint("shuffle_hash"), record, "left_semi").withColumn("_norm", norm), "near_tags")
     left = dealt(near, "a").join(full.select(F.col(record).alias("a"), tag, "w", "_core", "_beh", F.col("_norm").alias("na")), "a")
@@ -175,55 +179,111 @@ def combinations(tags: DataFrame, defining: Sequence[str], behaviour: Sequence[s
     that contradicts one of the combination is no member. Result: t1, t2, t3 (null in pairs), m accounts, r records,
     lift, score.
     """
-    tags = written(tags.select("account", "record", "tag", "dim", "w"), "tags")
-    heavy = F.row_number().over(Window.partitionBy("account").orderBy(F.desc("w"), "tag"))
-    sig = tags.withColumn("_r", heavy).filter(F.col("_r") <= heaviest)
+    heaviness = F.struct((-F.col("w")).alias("o"), "tag", "dim")
+    kept = tags.groupBy("account").agg(F.first("record").alias("record"), F.array_sort(F.collect_list(heaviness)).alias("all"))
+    kept = written(kept.select("record", F.slice("all", 1, heaviest).alias("sig"), F.col("all")["tag"].alias("every")), "accounts")
+    spark, n = tags.sparkSession, kept.count()
+    seen = kept.select(F.explode("sig").alias("x")).groupBy("x.tag", "x.dim").agg(F.count("*").alias("p"))
+    seen = written(seen, "details")
+    p = seen.groupBy("tag").agg(F.sum("p").alias("p"))
+    items = [(r["tag"], r["dim"]) for r in seen.filter("dim is not null").orderBy("tag", "dim").collect()]  # one row for each tag of the lexicon
+    member = lambda x: x["dim"].isNotNull()
     if contradictions:
-        against = tags.sparkSession.createDataFrame([(t, o) for t, others in contradictions.items() for o in others], "tag string, _other string")
-        clash = sig.select("account", "tag").join(F.broadcast(against), "tag").join(tags.select("account", F.col("tag").alias("_other")), ["account", "_other"], "left_semi")
-        members = sig.join(clash.select("account", "tag").distinct(), ["account", "tag"], "left_anti")
-    else:
-        members = sig
-    p = sig.groupBy("tag").agg(F.count("*").alias("p"))
-    n = tags.select("account").distinct().agg(F.count("*").alias("n"))
-    defines = F.col("dim").isin(*defining) & ~F.col("tag").isin(*weak) if weak else F.col("dim").isin(*defining)
-    one = F.struct("tag", "dim", defines.alias("def"), F.col("dim").isin(*behaviour).alias("beh"))
-    # A row makes many combinations from few bytes, so the number of partitions is not left to their size.
-    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = members.repartition(parts, "account").groupBy("account").agg(F.first("record").alias("record"), F.array_sort(F.collect_list(one)).alias("own"))
-    own = F.col("own")
-
-    def behind(items: Column, i: Column) -> Column:
-        return F.slice(items, i + 2, heaviest)
-
-    def apart(x: Column, *others: Column) -> Column:
-        return reduce(lambda a, b: a & b, [x["dim"] != o["dim"] for o in others])
-
-    def combo(*parts: Column) -> Column:
-        names = [p["tag"] for p in parts] + [F.lit(None).cast("string")] * (3 - len(parts))
-        any_of = lambda f: reduce(lambda a, b: a | b, [p[f] for p in parts])
-        return F.struct(*[c.alias(f"tag{k}") for k, c in enumerate(names, 1)], (any_of("def") & any_of("beh")).alias("ok"))
-
-    # An account holds at most `heaviest` details, so its combinations are made within its row and their number has a bound.
-    def pairs_of(x: Column, i: Column) -> Column:
-        return F.transform(F.filter(behind(own, i), lambda y: apart(y, x)), lambda y: combo(x, y))
-
-    def triples_of(x: Column, i: Column) -> Column:
-        rest = F.filter(behind(own, i), lambda y: apart(y, x))
-        return F.flatten(F.transform(rest, lambda y, j: F.transform(F.filter(behind(rest, j), lambda z: apart(z, y)), lambda z: combo(x, y, z))))
-
-    two, three = F.flatten(F.transform(own, pairs_of)), F.flatten(F.transform(own, triples_of))
-    sets = held.select("record", F.explode_outer(F.concat(two, three)).alias("c")).filter("c.ok").select("record", "c.tag1", "c.tag2", "c.tag3")
-    by_record = sets.groupBy("tag1", "tag2", "tag3", "record").agg(F.count("*").alias("k"))
-    counted = by_record.groupBy("tag1", "tag2", "tag3").agg(F.sum("k").alias("m"), F.count("*").alias("r"))
-    counted = counted.filter((F.col("m") >= accounts) & (F.col("r") >= records)).join(F.broadcast(n))
-    for k in (1, 2, 3):
+        against = F.create_map(*[c for t, others in contradictions.items() for c in (F.lit(t), F.array(*map(F.lit, others)))])
+        member = lambda x: x["dim"].isNotNull() & ~F.coalesce(F.arrays_overlap("every", F.try_element_at(against, x["tag"])), F.lit(False))
+    own = F.transform(F.filter("sig", member), lambda x: F.concat(x["tag"], F.lit("\0"), x["dim"]))
+    held = kept.select("record", own.alias("own"))
+    made = _Combinations(items, defining, behaviour, weak, heaviest)
+    codes = held.select("own").mapInArrow(made.count, "code long, k long").groupBy("code").agg(F.sum("k").alias("m")).filter(F.col("m") >= accounts)
+    names = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(items)] or [(0, None)], "_i long, _t string")
+    base = F.lit(made.base)
+    digit = [F.expr(f"code div {made.base * made.base}"), F.expr(f"code div {made.base}") % base, F.col("code") % base]
+    counted = codes
+    for k, d in enumerate(digit, 1):
+        counted = counted.withColumn("_i", d).join(names.withColumnRenamed("_t", f"tag{k}"), "_i", "left").drop("_i")
         counted = counted.join(p.select(F.col("tag").alias(f"tag{k}"), F.col("p").alias(f"p{k}")), f"tag{k}", "left")
-    expected = F.col("p1") * F.col("p2") / F.col("n")
-    expected = F.when(F.col("tag3").isNull(), expected).otherwise(expected * F.col("p3") / F.col("n"))
-    found = counted.withColumn("lift", F.col("m") / expected).filter(F.col("lift") >= lift)
+    expected = F.col("p1") * F.col("p2") / F.lit(n)
+    expected = F.when(F.col("tag3").isNull(), expected).otherwise(expected * F.col("p3") / F.lit(n))
+    found = written(counted.withColumn("lift", F.col("m") / expected).filter(F.col("lift") >= lift), "combinations")
+    # Records are counted for the combinations that are left.
+    wanted = spark.sparkContext.broadcast(np.array(sorted(r["code"] for r in found.select("code").collect()), np.int64))
+    kind = held.schema["record"].dataType.simpleString()
+    pairs = held.mapInArrow(made.records(wanted), f"code long, record {kind}").distinct()
+    spread = pairs.groupBy("code").agg(F.count("*").alias("r")).filter(F.col("r") >= records)
     score = F.log("lift") * F.col("r") * F.when(F.col("tag3").isNull(), 1.0).otherwise(TRIPLE)
-    return found.select(F.col("tag1").alias("t1"), F.col("tag2").alias("t2"), F.col("tag3").alias("t3"), "m", "r", "lift", score.alias("score"))
+    return found.join(spread, "code").select(F.col("tag1").alias("t1"), F.col("tag2").alias("t2"), F.col("tag3").alias("t3"), "m", "r", "lift", score.alias("score"))
+
+
+class _Combinations:
+    """Pairs and triples of an account's details as numbers: three digits, places in the ordered lexicon; a pair ends in `base` - 1."""
+
+    def __init__(self, items: Sequence[tuple[str, str]], defining: Sequence[str], behaviour: Sequence[str], weak: Sequence[str], heaviest: int):
+        self.names, self.base, self.heaviest = [f"{t}\0{d}" for t, d in items], len(items) + 1, heaviest
+        if self.base**3 >= 2**63:
+            raise ValueError(f"{len(items)} details are too many to number their triples")
+        dims = {d: i for i, d in enumerate(sorted({d for _, d in items}))}
+        self.dim = np.array([dims[d] for _, d in items] + [-1], np.int32)
+        self.defines = np.array([d in defining and t not in weak for t, d in items] + [False])
+        self.behaves = np.array([d in behaviour for _, d in items] + [False])
+
+    def _made(self, own: pa.ListArray, names: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and combinations that they hold, a choice of places at a time."""
+        none, n = self.base - 1, len(own)
+        flat = pc.index_in(own.flatten(), value_set=names).to_numpy(zero_copy_only=False)
+        sizes = np.diff(own.offsets.to_numpy())
+        rows = np.repeat(np.arange(n), sizes)
+        table = np.full((n, self.heaviest), none, np.int64)
+        table[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        table.sort(axis=1)
+        cols = [table[:, i] for i in range(min(self.heaviest, int(sizes.max(initial=0))))]
+        for i, j in combinations_of(range(len(cols)), 2):
+            at = np.flatnonzero((cols[j] < none) & (self.dim[cols[i]] != self.dim[cols[j]]))
+            x, y = cols[i][at], cols[j][at]
+            head, d, b = (x * self.base + y) * self.base, self.defines[x] | self.defines[y], self.behaves[x] | self.behaves[y]
+            ok = d & b
+            yield at[ok], head[ok] + none
+            for z in (c[at] for c in cols[j + 1 :]):
+                ok = (z < none) & (self.dim[z] != self.dim[x]) & (self.dim[z] != self.dim[y]) & (d | self.defines[z]) & (b | self.behaves[z])
+                yield at[ok], head[ok] + z[ok]
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(code, k): how many rows hold a combination, summed over a task as far as MOST_HELD combinations go."""
+        names, codes, counts = pa.array(self.names, pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            found = [c for _, c in self._made(batch["own"], names)]
+            if not found:
+                continue
+            new, k = np.unique(np.concatenate(found), return_counts=True)
+            codes, where = np.unique(np.concatenate((codes, new)), return_inverse=True)
+            counts = np.bincount(where, np.concatenate((counts, k)), len(codes)).astype(np.int64)
+            if len(codes) > MOST_HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "k"])
+                codes, counts = codes[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "k"])
+
+    def records(self, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """(code, record) of the wanted combinations, once a batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, chosen = pa.array(self.names, pa.string()), wanted.value
+            for batch in batches:
+                if not len(chosen):
+                    continue
+                coded = batch["record"].dictionary_encode()
+                which = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                held = []
+                for rows, codes in self._made(batch["own"], names):
+                    at = np.searchsorted(chosen, codes)
+                    at[at == len(chosen)] = 0
+                    hit = chosen[at] == codes
+                    held.append(np.unique(at[hit] * (len(coded.dictionary) + 1) + which[rows[hit]]))
+                if held:
+                    both = np.unique(np.concatenate(held))
+                    at, record = np.divmod(both, len(coded.dictionary) + 1)
+                    index = pa.array(record, mask=record == len(coded.dictionary))
+                    yield pa.RecordBatch.from_arrays([pa.array(chosen[at]), coded.dictionary.take(index)], ["code", "record"])
+
+        return run
 
 
 def type_members(types: DataFrame, tags: DataFrame) -> DataFrame:

@@ -376,13 +376,15 @@ FROM m CROSS JOIN n JOIN p p1 ON p1.tag = t1 JOIN p p2 ON p2.tag = t2 LEFT JOIN
 
 
 def _combo_tags(t):
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
+    rows = dealt(lines, "l_orderkey").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     key, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     tags = {"shape": F.concat(F.lit("s"), part % 17), "motion": F.concat(F.lit("m"), F.when(key % 2 == 0, part % 13).otherwise(supp % 13)),
             "sound": F.concat(F.lit("q"), F.col("l_quantity").cast("int") % 11), "colour": F.concat(F.lit("c"), "l_linenumber")}
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), x.alias("tag")) for d, x in tags.items()]))
     out = rows.select(key.alias("account"), (F.col("o_custkey") % 200).alias("record"), each.alias("x")).select("account", "record", "x.dim", "x.tag").distinct()
-    return out.join(pt.tag_weights(out, "account", "tag", digits=4).drop("df"), "tag")
+    weights = written(pt.tag_weights(out, "account", "tag", digits=4).drop("df"), "weights")
+    return out.join(F.broadcast(weights), "tag")  # 48 tags
 
 
 @query(f"""WITH {_COMBO} SELECT t1, t2, t3, m, r, round_even(lift, 6) AS lift, round_even(ln(lift) * r * CASE WHEN t3 IS NULL THEN 1 ELSE 1.2 END, 5) AS score FROM f WHERE lift >= 1.6""")

@@ -125,6 +125,38 @@ def test_a_list_of_accounts_is_made_once_for_all_episodes_of_its_pages(spark):
     assert most < 3000
 
 
+def test_combinations_are_counted_where_they_are_made(spark):
+    deal, rows = random.Random(1), []
+    for i in range(400):
+        for dim in "abcd":
+            rows += [(i, i % 20, f"{dim}{k}", dim, 1.0 + k) for k in deal.sample(range(5), 2)]
+        if i % 3 == 0:
+            rows += [(i, i % 20, t, t[0], 9.0) for t in ("a9", "b9", "c9")]
+    tags = spark.createDataFrame(rows, "account int, record int, tag string, dim string, w double")
+    found, most = most_rows(pt.combinations(tags, ["a"], ["b"], contradictions={"a9": ["d0"]}, lift=1.05))
+    own, members = defaultdict(list), defaultdict(list)
+    for a, _, tag, _, w in rows:
+        own[a].append((-w, tag))
+    p, without = Counter(), 0
+    for a, held in own.items():
+        heavy = [t for _, t in sorted(held)[:10]]
+        p.update(heavy)
+        if any(t == "d0" for _, t in held):
+            heavy = [t for t in heavy if t != "a9"]
+            without += 1
+        for k in (2, 3):
+            for c in itertools.combinations(sorted(heavy), k):
+                if len({t[0] for t in c}) == k and {"a", "b"} <= {t[0] for t in c}:
+                    members[c].append(a)
+    want = {}
+    for c, held in members.items():
+        lift, r = len(held) / (math.prod(p[t] for t in c) / 400 ** (len(c) - 1)), len({a % 20 for a in held})
+        if len(held) >= 6 and r >= 3 and lift >= 1.05:
+            want[c] = (len(held), r, round(lift, 9))
+    assert {tuple(x for x in (r.t1, r.t2, r.t3) if x): (r.m, r.r, round(r.lift, 9)) for r in found} == want
+    assert without and len(want) > 10 and most < 10_000
+
+
 @pytest.mark.parametrize("name, key", [("replaced_children", "l_orderkey"), ("lift_rows", "l_orderkey"), ("lift_rows", "l_partkey"), ("tag_weights", "l_orderkey")])
 def test_tasks_hold_as_many_rows_whatever_the_size_of_lineitem(spark, monkeypatch, name, key):
     folder = "/root/testdata/sf0.001"
